@@ -2,9 +2,11 @@
 
 
 def queries():
-    from . import mixing, sharding
+    from . import mixing, quality, sharding, url_filter
 
     return {
+        "op4_redirect_filter": url_filter.op4_redirect_filter,
+        "op5_divergence_rules": quality.op5_divergence_rules,
         "op8_hilbert_shards": sharding.op8_hilbert_shards,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
