@@ -2,17 +2,22 @@
 
 
 def queries():
-    from . import mixing, quality, sharding, url_filter
+    from . import bpe, license_scan, mixing, quality, sharding, url_filter
 
     return {
+        "op2_license_scan": license_scan.op2_license_scan,
         "op4_redirect_filter": url_filter.op4_redirect_filter,
         "op5_divergence_rules": quality.op5_divergence_rules,
+        "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_hilbert_shards": sharding.op8_hilbert_shards,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
 
 
 def oracle_sql():
-    from . import mixing
+    from . import license_scan, mixing
 
-    return {"op9_mix_sources": mixing.ORACLE}
+    return {
+        "op2_license_scan": license_scan.oracle(),
+        "op9_mix_sources": mixing.ORACLE,
+    }
