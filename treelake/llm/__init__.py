@@ -2,12 +2,13 @@
 
 
 def queries():
-    from . import bpe, license_scan, mixing, quality, sharding, url_filter
+    from . import bpe, license_scan, mixing, near_dedup, quality, sharding, url_filter
 
     return {
         "op2_license_scan": license_scan.op2_license_scan,
         "op4_redirect_filter": url_filter.op4_redirect_filter,
         "op5_divergence_rules": quality.op5_divergence_rules,
+        "op6_near_duplicates": near_dedup.op6_near_duplicates,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_hilbert_shards": sharding.op8_hilbert_shards,
         "op9_mix_sources": mixing.op9_mix_sources,
