@@ -2,9 +2,10 @@
 
 
 def queries():
-    from . import bpe, license_scan, mixing, near_dedup, quality, sharding, substring_dedup, url_filter
+    from . import bpe, fingerprints, license_scan, mixing, near_dedup, quality, sharding, substring_dedup, url_filter
 
     return {
+        "op10_scaled_sketches": fingerprints.op10_scaled_sketches,
         "op1_line_dedup": substring_dedup.op1_line_dedup,
         "op2_license_scan": license_scan.op2_license_scan,
         "op4_redirect_filter": url_filter.op4_redirect_filter,

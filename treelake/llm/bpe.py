@@ -165,12 +165,14 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id bigint, ids binary, decoded string")
 
 
-def digests(tokens: DataFrame) -> DataFrame:
+def digests(tokens: DataFrame, *more: str) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and the columns named."""
     return tokens.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )
 
 
