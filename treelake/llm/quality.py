@@ -143,6 +143,6 @@ def op5_divergence_rules(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with its columns."""
-    own = [f"own_{c}" for c in docs.columns]
-    df = judged(docs.select(*(F.col(c).alias(o) for c, o in zip(docs.columns, own, strict=True)), "text", "lang"))
-    return df.filter("kept").select(*(F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)))
+    df = judged(docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang"))
+    # not a filter: Spark would copy the verdict's expressions into it, all the way down to the scan
+    return df.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
