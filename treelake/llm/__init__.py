@@ -2,12 +2,13 @@
 
 
 def queries():
-    from . import bpe, fingerprints, license_scan, mixing, near_dedup, quality, sharding, substring_dedup, url_filter
+    from . import bpe, fingerprints, license_scan, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, url_filter
 
     return {
         "op10_scaled_sketches": fingerprints.op10_scaled_sketches,
         "op1_line_dedup": substring_dedup.op1_line_dedup,
         "op2_license_scan": license_scan.op2_license_scan,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_redirect_filter": url_filter.op4_redirect_filter,
         "op5_divergence_rules": quality.op5_divergence_rules,
         "op6_near_duplicates": near_dedup.op6_near_duplicates,
