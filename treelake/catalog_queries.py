@@ -2,14 +2,495 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import cached_property
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from . import catalog as C
+from .functions import attributes as A
+from .functions import names as N
+from .functions import patterns as P
+from .functions import times as T
+from .operators import sorting as S
+from .operators import storage as X
+from .operators.search import Catalog, condition, data_streams, user_records, walk
+from .plans import paths as J
+from .plans import rollup as G
+from .sources import reports as R
+from .streaming.standing import run_available, standing_search
+
+K = ["volume", "node_id", "link_ix", "stream_ix"]
+KS = ", ".join(K)
+
+
+class Given:
+    """The derived catalog of one folder of tables, each part built when a query first asks for it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    @cached_property
+    def tables(self) -> dict[str, DataFrame]:
+        return C.derived(self.spark, self.dir)
+
+    @cached_property
+    def catalog(self) -> Catalog:
+        return Catalog(self.tables)
+
+    @property
+    def entries(self) -> DataFrame:
+        return self.catalog.entries
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return G.folder_totals(self.tables)
+
+    @property
+    def sized(self) -> DataFrame:
+        """Entries with the totals of folders in place of their own sizes."""
+        t = self.totals.select("volume", "node_id", F.col("length").alias("t_length"), F.col("allocated").alias("t_allocated"), F.col("treesize").alias("treesize"))
+        e = self.entries.join(t, ["volume", "node_id"], "left")
+        return e.withColumns({"length": F.coalesce("t_length", "length"), "allocated": F.coalesce("t_allocated", "allocated"), "treesize": F.coalesce("treesize", F.lit(0).cast("long"))})
+
+    @property
+    def extents(self) -> DataFrame:
+        """An extent map for each nation: a run of clusters per customer."""
+        c = self.table("customer").join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        w = by_customer()
+        return c.select(
+            F.col("n_name").alias("volume"), (F.row_number().over(w) - 1).alias("extent_ix"), F.sum((F.col("c_custkey") % 7 + 1).cast("long")).over(w).alias("next_vcn"), (F.col("c_custkey") * 16 + 1000).cast("long").alias("lcn")
+        )
+
+    @property
+    def slots(self) -> DataFrame:
+        return self.table("orders").select(F.lit("C:").alias("volume"), F.col("o_orderkey").cast("long").alias("slot"), (F.col("o_orderstatus") != "F").alias("in_use"))
+
+
+def by_customer():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("n_name").orderBy("c_custkey")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF files below one nation's folder, largest first."""
+    hits = Given(spark, sf_dir).catalog.search("C:\\NATION_0\\**\\*.pdf", ext=["pdf"])
+    return S.ordered(hits, "size").select("path", F.col("length").alias("size"), F.col("allocated").alias("size_on_disk"), T.local_text(F.col("written_ft")).alias("written"))
+
+
+# What the checking SQL of several queries begins with.
+ENTRIES = """dp AS (
+  SELECT volume, node_id, volume || chr(92) AS path, 0 AS depth, [node_id] AS ids FROM folders WHERE node_id = 5
+  UNION ALL SELECT f.volume, f.node_id, dp.path || f.name || chr(92), dp.depth + 1, list_append(dp.ids, f.node_id) FROM folders f JOIN dp ON f.volume = dp.volume AND f.parent_id = dp.node_id WHERE f.node_id <> 5),
+nl AS (SELECT volume, node_id, CAST(count(*) AS INT) AS n_links FROM links GROUP BY ALL),
+ns AS (SELECT volume, node_id, CAST(count(*) AS INT) AS n_streams FROM streams GROUP BY ALL),
+entries AS (SELECT l.volume, l.node_id, l.link_ix, s.stream_ix, l.parent_id, l.name, CASE WHEN l.node_id = 5 THEN dp.path ELSE dp.path || l.name || CASE WHEN n.is_dir THEN chr(92) ELSE '' END END AS base,
+  base || CASE WHEN s.stream_name <> '' THEN ':' || s.stream_name ELSE '' END AS path, dp.path AS dir_path, CAST(CASE WHEN l.node_id = 5 THEN 0 ELSE dp.depth + 1 END AS INT) AS depth, dp.ids AS above_ids,
+  n.is_dir, s.type_id, s.stream_name, s.length, s.allocated, s.bulkiness, s.is_sparse, n.attrs, n.created_ft, n.written_ft, n.accessed_ft, n_links, n_streams
+  FROM links l JOIN nodes n USING (volume, node_id) JOIN nl USING (volume, node_id) JOIN ns USING (volume, node_id) JOIN dp ON dp.volume = l.volume AND dp.node_id = l.parent_id JOIN streams s ON s.volume = l.volume AND s.node_id = l.node_id)"""
+ROLL = """moved AS (SELECT volume, node_id, sum(allocated) AS moved FROM streams WHERE stream_name = 'WofCompressedData' GROUP BY ALL),
+merged AS (SELECT s.volume, s.node_id, s.stream_ix, s.type_id, s.stream_name, CAST(CASE WHEN stream_name = 'WofCompressedData' THEN 0 ELSE length END AS BIGINT) AS length, bulkiness,
+  CAST(CASE WHEN stream_name = 'WofCompressedData' THEN 0 WHEN type_id = 8 AND stream_name = '' THEN allocated + coalesce(moved, 0) ELSE allocated END AS BIGINT) AS allocated FROM streams s LEFT JOIN moved USING (volume, node_id)),
+shares AS (SELECT l.volume, l.parent_id, l.node_id, l.link_ix, CAST(sum(length * (link_ix + 1) // n_links - length * link_ix // n_links) AS BIGINT) AS length, CAST(sum(allocated * (link_ix + 1) // n_links - allocated * link_ix // n_links) AS BIGINT) AS allocated,
+  CAST(sum(bulkiness * (link_ix + 1) // n_links - bulkiness * link_ix // n_links) AS BIGINT) AS bulkiness, count(*) AS treesize FROM links l JOIN nl USING (volume, node_id) JOIN merged USING (volume, node_id) JOIN nodes USING (volume, node_id) WHERE NOT is_dir GROUP BY ALL),
+direct AS (SELECT volume, node_id, length, allocated, 1 AS treesize, 0 AS files FROM streams WHERE type_id = 0 UNION ALL SELECT volume, parent_id, length, allocated, treesize, 1 FROM shares),
+totals AS (SELECT t.volume, t.node_id, t.length, CAST(t.allocated + CASE WHEN t.node_id = 5 THEN reserved_clusters * cluster_size ELSE 0 END AS BIGINT) AS allocated, treesize, files FROM (SELECT d.volume, x.id AS node_id, CAST(sum(length) AS BIGINT) AS length, sum(allocated) AS allocated, CAST(sum(treesize) AS BIGINT) AS treesize, CAST(sum(files) AS BIGINT) AS files
+  FROM direct d JOIN (SELECT volume, node_id, unnest(ids) AS id FROM dp) x ON x.volume = d.volume AND x.node_id = d.node_id GROUP BY ALL) t JOIN volumes v ON v.volume = t.volume),
+sized AS (SELECT e.* EXCLUDE (length, allocated), coalesce(t.length, e.length) AS length, coalesce(t.allocated, e.allocated) AS allocated, coalesce(t.treesize, 0) AS treesize FROM entries e LEFT JOIN totals t USING (volume, node_id))"""
+EXTENTS = """extents AS (SELECT n_name AS volume, CAST(row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) - 1 AS INT) AS extent_ix, CAST(sum(c_custkey % 7 + 1) OVER (PARTITION BY n_name ORDER BY c_custkey) AS BIGINT) AS next_vcn, CAST(c_custkey * 16 + 1000 AS BIGINT) AS lcn FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ranges AS (SELECT volume, extent_ix, lcn, next_vcn - f AS clusters, f * 4 AS first_record, next_vcn * 4 - 1 AS last_record, lcn * 4096 AS byte_offset, (next_vcn - f) * 4096 AS byte_length FROM (SELECT *, coalesce(lag(next_vcn) OVER (PARTITION BY volume ORDER BY extent_ix), 0) AS f FROM extents))"""
+
+FOUND: dict[str, tuple] = {}
+
+
+def query(sql: str, parts: str = "entries"):
+    """Registers a query under its function's name with its checking SQL; parts: which definitions that needs."""
+    definitions = {"": [], "links": [], "entries": [ENTRIES], "sized": [ENTRIES, ROLL], "extents": [EXTENTS]}[parts]
+
+    def put(f):
+        FOUND[f.__name__] = (f, None if sql is None else (sql if parts == "" else ",\n".join([C.prefix(), *definitions]) + "\n" + sql))
+        return f
+
+    return put
+
+
+def hits_of(name: str, where: str, **search) -> None:
+    """A query that is one search, checked by a condition on all entries."""
+    pattern = search.pop("pattern", "")
+
+    def f(g: Given) -> DataFrame:
+        return g.catalog.search(pattern, **search).select(*K, "path")
+
+    f.__name__ = name
+    query(f"SELECT {KS}, path FROM entries WHERE {where}")(f)
+
+
+# Projections ---------------------------------------------------------------------------------------------------------
+
+
+def column(name: str, sql: str, make, parts: str = "entries") -> None:
+    """A query that adds one column to all entries."""
+
+    def f(g: Given) -> DataFrame:
+        return (g.sized if parts == "sized" else g.entries).select(*K, make().alias(name))
+
+    f.__name__ = name
+    query(f"SELECT {KS}, {sql} AS {name} FROM {parts}", parts)(f)
+
+
+c = F.col
+stamp = lambda t: f"strftime(make_timestamp(({t}_ft - {T.EPOCH}) // 10), '%Y-%m-%d %H:%M:%S')"
+column("full_path", "path", lambda: c("path"))
+column("base_name", "name", lambda: c("name"))
+column("dir_path", "dir_path", lambda: c("dir_path"))
+column("size", "length", lambda: c("length"), "sized")
+column("size_on_disk", "allocated", lambda: c("allocated"), "sized")
+column("created", stamp("created"), lambda: T.local_text(c("created_ft")))
+column("written", stamp("written"), lambda: T.local_text(c("written_ft")))
+column("accessed", f"strftime(make_timestamp((accessed_ft - {T.EPOCH}) // 10 + 3600000000), '%Y-%m-%d %H:%M:%S')", lambda: T.local_text(c("accessed_ft"), 60))
+column("locale_time", f"strftime(make_timestamp((written_ft - {T.EPOCH}) // 10), '%d.%m.%Y %H:%M')", lambda: T.local_text(c("written_ft"), 0, "dd.MM.yyyy HH:mm"))
+column("filetime_to_ts", f"(written_ft - {T.EPOCH}) // 10", lambda: F.unix_micros(T.timestamp(c("written_ft"))))
+column("descendants", "CAST(greatest(treesize - 1, 0) AS BIGINT)", lambda: F.greatest(c("treesize") - 1, F.lit(0)).cast("long"), "sized")
+column("encode_flags", f"attrs & {sum(A.BITS.values())}", lambda: A.encoded(A.decoded(c("attrs"))))
+column("attribute_class", "CASE WHEN attrs & 4 <> 0 THEN 'system' WHEN attrs & 2 <> 0 THEN 'hidden' WHEN attrs & 16 <> 0 THEN 'directory' WHEN attrs & 2048 <> 0 THEN 'compressed' WHEN attrs & 16384 <> 0 THEN 'encrypted' WHEN attrs & 512 <> 0 THEN 'sparse' ELSE 'default' END", lambda: A.attribute_class(c("attrs")))
+column("file_type", "CASE WHEN is_dir THEN 'File folder' WHEN name ILIKE '%.pdf' THEN 'PDF Document' WHEN name ILIKE '%.jpg' THEN 'JPEG Image' WHEN name ILIKE '%.mp4' THEN 'MP4 Video' ELSE 'File' END", lambda: N.file_type(c("name"), c("attrs")))
+column("stream_suffix", "CASE WHEN stream_name <> '' THEN ':' || stream_name ELSE '' END", lambda: J.stream_suffix(c("type_id"), c("stream_name")))
+column("depth", "depth", lambda: c("depth"))
+column("strip_stream", "CASE WHEN node_id = 5 THEN base ELSE rtrim(base, chr(92)) END", lambda: N.strip_stream(c("path")))
+column("normalize_path", "CASE WHEN node_id = 5 THEN base ELSE rtrim(base, chr(92)) END", lambda: N.normalize(F.replace("path", F.lit("\\"), F.lit("\\\\")), "C:\\"))
+column("format_count", "format('{:,}', length)", lambda: F.format_number("length", 0))
+column("pack_key", "(CAST(link_ix AS BIGINT) << 22) | (CAST(stream_ix AS BIGINT) << 9) | CAST(depth AS BIGINT)", lambda: A.packed_key(c("link_ix"), c("stream_ix"), c("depth")))
+column("wrap48", "(length * 4294967296) & 281474976710655", lambda: A.wrap48(c("length") * 4294967296))
+column("attribute_name", "CASE type_id WHEN 8 THEN '$DATA' ELSE '' END", lambda: J.attribute_name(c("type_id")))
+column("space_saved", "length - allocated", lambda: c("length") - c("allocated"))
+
+
+@query(f"SELECT {KS}, " + ", ".join(f"attrs & {b} <> 0 AS {f}" for f, b in A.BITS.items()) + " FROM entries")
+def decode_flags(g):
+    return g.entries.select(*K, *(x.alias(f) for f, x in A.decoded(c("attrs")).items()))
+
+
+@query(f"SELECT {KS}, CASE WHEN attrs & 1 <> 0 THEN '+' ELSE '-' END AS readonly, CASE WHEN attrs & 2048 <> 0 THEN '+' ELSE '-' END AS compressed FROM entries")
+def flag_markers(g):
+    flags = A.decoded(c("attrs"))
+    return g.entries.select(*K, A.marker(flags["readonly"], "+", "-").alias("readonly"), A.marker(flags["compressed"], "+", "-").alias("compressed"))
+
+
+@query("SELECT path, name, length AS size, treesize AS descendants, CASE WHEN attrs & 1 <> 0 THEN '1' ELSE '0' END AS readonly FROM sized", "sized")
+def select_columns(g):
+    return R.select_columns(g.sized, "readonly,size,name,path,descendants")
+
+
+@query("SELECT page_id, regexp_extract(url, '([^\\\\/]*)$', 1) AS base, regexp_extract(url, '(?s)\\A(.*?)[\\\\/]*[^\\\\/]*\\z', 1) AS dir, regexp_extract(url, '(\\.[^.\\\\/]*)$', 1) AS ext FROM pages", "")
+def path_parts(g):
+    return g.table("pages").select("page_id", N.basename(c("url")).alias("base"), N.dirname(c("url")).alias("dir"), N.extension(c("url")).alias("ext"))
+
+
+# Searches ------------------------------------------------------------------------------------------------------------
+
+MAIN = "stream_name = ''"
+hits_of("match_substring", f"{MAIN} AND contains(lower(name), 'order_1')", pattern="order_1")
+hits_of("match_prefix", f"{MAIN} AND starts_with(lower(name), 'ln_')", pattern="LN_*")
+hits_of("match_suffix", f"{MAIN} AND ends_with(lower(name), '7.jpg')", pattern="*7.jpg")
+hits_of("match_glob", f"{MAIN} AND regexp_full_match(lower(name), 'order_.5.*\\.jpg')", pattern="order_?5*.JPG")
+hits_of("match_globstar", f"{MAIN} AND regexp_full_match(lower(path), '..\\\\nation_1[^\\\\/]*\\\\([^\\\\/]+\\\\)*order_[^\\\\/]*\\.pdf')", pattern="?:\\NATION_1*\\**\\order_*.pdf")
+hits_of("match_regex", f"{MAIN} AND regexp_full_match(lower(path), '.*_[0-9]*7\\.(pdf|jpg)')", pattern=">.*_[0-9]*7\\.(pdf|jpg)")
+hits_of("match_any", MAIN, pattern="**")
+hits_of("case_mode", f"{MAIN} AND ends_with(name, '.JPG')", pattern="*.JPG", case=True)
+hits_of("pattern_mode", "name || CASE WHEN stream_name <> '' THEN ':' || stream_name ELSE '' END LIKE '%:s2'", pattern="*:s2", streams=True)
+hits_of("trailing_star", f"{MAIN} AND starts_with(lower(path), 'd:\\nation_')", pattern="D:\\NATION_*")
+hits_of("ext_filter", f"{MAIN} AND (name ILIKE '%.jpg' OR name ILIKE '%.png' OR name ILIKE '%.tiff' OR name ILIKE '%.mp4')", ext=["pictures", "mp4"])
+hits_of("volume_filter", f"{MAIN} AND volume IN ('C:', 'D:')", volumes=["c", "D:\\"])
+hits_of("root_prefix", f"{MAIN} AND volume = 'E:' AND ends_with(lower(path), '.mp4')", pattern="e:\\**.mp4")
+hits_of("stream_mode", "type_id IN (0, 8)", streams=True)
+hits_of("metadata_mode", "true", streams=True, metadata=True)
+
+
+@query(f"SELECT {KS} FROM entries WHERE lower(name) = 'order_7.mp4' OR lower(name) = 'nation_3'")
+def match_exact(g):
+    return g.entries.filter(P.matches(c("name"), "ORDER_7.mp4", "verbatim") | P.matches(c("name"), "nation_3", "verbatim")).select(*K)
+
+
+@query(f"SELECT {KS} FROM entries WHERE (node_id >= 16 OR node_id = 5)")
+def user_records_only(g):
+    return g.entries.filter(user_records() & data_streams()).select(*K)
+
+
+# Joins ---------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT volume, node_id, path, CAST(depth AS INT) AS depth FROM dp")
+def rebuild_paths(g):
+    return J.folder_paths(g.tables["links"], g.tables["nodes"]).select("volume", "node_id", "path", "depth")
+
+
+@query(f"SELECT {KS}, parent_id, name, length, allocated, n_links, n_streams FROM entries")
+def expand_entries(g):
+    return g.entries.select(*K, "parent_id", "name", "length", "allocated", "n_links", "n_streams")
+
+
+@query("SELECT l.volume, l.node_id, l.name, s.length FROM links l JOIN streams s ON s.volume = l.volume AND s.node_id = l.node_id WHERE l.link_ix = 0 AND s.stream_name = '' AND l.node_id IN (SELECT node_id FROM files WHERE o_orderkey % 3 = 0)", "links")
+def key_lookup(g):
+    keys = g.table("orders").filter("o_orderkey % 3 = 0").select((c("o_orderkey") + 10000000).alias("node_id"))
+    first = g.tables["links"].filter("link_ix = 0").join(keys, "node_id")
+    return first.join(g.tables["streams"].filter("stream_name = ''"), ["volume", "node_id"]).select("volume", "node_id", "name", "length")
+
+
+@query("SELECT volume, parent_id, node_id, link_ix, name FROM links WHERE parent_id BETWEEN 100 AND 999 AND node_id <> 5", "links")
+def children_of(g):
+    parents = g.table("nation").select((c("n_nationkey") + 100).cast("long").alias("parent_id"))
+    return g.tables["links"].join(parents, "parent_id", "left_semi").select("volume", "parent_id", "node_id", "link_ix", "name")
+
+
+@query(f"SELECT {KS}, path FROM entries WHERE list_contains(above_ids, 101)")
+def subtree_of(g):
+    return g.entries.filter(F.array_contains("above_ids", 101)).select(*K, "path")
+
+
+@query("SELECT type_id, CASE type_id WHEN 8 THEN '$DATA' ELSE '' END AS type_name, count(*) AS streams FROM streams GROUP BY ALL", "links")
+def type_dim_join(g):
+    names = g.spark.createDataFrame(list(enumerate(J.ATTRIBUTE_NAMES)), "type_id int, type_name string")
+    return g.tables["streams"].groupBy("type_id").agg(F.count(F.lit(1)).alias("streams")).join(F.broadcast(names), "type_id", "left")
+
+
+@query("SELECT volume, node_id, link_ix, parent_id, name FROM links WHERE parent_id >= 1000 AND parent_id < 10000000 AND parent_id % 50 = 0", "links")
+def orphans(g):
+    left = g.tables["nodes"].filter("NOT (is_dir AND node_id >= 1000 AND node_id % 50 = 0)")
+    return J.orphans(g.tables["links"], left).select("volume", "node_id", "link_ix", "parent_id", "name")
+
+
+@query("SELECT r.volume, r.extent_ix, r.first_record, o_orderkey AS found_record, coalesce(o_orderkey = r.first_record, false) AS matches FROM ranges r LEFT JOIN orders ON o_orderkey = r.first_record AND o_orderstatus <> 'P'", "extents")
+def verify_extents(g):
+    r = X.extent_ranges(g.extents)
+    found = g.table("orders").filter("o_orderstatus != 'P'").select(c("o_orderkey").alias("slot"), c("o_orderkey").alias("found_record"))
+    headers = r.select("volume", c("first_record").alias("slot")).distinct().join(found, "slot")
+    return X.verified_extents(r, headers)
+
+
+# Totals --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT volume, node_id, length, allocated FROM totals", "sized")
+def dir_rollup(g):
+    return g.totals.select("volume", "node_id", "length", "allocated")
+
+
+@query("SELECT volume, parent_id, node_id, link_ix, length, allocated FROM shares", "sized")
+def hardlink_share(g):
+    return G.link_shares(g.tables).select("volume", "parent_id", "node_id", "link_ix", "length", "allocated")
+
+
+@query("SELECT volume, node_id, stream_ix, length, allocated FROM merged", "sized")
+def wof_merge(g):
+    return G.merged_compressed(g.tables["streams"]).select("volume", "node_id", "stream_ix", "length", "allocated")
+
+
+@query(
+    """, l2 AS (SELECT volume, parent_id AS node_id, sum(allocated) AS a FROM shares GROUP BY ALL),
+b2 AS (SELECT f.volume, f.node_id, f.parent_id, 4096 + coalesce(any_value(a), 0) AS allocated, 4096 + coalesce(sum(CASE WHEN s.bulkiness < a // 100 THEN s.bulkiness ELSE 0 END), 0) AS bulkiness FROM folders f LEFT JOIN l2 USING (volume, node_id) LEFT JOIN shares s ON s.volume = f.volume AND s.parent_id = f.node_id WHERE f.node_id >= 1000 GROUP BY ALL),
+c1 AS (SELECT volume, parent_id, allocated, bulkiness FROM b2 UNION ALL SELECT volume, parent_id, allocated, bulkiness FROM shares WHERE parent_id < 1000),
+l1 AS (SELECT volume, parent_id AS node_id, sum(allocated) AS a FROM c1 GROUP BY ALL),
+b1 AS (SELECT f.volume, f.node_id, 5 AS parent_id, 4096 + coalesce(any_value(a), 0) AS allocated, 4096 + coalesce(sum(CASE WHEN s.bulkiness < a // 100 THEN s.bulkiness ELSE 0 END), 0) AS bulkiness FROM folders f LEFT JOIN l1 USING (volume, node_id) LEFT JOIN c1 s ON s.volume = f.volume AND s.parent_id = f.node_id WHERE f.node_id BETWEEN 100 AND 999 GROUP BY ALL),
+l0 AS (SELECT volume, sum(allocated) AS a FROM b1 GROUP BY ALL),
+b0 AS (SELECT f.volume, f.node_id, 4096 + coalesce(sum(CASE WHEN s.bulkiness < a // 100 THEN s.bulkiness ELSE 0 END), 0) AS bulkiness FROM folders f LEFT JOIN l0 USING (volume) LEFT JOIN b1 s ON s.volume = f.volume WHERE f.node_id = 5 GROUP BY ALL)
+SELECT volume, node_id, CAST(bulkiness AS BIGINT) AS bulkiness FROM (SELECT volume, node_id, bulkiness FROM b2 UNION ALL SELECT volume, node_id, bulkiness FROM b1 UNION ALL SELECT volume, node_id, bulkiness FROM b0)""",
+    "sized",
+)
+def bulkiness(g):
+    return G.bulkiness(g.tables)
+
+
+@query("SELECT volume, length, allocated FROM totals WHERE node_id = 5", "sized")
+def reserved_at_root(g):
+    return g.totals.filter("node_id = 5").select("volume", "length", "allocated")
+
+
+@query("SELECT volume, node_id, treesize, files FROM totals", "sized")
+def treesize(g):
+    return g.totals.select("volume", "node_id", "treesize", "files")
+
+
+@query("SELECT volume, node_id, CAST(sum(length) AS BIGINT) AS length, CAST(sum(allocated) AS BIGINT) AS allocated, count(*) AS parts FROM (SELECT volume, node_id, CASE WHEN stream_ix = 0 THEN '' ELSE stream_name END AS name, length, allocated FROM streams) GROUP BY volume, node_id, name", "links")
+def merge_index_attrs(g):
+    name = F.when(c("stream_ix") == 0, "").otherwise(c("stream_name"))
+    return g.tables["streams"].groupBy("volume", "node_id", name.alias("name")).agg(F.sum("length").alias("length"), F.sum("allocated").alias("allocated"), F.count(F.lit(1)).alias("parts")).drop("name")
+
+
+@query("SELECT volume, count(*) AS extent_count, CAST(sum(clusters) AS BIGINT) AS clusters, max(last_record) + 1 AS records, CAST(sum(byte_length) AS BIGINT) AS bytes, count(*) > 1 AS fragmented FROM ranges GROUP BY volume", "extents")
+def extent_summary(g):
+    return X.extent_summary(X.extent_ranges(g.extents))
+
+
+@query("SELECT volume, count(DISTINCT node_id) AS records, count(DISTINCT (node_id, link_ix)) AS names, count(*) AS hits, CAST(sum(length) AS BIGINT) AS bytes FROM entries GROUP BY volume")
+def catalog_stats(g):
+    first_link, first_stream = c("link_ix") == 0, c("stream_ix") == F.min("stream_ix").over(per_node())
+    e = g.entries.select("volume", "node_id", "link_ix", "stream_ix", "length").withColumn("first", first_stream)
+    return e.groupBy("volume").agg(F.count_if(first_link & c("first")).alias("records"), F.count_if("first").alias("names"), F.count(F.lit(1)).alias("hits"), F.sum("length").alias("bytes"))
+
+
+def per_node():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("volume", "node_id")
+
+
+@query(f"SELECT volume, count(*) AS hits FROM entries WHERE {MAIN} AND ends_with(lower(name), '.pdf') GROUP BY volume")
+def hit_count(g):
+    return g.catalog.search("*.pdf").groupBy("volume").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query("SELECT volume, node_id, n_links, n_streams FROM entries GROUP BY ALL")
+def name_stream_counts(g):
+    n = g.tables["links"].groupBy("volume", "node_id").agg(F.count(F.lit(1)).cast("int").alias("n_links"))
+    return n.join(g.tables["streams"].groupBy("volume", "node_id").agg(F.count(F.lit(1)).cast("int").alias("n_streams")), ["volume", "node_id"])
+
+
+@query("SELECT l_orderkey, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS length, CAST(sum(CASE WHEN l_extendedprice < 2000 THEN 0 ELSE CAST(ceil(floor(l_extendedprice) / 4096) AS BIGINT) * 4096 END) AS BIGINT) AS allocated, bool_or(l_returnflag = 'R') AS sparse FROM lineitem GROUP BY l_orderkey", "")
+def stream_size_rules(g):
+    length = F.floor("l_extendedprice")
+    allocated = F.when(c("l_extendedprice") < 2000, 0).otherwise(F.ceil(length / 4096) * 4096)
+    return g.table("lineitem").groupBy("l_orderkey").agg(F.sum(length).alias("length"), F.sum(allocated).alias("allocated"), F.bool_or(c("l_returnflag") == "R").alias("sparse"))
+
+
+BLOCKS = '''SELECT 'C:' AS volume, o_orderkey // 64 AS block, count(*) AS slots, count(*) FILTER (o_orderstatus <> 'F') AS in_use, CAST(coalesce(min(o_orderkey) FILTER (o_orderstatus <> 'F') - min(o_orderkey), count(*)) AS BIGINT) AS "leading", CAST(coalesce(max(o_orderkey) - max(o_orderkey) FILTER (o_orderstatus <> 'F'), 0) AS BIGINT) AS "trailing" FROM orders GROUP BY o_orderkey // 64'''
+
+
+@query(f"SELECT volume, block, slots, in_use FROM ({BLOCKS})", "")
+def slot_popcount(g):
+    return X.block_use(g.slots, 64).select("volume", "block", "slots", "in_use")
+
+
+@query(f'SELECT volume, block, "leading", "trailing" FROM ({BLOCKS})', "")
+def slot_gaps(g):
+    return X.block_use(g.slots, 64).select("volume", "block", "leading", "trailing")
+
+
+# Order-dependent work ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT volume, extent_ix, clusters, first_record, last_record, byte_offset, byte_length FROM ranges", "extents")
+def extent_ranges(g):
+    return X.extent_ranges(g.extents).drop("lcn")
+
+
+@query("SELECT volume, extent_ix, p // 3 AS piece_ix, least(clusters - p, 3) AS clusters, lcn + p AS lcn FROM (SELECT *, unnest(generate_series(0, clusters - 1, 3)) AS p FROM ranges)", "extents")
+def split_extents(g):
+    return X.split_extents(X.extent_ranges(g.extents), 3)
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS INT) AS stream_ix FROM lineitem", "")
+def newest_first_ordinals(g):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy(c("l_shipdate").desc(), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    return g.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", (F.row_number().over(w) - 1).alias("stream_ix"))
+
+
+def sorted_by(name: str, order: list[str], shown: str, sized: bool = False) -> None:
+    def f(g: Given) -> DataFrame:
+        return S.ordered(g.sized if sized else g.entries, *order).select(*K, shown)
+
+    f.__name__ = name
+    query(f"SELECT {KS}, {shown} FROM {'sized' if sized else 'entries'}", "sized" if sized else "entries")(f)
+
+
+sorted_by("sort_name", ["name"], "name")
+sorted_by("sort_path", ["path"], "path")
+sorted_by("sort_type", ["type"], "name")
+sorted_by("sort_size", ["size"], "length", True)
+sorted_by("sort_saved", ["saved"], "length")
+sorted_by("sort_disk", ["disk"], "allocated", True)
+sorted_by("sort_bulkiness", ["bulkiness"], "bulkiness")
+sorted_by("sort_descendants", ["descendants"], "treesize", True)
+sorted_by("sort_time", ["written"], "written_ft")
+sorted_by("sort_physical", ["physical"], "name")
+sorted_by("sort_flags", ["flag:compressed"], "attrs")
+sorted_by("sort_by_level", ["level", "size"], "depth")
+sorted_by("search_by_level", ["level"], "depth")
+
+
+@query(f"SELECT {KS}, path, length FROM entries ORDER BY length DESC, {KS} LIMIT 100")
+def top_k(g):
+    return S.top(g.entries, 100, "size").select(*K, "path", "length")
+
+
+# Sources and sinks ---------------------------------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession) -> str:
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='treelake-')}"
+    return f"{base}/treelake-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT path, name, length AS size, {stamp('written')} AS written FROM entries WHERE {MAIN} AND ends_with(lower(name), '.pdf')")
+def read_catalog(g):
+    out = scratch(g.spark)
+    R.report_lines(R.select_columns(g.catalog.search("*.pdf"), "path,name,size,written")).write.text(out)
+    return R.read_report(g.spark, out, "path,name,size,written").withColumn("written", F.date_format("written", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"SELECT {KS}, path FROM entries WHERE {MAIN} AND volume IN ('C:', 'D:', 'E:') AND ends_with(lower(name), '.mp4')")
+def union_volumes(g):
+    parts = [g.catalog.search("*.mp4", volumes=[v]) for v in ("C", "D", "E")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(*K, "path")
+
+
+@query("SELECT o_custkey AS volume, o_orderkey AS node_id, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS snapshot_us FROM orders WHERE (o_custkey, o_orderdate) IN (SELECT o_custkey, max(o_orderdate) FROM orders GROUP BY o_custkey)", "")
+def latest_snapshot(g):
+    rows = g.table("orders").select(c("o_custkey").alias("volume"), c("o_orderkey").alias("node_id"), F.unix_micros(c("o_orderdate").cast("timestamp")).alias("snapshot_us"))
+    return rows.join(rows.groupBy("volume").agg(F.max("snapshot_us").alias("snapshot_us")), ["volume", "snapshot_us"], "left_semi")
+
+
+@query("SELECT '\"' || path || '\"|\"' || name || '\"|' || length || '|' || CASE WHEN attrs & 1 <> 0 THEN '1' ELSE '0' END AS line FROM entries")
+def write_report(g):
+    return R.report_lines(R.select_columns(g.entries, "path,name,size,readonly"), "|", "DOUBLE")
+
+
+@query("SELECT path || ',' || length || ',' || CASE WHEN length % 2 = 0 THEN '\"' || format('{:,}', length) || '\"' ELSE 'it' END AS line FROM entries WHERE length >= 1000")
+def write_table_export(g):
+    rows = g.entries.filter("length >= 1000").select("path", "length", F.when(c("length") % 2 == 0, F.format_number("length", 0)).otherwise("it").alias("shown"))
+    return R.export_lines(rows)
+
+
+@query("SELECT path FROM entries WHERE stream_name = ''")
+def path_list(g):
+    return R.path_list(g.entries, files_only=True)
+
+
+@query("SELECT volume, count(*) AS extents, CAST(sum(clusters) AS BIGINT) AS clusters, max(last_record) + 1 AS records FROM ranges GROUP BY volume", "extents")
+def extents_json(g):
+    r = X.extent_ranges(g.extents)
+    j = R.extents_json(r, X.extent_summary(r))
+    return j.select("volume", F.size(F.from_json(F.get_json_object("json", "$.extents"), "array<string>")).cast("long").alias("extents"), F.get_json_object("json", "$.summary.clusters").cast("long").alias("clusters"), F.get_json_object("json", "$.summary.records").cast("long").alias("records"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE ends_with(lower(event_type), 'k')", "")
+def standing(g):
+    rows = g.table("events")
+    schema = StructType([f for f in rows.schema.fields if f.name in ("event_id", "user_id", "event_type", "value")])
+    hits = standing_search(g.spark, g.dir, schema, P.matches(c("event_type"), "*K", "glob"), files="events*.parquet")
+    return run_available(hits, scratch(g.spark), scratch(g.spark)).select("event_id", "user_id", "event_type", "value")
+
+
+@query("SELECT l.volume, l.node_id, l.link_ix, dp.path || l.name AS path, CAST(dp.depth + 1 AS INT) AS depth FROM links l JOIN dp ON dp.volume = l.volume AND dp.node_id = l.parent_id WHERE l.name LIKE '%.pdf' AND NOT list_contains(dp.ids, 103)")
+def walk_folders(g):
+    return walk(g.tables, c("name").endswith(".pdf"), c("name") != "NATION_3")
+
+
+NAMES = {"path_parts": "basename_dirname_extension", "user_records_only": "user_records", "newest_first_ordinals": "link_ix_stream_ix", "standing": "standing_search", "walk_folders": "walk"}
 
 
 def queries():
-    return {}
+    return {NAMES.get(n, n): (lambda spark, sf_dir, f=f: f(Given(spark, sf_dir))) for n, (f, _) in FOUND.items()}
 
 
 def oracle_sql():
-    return {}
+    return {NAMES.get(n, n): sql for n, (_, sql) in FOUND.items() if sql}
