@@ -63,3 +63,14 @@ def discard(df: DataFrame) -> None:
         if "/treelake-" in name:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_rest(docs: DataFrame, used: list[str]) -> DataFrame:
+    """The used columns, and all others in one struct ``_rest``, where their names can't clash with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*rest).alias("_rest") if rest else F.lit(None).alias("_rest"))
+
+
+def with_columns_of(docs: DataFrame, df: DataFrame, used: list[str]) -> DataFrame:
+    """The columns of docs again, in their order, from a frame made by with_rest."""
+    return df.select(*(F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in docs.columns))

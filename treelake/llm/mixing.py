@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, settle, whole, words
+from .common import n_words, settle, table, whole, words, with_columns_of, with_rest
 
 WEIGHTS = (3, 1, 2)
 #: The share of all words that the mix takes, and how often one source may be used up.
@@ -118,8 +118,6 @@ def passed(limit: str, k: int) -> Column:
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -133,7 +131,8 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).select(*key, F.array(*(passed("limit", k) for k in range(repeats))).alias("_takes"))
     # rows alike in all of the key share the passes that they were given, in any order
     taken = taken.withColumn("_nth", F.row_number().over(W.partitionBy(*key).orderBy(F.col("_takes").desc())))
-    named = docs.withColumns({f"_{c}": x for c, x in row_key(options.get("seed", SEED)).items()})
+    used = [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
+    named = with_rest(docs, used).withColumns({f"_{c}": x for c, x in row_key(options.get("seed", SEED)).items()})
     named = named.withColumn("_nth", F.row_number().over(W.partitionBy(*(f"_{c}" for c in key)).orderBy(F.lit(0))))
     taken = taken.withColumnsRenamed({c: f"_{c}" for c in key})
     on = [*(f"_{c}" for c in key), "_nth"]
@@ -142,7 +141,7 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    return with_columns_of(docs, rows, used)
 
 
 ORACLE = f"""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import settle, table
+from .common import settle, table, with_columns_of, with_rest
 
 MIN_LINE_WORDS, MIN_SENTENCE_WORDS = 5, 6
 WORDS = re.compile(r"\w+")
@@ -129,7 +129,8 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with each repeated unit at its first place only; n_chars follows the text."""
-    out = cut_repeats(docs).withColumn("text", F.col("_kept"))
+    used = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    out = cut_repeats(with_rest(docs, used)).withColumn("text", F.col("_kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return with_columns_of(docs, out, used)
