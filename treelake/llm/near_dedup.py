@@ -5,11 +5,12 @@ of WIDTH symbols, and each chunk is entered once for every symbol that may be wr
 pigeonhole principle two signatures that differ in fewer than 2 * CHUNKS symbols meet in at least one entry; pairs that
 meet otherwise are looked at too, up to MAX_DISTANCE. At a similarity of 0.8 a pair is missed with a chance of 2e-5.
 
-Equal sets are one node from the start. A bucket's pairs are not written out: each bucket first links its members to one
-seeded centre of its own, so a group of n near copies costs n links per entry. Links are confirmed on the full sets, best
-first, and components are built. Only then are the pairs of a bucket that still lie in different components compared,
-inside the join and by signature, and the survivors confirmed. A pair inside one component needs no look, so the
-components are those of all links that the index can see.
+Equal sets are one node from the start. A bucket's pairs are not written out: each bucket has a centre, its member of
+least hash, and each node is tried against the CENTRES centres that it meets most often, so a group of n near copies costs
+a few n links. Links are confirmed on the full sets, best first, and components are built. Only then are all pairs of a
+bucket that still lie in different components compared, inside the join: by size, by signature, and by how many of their
+shingles any other set has at all, which bounds the likeness of heavily edited copies. The survivors are confirmed. A pair inside one component needs no look, so the components are those of
+all links that the index can see; the centres only save work.
 
 Nulls, ties, repeats: null or wordless text has an empty set and is linked with nothing; rows without an id are linked
 with nothing and kept; rows with one id are one document with several sets; equal sets share a component; an empty table
@@ -26,6 +27,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import settle, table
@@ -38,6 +40,8 @@ LONGS = SYMBOLS // PER_LONG
 MAX_DISTANCE = 27
 PERCENT = 80
 SIGNATURE = [f"s{k}" for k in range(LONGS)]
+#: Centres that a node is tried against before all that is left gets compared.
+CENTRES = 4
 #: Shingles whose hashes are held against all symbols at once.
 STEP = 4096
 
@@ -110,6 +114,26 @@ def distance(a: str, b: str) -> Column:
     return out
 
 
+def shared_shingles(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, own): how many shingles of each of the nodes no other of them has."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            hashes = [np.fromiter(map(xxhash.xxh3_64_intdigest, shingles(unpack.decompress(t.as_py()).decode(), n)), np.uint64).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    rows = texts.join(nodes, "node", "left_semi").mapInArrow(made, "node bigint, hashes array<bigint>").select("node", F.explode("hashes").alias("h"))
+    alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).filter("times = 1")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def can_be_alike(a: str, b: str) -> Column:
+    """Whether the shingles that others have too leave room for a link: they bound what the pair has in common."""
+    most = F.least(F.col(f"{a}common"), F.col(f"{b}common"))
+    return 100 * most >= PERCENT * (F.col(f"{a}n") + F.col(f"{b}n") - most)
+
+
 def alike_in_size(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
@@ -162,12 +186,12 @@ def release() -> None:
 
 def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept."""
-    own = settle(signatures(docs, n))
-    sets = own.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    measured = settle(signatures(docs, n))
+    sets = measured.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     sets = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ["n_shingles", *SIGNATURE]))
     sets = settle(sets)
     keys = entries(sets)
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("key", "node")).alias("centre")).filter("size > 1")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node")).alias("centre")).filter("size > 1")
     # only entries that share their bucket matter from here on
     shared = settle(keys.join(buckets.select("key", "centre"), "key"))
 
@@ -176,7 +200,10 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
         both = pairs.join(one, "a").join(two, "b").filter(alike_in_size("a_n", "b_n"))
         return both.select("a", "b", distance("a_", "b_").alias("distance")).filter(F.col("distance") <= MAX_DISTANCE)
 
-    stars = settle(with_signatures(shared.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()))
+    met = shared.filter("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    # a node has at most as many rows here as it has entries
+    often = F.row_number().over(W.partitionBy("b").orderBy(F.col("times").desc(), "a"))
+    stars = settle(with_signatures(met.withColumn("nth", often).filter(F.col("nth") <= CENTRES).select("a", "b")))
     members = shared.select(F.col("node")).distinct()
     texts = settle(packed_texts(docs).join(members, "node", "left_semi"))
     release()
@@ -198,9 +225,15 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
     # pairs of one bucket in different components
     placed = shared.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    placed = settle(placed.join(mixed, "key", "left_semi").join(sets.select("node", *SIGNATURE).distinct(), "node"))
+    placed = settle(placed.join(mixed, "key", "left_semi"))
+    own_shingles = shared_shingles(texts, placed.select("node").distinct(), n)
+    # an id with several sets has shingles of its own counted over all of them, so nothing is taken off
+    several = sets.groupBy("node").agg((F.count(F.lit(1)) > 1).alias("several"))
+    own = F.when(F.col("several"), 0).otherwise(F.coalesce("own", F.lit(0)))
+    known = sets.join(several, "node").join(own_shingles, "node", "left").select("node", (F.col("n_shingles") - own).alias("common"), *SIGNATURE)
+    placed = settle(placed.join(known.distinct(), "node"))
     one, two = (placed.select("key", *(F.col(c).alias(f"{e}_{c}") for c in placed.columns if c != "key")) for e in "ab")
-    other = one.join(two, "key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & alike_in_size("a_n", "b_n") & (distance("a_", "b_") <= MAX_DISTANCE))
+    other = one.join(two, "key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & alike_in_size("a_n", "b_n") & can_be_alike("a_", "b_") & (distance("a_", "b_") <= MAX_DISTANCE))
     other = settle(other.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
     if not other.isEmpty():
         links = links.unionByName(confirmed(other, texts, n))
@@ -208,7 +241,7 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
     release()
 
     by_set = sets.select("k1", "k2", "node").join(parts, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
-    ids = own.join(by_set, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    ids = measured.join(by_set, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return ids.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
