@@ -49,7 +49,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteBPE:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -65,7 +65,7 @@ class ByteBPE:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.special_pattern = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.special, key=lambda t: (-len(t), t)))) if self.special else None
-        self.remembered = lru_cache(CACHE)(self.encode_piece)
+        self.remembered = lru_cache(cache)(self.encode_piece)
 
     def encode_piece(self, piece: str) -> bytes:
         """The ids of one piece, packed as unsigned 32-bit integers."""
@@ -135,16 +135,19 @@ class ByteBPE:
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> ByteBPE:
-    return ByteBPE(path)
+def tokenizer(path: str, cache: int = CACHE) -> ByteBPE:
+    return ByteBPE(path, cache)
 
 
-def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded) per row of docs: ids as little-endian unsigned 32-bit integers, and the text they decode to."""
+def tokenised(docs: DataFrame, path: str | None = None, cache: int = CACHE) -> DataFrame:
+    """(doc_id, ids, decoded) per row of docs: ids as little-endian unsigned 32-bit integers, and the text they decode to.
+
+    cache: pieces that a Python worker remembers, about 300 bytes each.
+    """
     path = path or default_path()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, cache)
         for batch in batches:
             ids, packed, texts, held = [], [], [], 0
 
