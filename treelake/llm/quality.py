@@ -27,7 +27,7 @@ COMMON = {
 #: The words with bins of their own; the last bin has all others.
 BINS = sorted({w for ws in COMMON.values() for w in ws})
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other ASCII", "beyond ASCII")
-#: Thresholds on the two distances and the lengths from which they count; labelled good texts of such lengths stay below 0.24.
+#: Thresholds on the two distances and the lengths from which they count; set on labelled texts, of which good ones reach 0.24 by words and 0.275 by characters.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.28
 MIN_CHARS, MIN_WORDS = 400, 150
 #: The base rule: at least so many words, at most so many of 100 words in repeated windows of so many words.
