@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", good_texts), ("near duplicates", one_of_each), ("repeated passages", first_places), ("source mix", mixed), ("tokens", tokens)]
 
-#: The near-duplicate and token stages can't be put into SQL; the tests hold run() against a brute-force version.
+#: The near-duplicate and token stages can't be put into SQL; the tests hold each stage's operator against brute force and run the stages in a row.
 ORACLE_SQL = None
 
 
