@@ -117,6 +117,31 @@ def test_url_filter(spark):
     assert got[6] == ("x.com", "/fr/a", "com/fr/", "allow") and got[7][2:] == ("com/de/", "block") and got[8][2:] == (None, "allow")
 
 
+def test_url_filter_judges_nodes_that_are_no_pages(spark):
+    link, refresh = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    cases = [
+        ("http://shop.net/a", link % "http://bad.example.org/es/", "block"),
+        ("http://shop.net/b", refresh % "https://www.example.org:443/es/", "block"),
+        ("http://shop.com:443/de/1", "", "block"),
+        ("http://shop.com:80/de/", "", "block"),
+        ("http://shop.com/x/y", link % "../de/1?q", "block"),
+        ("http://shop.com/z", link % "/de/../it/1", "allow"),
+        ("http://shop.com", link % "de/2", "block"),
+        ("https://shop.net/c", link % "//shop.com/de/3", "block"),
+        ("http://shop.net/d/e", f'<base href="//shop.com/de/">{link % "f"}', "block"),
+        ("http://shop.net/f", link % "/to?next=http://shop.com/de/", "allow"),
+        ("http://shop.net/g", refresh % "mailto:me@shop.com", "allow"),
+        ("http://shop.net/h", (link % "http://shop.com/de/4") + refresh % "http://shop.com/fr/4", "allow"),
+        ("http://www.chain.net/1", "", "block"),
+        ("http://chain.net/5", "", "allow"),
+        ("nothing", link % "/de/1", "allow"),
+    ]
+    redirects = [("http://chain.net/1", "/2"), ("http://chain.net/2", "http://shop.com/de/9"), ("http://shop.com/de/9", "http://chain.net/3"), ("http://chain.net/5", None), (None, "http://shop.com/de/")]
+    pages = spark.createDataFrame([(k, url, html) for k, (url, html, _) in enumerate(cases)], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.classified(pages, redirects=spark.createDataFrame(redirects, "from_url string, to_url string")).collect()}
+    assert got == {k: (None, verdict) for k, (_, _, verdict) in enumerate(cases)}
+
+
 def test_quality_base_rule(docs, rows):
     got = {r.doc_id: r for r in quality.judged(docs).collect()}
     for i, text, *_ in rows[:-2]:

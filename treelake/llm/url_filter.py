@@ -1,15 +1,17 @@
 """URL filters: explicit host and path rules, and block decisions carried to the aliases of blocked pages.
 
-Addresses are nodes: lower-case host without a leading www. or m. label, port 80 or 443 dropped, path without a closing
-slash, no query, no fragment. An edge joins a page's address as written (without query and fragment) to what it stands
-for: its normalised address, the target of a canonical link in its HTML, and the target of a meta refresh. Connected
-components of these edges are classes of aliases. A page that no rule fits is blocked if a page of its class is blocked
-by a rule and none is allowed by one: an explicit allow, of the page or in its class, comes first. All other pages are
-allowed.
+Addresses are nodes: host in lower case and path, no query, no fragment. The normal form of an address has no leading www.
+or m. label, no port 80 or 443, no . or .. segments and no closing slash. An edge joins a page's address as written to what
+it stands for: the target of a canonical link in its HTML, the target of a meta refresh, and that of a redirect; another
+joins each of these addresses to its normal form. Relative targets are resolved against the page's base link or address.
+Connected components of these edges are classes of aliases, and the rules are applied to all addresses in them, whether
+pages or not: as written, and where no rule fits, in the normal form, but with the closing slash. A page that no rule fits
+is blocked if an address of its class is blocked by a rule and none is allowed by one: an explicit allow, of the page or in
+its class, comes first. All other pages are allowed.
 
 Nulls, ties, repeats: a null URL or one without :// has an empty host and path, fits no rule, has no aliases and is
-allowed; null HTML has no links; rows with one address share its class; an empty table gives an empty result; columns
-beyond page_id, url and html don't matter.
+allowed; null HTML has no links; targets with a scheme but no :// and those without a host are no addresses; rows with one
+address share its class; an empty table gives an empty result; columns beyond page_id, url and html don't matter.
 """
 
 from __future__ import annotations
@@ -42,44 +44,84 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def normal_address(host: Column, path: Column) -> Column:
-    """What an address stands for; null for an empty host."""
-    bare = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^(www|m)\.(?=[^.]+\.)", "")
-    return F.when(host != "", F.concat(bare, F.regexp_replace(path, r"/+$", "")))
+def normal_host(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^(www|m)\.(?=[^.]+\.)", "")
 
 
-def link_targets(html: Column) -> Column:
-    """Absolute targets of canonical links and meta refreshes."""
+def without_dots(path: Column) -> Column:
+    """The path without its . and .. segments; one that ends in them keeps a closing slash."""
+
+    def step(stack: Column, x: Column) -> Column:
+        # the empty segment before the first slash stays
+        above = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(1)))
+        return F.when(x == "..", above).when(x == ".", stack).otherwise(F.concat(stack, F.array(x)))
+
+    parts = F.split(F.concat(path, F.when(path.rlike(r"/\.\.?\z"), "/").otherwise("")), "/", -1)
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")).otherwise(path)
+
+
+def address(host: Column, path: Column) -> Column:
+    """The node of an address; null for an empty host. A host has no slash, a path is empty or begins with one."""
+    return F.when(host != "", F.concat(host, path))
+
+
+def node_host(node: Column) -> Column:
+    return F.substring_index(node, "/", 1)
+
+
+def node_path(node: Column) -> Column:
+    return F.regexp_extract(node, r"(?s)\A[^/]*(.*)", 1)
+
+
+def normal_address(node: Column) -> Column:
+    """What an address stands for; null for null."""
+    return F.concat(normal_host(node_host(node)), F.regexp_replace(without_dots(node_path(node)), r"/+$", ""))
+
+
+def resolved(target: Column, node: Column) -> Column:
+    """The node that a target, absolute or relative to a node, leads to; null if it leads to none."""
+    full = F.when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
+    path = F.regexp_extract(target, r"(?s)\A[^?#]*", 0)
+    folder = F.concat(node_host(node), F.regexp_replace(node_path(node), r"[^/]*\z", ""))
+    beside = F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), path)
+    other = F.when(path == "", node).when(path.startswith("/"), F.concat(node_host(node), path)).otherwise(beside)
+    relative = F.when((target != "") & ~target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), other)
+    to = F.when(full.isNotNull(), address(host_of(full), path_of(full))).otherwise(relative)
+    return F.concat(node_host(to), without_dots(node_path(to)))
+
+
+def links_of(html: Column) -> Column:
+    """base: the HTML's base link, null if it has none; targets: those of its canonical link and its meta refresh."""
+    base = F.regexp_extract(html, r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     canonical = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
     refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    return F.filter(F.array(canonical, refresh), lambda x: x.contains("://"))
+    return F.struct(F.when(base != "", base).alias("base"), F.filter(F.array(canonical, refresh), lambda x: x != "").alias("targets"))
 
 
 def classified(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """Per row of pages: page_id, host, path, rule and verdict. redirects: further edges (from_url, to_url)."""
     html = pages["html"] if "html" in pages.columns else F.lit("")
-    seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), link_targets(whole(html)).alias("targets"))
-    seen = seen.withColumn("address", F.when(F.col("host") != "", F.concat("host", "path")))
+    seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), links_of(whole(html)).alias("links"))
+    seen = seen.withColumn("address", address(F.col("host"), F.col("path")))
     seen = seen.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     seen = settle(seen)
 
-    def named(url: Column) -> Column:
-        return F.concat(host_of(url), path_of(url))
-
-    stands_for = normal_address(F.col("host"), F.col("path"))
-    edges = seen.filter(F.col("address").isNotNull()).select(F.col("address").alias("a"), stands_for.alias("b"))
-    linked = seen.filter(F.size("targets") > 0).select(F.col("address").alias("a"), F.explode("targets").alias("to"))
-    edges = edges.unionByName(linked.select("a", named(F.col("to")).alias("b")))
-    edges = edges.unionByName(linked.select(named(F.col("to")).alias("a"), normal_address(host_of(F.col("to")), path_of(F.col("to"))).alias("b")))
+    linked = seen.filter(F.size("links.targets") > 0).select(F.col("address").alias("a"), "links.base", F.explode("links.targets").alias("to"))
+    linked = linked.select("a", F.coalesce(resolved(F.col("base"), F.col("a")), F.col("a")).alias("base"), "to").select("a", resolved(F.col("to"), F.col("base")).alias("b"))
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(named(F.col("from_url")).alias("a"), named(F.col("to_url")).alias("b")))
-    edges = edges.filter((F.col("a") != F.col("b")) & (F.col("a") != "") & (F.col("b") != "")).distinct()
+        ends = redirects.select(address(host_of(F.col("from_url")), path_of(F.col("from_url"))).alias("a"), "to_url")
+        linked = linked.unionByName(ends.select("a", resolved(F.col("to_url"), F.col("a")).alias("b")))
+    nodes = seen.select(F.col("address").alias("a")).unionByName(linked.select(F.explode(F.array("a", "b")).alias("a")))
+    edges = linked.unionByName(nodes.select("a", normal_address(F.col("a")).alias("b")))
+    edges = edges.filter(F.col("a") != F.col("b")).distinct()
     classes = connected_components(edges, "string")
-    # the words of all rules that hold within a class, by address first: a page's rows are joined on its address
-    ruled = seen.filter(F.col("address").isNotNull()).groupBy("address").agg(F.max(F.col("fit.verdict") == "allow").alias("allowed"), F.max(F.col("fit.verdict") == "block").alias("blocked"))
-    ruled = ruled.join(classes.withColumnsRenamed({"node": "address"}), "address", "left").withColumn("component", F.coalesce("component", "address"))
-    votes = ruled.groupBy("component").agg(F.max("allowed").alias("any_allowed"), F.max("blocked").alias("any_blocked"))
-    by_address = ruled.select("address", "component").join(votes.filter(F.col("any_blocked") & ~F.coalesce("any_allowed", F.lit(False))), "component").select("address", F.lit(True).alias("blocked"))
+    # the words of all rules that hold within a class, be its addresses pages or not; one outside the classes has no aliases.
+    # A normal form is judged in the spellings that lead to it, as rules may end in the slash that it lacks.
+    host, path = node_host(F.col("node")), node_path(F.col("node"))
+    fit = F.coalesce(fitting_rule(host, path, rules), fitting_rule(normal_host(host), without_dots(path), rules))
+    judged = nodes.filter(F.col("a").isNotNull()).select(F.col("a").alias("node")).distinct().withColumn("fit", fit).filter(F.col("fit").isNotNull()).join(classes, "node")
+    votes = judged.groupBy("component").agg(F.max(F.col("fit.verdict") == "allow").alias("any_allowed"), F.max(F.col("fit.verdict") == "block").alias("any_blocked"))
+    by_address = classes.join(votes.filter(F.col("any_blocked") & ~F.col("any_allowed")), "component").select(F.col("node").alias("address"), F.lit(True).alias("blocked"))
     free = seen.filter(F.col("fit").isNull()).join(by_address, "address", "left")
     out = free.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("blocked"), "block").otherwise("allow").alias("verdict"))
     return out.unionByName(seen.filter(F.col("fit").isNotNull()).select("page_id", "host", "path", "fit.rule", "fit.verdict"))
