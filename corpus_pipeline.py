@@ -22,7 +22,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def first_places(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines and sentences that an earlier document has, or that stand earlier in the same one."""
+    """Cuts paragraphs, lines, sentences and clauses that an earlier document has, or that stand earlier in the same one."""
     return substring_dedup.keep_first(docs)
 
 

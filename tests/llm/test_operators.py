@@ -83,6 +83,15 @@ def test_line_dedup(docs, rows):
     assert got == expected
 
 
+def test_line_dedup_of_writing_without_spaces_clauses_and_paragraphs(spark):
+    han = "漢字" * 15
+    clause, verse = "one two three four five six seven eight", "red rose\nblue sea\ngold sun"
+    texts = [f"{han}甲。{han}乙。", f"新{han}丙。{han}甲。", f"Here, {clause}, and then they all went away again", f"Other people say that, {clause}, nobody knows why", f"{verse}\n\nend", f"start\n\n{verse}\n", "... a b c d e f g"]
+    got = {r.doc_id: r._kept for r in substring_dedup.cut_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    cut = {1: f"新{han}丙。", 3: "Other people say that, nobody knows why", 5: "start\n\n"}
+    assert got == {k: cut.get(k, t) for k, t in enumerate(texts)}
+
+
 def test_license_scan(docs):
     got = {r.doc_id: r for r in license_scan.scanned(docs).collect()}
     assert (got[16].base_labels, got[16].labels, got[16].n_base, got[16].first_word, got[16].score) == ("mit", "mit,mit-notice", 1, 3, 1.0)

@@ -1,6 +1,9 @@
-"""Substring dedup: hash the lines of all texts and the sentences within them, keep each one's earliest place, cut the rest.
+"""Substring dedup: hash the lines of all texts and what they hold, keep each one's earliest place, cut the rest.
 
-A unit is a line of MIN_LINE_WORDS words or more, or a sentence of a line with MIN_SENTENCE_WORDS or more. It is
+A unit is a line, a sentence of a line, a clause of a long sentence, or a paragraph with lines too short to be units. It is
+long enough by its words or by its characters: writing without spaces is one word, whatever its length. A part with all
+the words of its whole is no unit of its own. What repeats without being a unit stays: a passage that begins or ends
+inside a clause keeps that clause's words in every copy. A unit is
 normalised (lower case, words only, one space between them) and hashed to 128 bits. The digests of all documents are
 counted; units whose digest is there once go no further. Of each other digest the occurrence ranked first stays, ranked
 by document id (null last), text hash and offset; all the others are cut from their texts. A line goes with its line
@@ -26,28 +29,57 @@ from pyspark.sql.types import StringType
 
 from .common import settle, table, with_columns_of, with_rest
 
-MIN_LINE_WORDS, MIN_SENTENCE_WORDS = 5, 6
+MIN_LINE_WORDS, MIN_SENTENCE_WORDS, MIN_CLAUSE_WORDS = 5, 6, 8
+#: Word characters of a unit with fewer words; a sentence is long beyond so many words or word characters.
+MIN_CHARS, LONG_WORDS, LONG_CHARS = 30, 12, 60
 WORDS = re.compile(r"\w+")
-#: Where a sentence ends within a line; the next one begins behind the spaces.
-STOP = re.compile(r"[.!?]+[^\S\n]+")
+#: Where a sentence ends within a line, and a clause within a sentence; the next one begins behind the spaces.
+STOP = re.compile(r"""[.!?؟۔।]+["'”’»)\]]*[^\S\n]+|[。！？｡]+[”’」』）]*[^\S\n]*""")
+PAUSE = re.compile(r"[,;:،؛]+[^\S\n]+|[，、；：､]+[^\S\n]*")
 BATCH_UNITS = 50_000
 
 
+def beyond(words: list[str], n_words: int, n_chars: int) -> bool:
+    return len(words) >= n_words or sum(map(len, words)) >= n_chars
+
+
+def pieces(text: str, start: int, end: int, mark: re.Pattern) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of what the marks divide a stretch of text into."""
+    cuts = [start, *(m.end() for m in mark.finditer(text, start, end)), end]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield a, b, WORDS.findall(text[a:b].lower())
+
+
 def units(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, normalised bytes) of each line and sentence that is long enough. A line that is one sentence counts once."""
-    at = 0
-    for line in text.split("\n"):
+    """(start, end, normalised bytes) of each paragraph, line, sentence and clause that is a unit."""
+
+    def unit(start: int, end: int, words: list[str]) -> tuple[int, int, bytes]:
+        return start, end, " ".join(words).encode()
+
+    at, block, short = 0, [], False
+    # the empty line behind the text ends its last paragraph
+    for line in [*text.split("\n"), ""]:
         end = at + len(line)
         found = WORDS.findall(line.lower())
-        if len(found) >= MIN_LINE_WORDS:
-            yield at, min(end + 1, len(text)), " ".join(found).encode()
-            if len(found) > MIN_SENTENCE_WORDS:
-                cuts = [0, *(m.end() for m in STOP.finditer(line)), len(line)]
-                if len(cuts) > 2:
-                    for a, b in zip(cuts, cuts[1:], strict=False):
-                        part = WORDS.findall(line[a:b].lower())
-                        if len(part) >= MIN_SENTENCE_WORDS:
-                            yield at + a, at + b, " ".join(part).encode()
+        enough = beyond(found, MIN_LINE_WORDS, MIN_CHARS)
+        if enough:
+            yield unit(at, min(end + 1, len(text)), found)
+            for a, b, sentence in pieces(text, at, end, STOP):
+                if len(sentence) < len(found) and beyond(sentence, MIN_SENTENCE_WORDS, MIN_CHARS):
+                    yield unit(a, b, sentence)
+                if beyond(sentence, LONG_WORDS + 1, LONG_CHARS + 1):
+                    for c, d, clause in pieces(text, a, b, PAUSE):
+                        if len(clause) < len(sentence) and beyond(clause, MIN_CLAUSE_WORDS, MIN_CHARS):
+                            yield unit(c, d, clause)
+        if found:
+            block.append((at, end, found))
+            short |= not enough
+        else:
+            if short and len(block) > 1:
+                words = [w for _, _, line_words in block for w in line_words]
+                if beyond(words, MIN_LINE_WORDS, MIN_CHARS):
+                    yield unit(block[0][0], min(block[-1][1] + 1, len(text)), words)
+            block, short = [], False
         at = end + 1
 
 
