@@ -270,3 +270,12 @@ def test_fingerprints(unique, rows, docs):
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
     assert got[4].fingerprint == got[10].fingerprint and got[6].fingerprint == ""
     assert fingerprints.fingerprinted(docs).count() == len(rows)
+
+
+def test_fingerprints_of_ids_beyond_doubles(spark):
+    r = random.Random(3)
+    order = sorted(((r.randrange(2**60, 2**62) | 1, prose(r, 20)) for _ in range(90)), reverse=True)
+    got = {x.doc_id: x.edited_sha256 for x in fingerprints.fingerprinted(spark.createDataFrame(order, "doc_id bigint, text string")).collect()}
+    for k, (i, t) in enumerate(order):
+        half = len(t) // 2
+        assert got[i] == hashlib.sha256((t[: len(t) - half] + order[(k + 1) % len(order)][1][:half]).encode()).hexdigest()

@@ -57,25 +57,34 @@ def merged(a: Column, b: Column) -> Column:
     return F.sort_array(F.array_union(a, b))
 
 
+def range_of(bounds: list[int]) -> Column:
+    """The number of bounds below doc_id, by halving; 0 for a null id."""
+    array = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
+    halves = F.array(*(F.lit(1 << b) for b in range(len(bounds).bit_length() - 1, -1, -1))) if bounds else F.array(F.lit(1))
+    below = F.aggregate(halves, F.lit(0), lambda n, step: n + F.when(F.get(array, n + step - 1) < F.col("doc_id"), step).otherwise(0))
+    return F.coalesce(below, F.lit(0))
+
+
 def paired_with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sketch and, in ``next``, text and sketch of the document that follows by descending id.
 
-    Ids are cut into ranges at quantiles, found from the id column alone; there are four to a shuffle partition. A range
-    holds the ids up to and with its upper bound, so the row that follows the last one of a range is the one whose id is
-    the bound of the range below: rows at bounds are dealt to both ranges, and the texts move once.
+    Ids are cut into ranges at quantiles, found from the id column alone; there are four to a shuffle partition. Quantiles
+    are computed as doubles and need not be ids, so each range's largest id becomes its upper bound. The row that follows
+    the last one of a range is the one whose id is the bound of the range below: rows at bounds are dealt to both ranges,
+    and the texts move once.
     """
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = [k / ranges for k in range(1, ranges)]
-    found = docs.agg(F.percentile_approx("doc_id", steps, 10 * ranges).alias("q"), F.max("doc_id").alias("top")).first()
-    bounds = sorted({*(found.q or []), *([] if found.top is None else [found.top])})
+    ids = docs.select(F.col("doc_id").cast("long"))
+    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", steps, 10 * ranges)).first()[0] or []))
+    # one row per range that has ids
+    tops = ids.filter(F.col("doc_id").isNotNull()).groupBy(range_of(cuts).alias("range")).agg(F.max("doc_id").alias("top")).collect()
+    bounds = sorted(t.top for t in tops)
     df = docs.select(F.col("doc_id").cast("long"), whole(F.col("text")).alias("text"))
     df = with_sketch(df, "text", "sketch")
+    df = df.withColumn("range", range_of(bounds))
     array = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
-    # the number of bounds below the id, by halving
-    halves = F.array(*(F.lit(1 << b) for b in range(len(bounds).bit_length() - 1, -1, -1))) if bounds else F.array(F.lit(1))
-    below = F.aggregate(halves, F.lit(0), lambda n, step: n + F.when(F.get(array, n + step - 1) < F.col("doc_id"), step).otherwise(0))
-    df = df.withColumn("range", F.coalesce(below, F.lit(0)))
     at_bound = F.get(array, F.col("range")).eqNullSafe(F.col("doc_id"))
     follows = F.when(at_bound, F.when(F.col("range") == max(len(bounds) - 1, 0), F.struct(F.lit(0).alias("range"), F.lit(1).alias("extra"))).otherwise(F.struct((F.col("range") + 1).alias("range"), F.lit(1).alias("extra"))))
     dealt = F.array_compact(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("extra")), follows))
