@@ -65,9 +65,14 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by name, also where a name has a dot."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def with_rest(docs: DataFrame, used: list[str]) -> DataFrame:
     """The used columns, and all others in one struct ``_rest``, where their names can't clash with an operator's own."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    rest = quoted([c for c in docs.columns if c not in used])
     return docs.select(*used, F.struct(*rest).alias("_rest") if rest else F.lit(None).alias("_rest"))
 
 

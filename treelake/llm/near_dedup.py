@@ -5,12 +5,16 @@ of WIDTH symbols, and each chunk is entered once for every symbol that may be wr
 pigeonhole principle two signatures that differ in fewer than 2 * CHUNKS symbols meet in at least one entry; pairs that
 meet otherwise are looked at too, up to MAX_DISTANCE. At a similarity of 0.8 a pair is missed with a chance of 2e-5.
 
-Equal sets are one node from the start. A bucket's pairs are not written out: each bucket has a centre, its member of
-least hash, and each node is tried against the CENTRES centres that it meets most often, so a group of n near copies costs
-a few n links. Links are confirmed on the full sets, best first, and components are built. Only then are all pairs of a
-bucket that still lie in different components compared, inside the join: by size, by signature, and by how many of their
-shingles any other set has at all, which bounds the likeness of heavily edited copies. The survivors are confirmed. A pair inside one component needs no look, so the components are those of
-all links that the index can see; the centres only save work.
+Equal sets are one node from the start. A bucket's pairs are not written out: each bucket has a centre, the member that
+meets most others in all its entries, and each node is tried against the CENTRES centres that it meets most often, so a
+group of n near copies costs a few n links. Links are confirmed on the full sets, best first, and components are built.
+Then come the pairs of a bucket that still lie in different components. In buckets of up to CROWD members all of them are
+compared. In crowded ones an exact prefix filter names the pairs that can be alike at all: with shingles ordered by how
+many nodes have them, the rarest first, two sets of similarity 0.8 share one among the first n - ceil(8n/9) + 1 of the
+smaller and the first n - ceil(4n/5) + 1 of the larger set. Shingles that one node alone has take places there but make no
+pair, so heavily edited copies meet nothing; and per shingle only nodes outside the component that holds most of it look
+at the others, so one linked group costs no pairs either. All that is left is compared by signature and confirmed. A pair
+inside one component needs no look, so the components are those of all links that the index can see.
 
 Nulls, ties, repeats: null or wordless text has an empty set and is linked with nothing; rows without an id are linked
 with nothing and kept; rows with one id are one document with several sets; equal sets share a component; an empty table
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import discard, quoted, settle, table
 from .components import connected_components
 
 CHUNKS, WIDTH, PER_LONG = 10, 6, 3
@@ -42,6 +46,10 @@ PERCENT = 80
 SIGNATURE = [f"s{k}" for k in range(LONGS)]
 #: Centres that a node is tried against before all that is left gets compared.
 CENTRES = 4
+#: Members up to which a bucket's pairs are all compared; above, the prefix filter names them.
+CROWD = 32
+#: Pairs of one node that share a copy of its text.
+BLOCK_PAIRS = 256
 #: Shingles whose hashes are held against all symbols at once.
 STEP = 4096
 
@@ -114,24 +122,43 @@ def distance(a: str, b: str) -> Column:
     return out
 
 
-def shared_shingles(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, own): how many shingles of each of the nodes no other of them has."""
+def rare_prefixes(texts: DataFrame, parts: DataFrame, n: int) -> DataFrame:
+    """(h, node, n, position, rank, narrow, component): the rare shingles by which each of the nodes in parts looks for others.
+
+    position counts all shingles of the set, rarest first, rank only those that another set has too; narrow tells whether
+    the place is among the first of the set as the smaller one of a pair.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             hashes = [np.fromiter(map(xxhash.xxh3_64_intdigest, shingles(unpack.decompress(t.as_py()).decode(), n)), np.uint64).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["node", "hashes"])
-
-    rows = texts.join(nodes, "node", "left_semi").mapInArrow(made, "node bigint, hashes array<bigint>").select("node", F.explode("hashes").alias("h"))
-    alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).filter("times = 1")
-    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-
-
-def can_be_alike(a: str, b: str) -> Column:
-    """Whether the shingles that others have too leave room for a link: they bound what the pair has in common."""
-    most = F.least(F.col(f"{a}common"), F.col(f"{b}common"))
-    return 100 * most >= PERCENT * (F.col(f"{a}n") + F.col(f"{b}n") - most)
+            which = pa.array([xxhash.xxh3_64_intdigest(np.sort(h).tobytes()) >> 1 for h in hashes], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), which, pa.array(hashes, pa.list_(pa.int64()))], ["node", "set", "hashes"])
+
+    rows = texts.join(parts.select("node"), "node", "left_semi").mapInArrow(made, "node bigint, set bigint, hashes array<bigint>")
+    rows = settle(rows.select("node", "set", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("h")))
+    holders = rows.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    # the shingles of one text
+    own = W.partitionBy("node", "set")
+    ranked = rows.join(holders, "h").withColumns({"rank": F.row_number().over(own.orderBy("holders", "h")), "common": F.count(F.lit(1)).over(own)})
+    ranked = ranked.withColumn("position", F.col("n") - F.col("common") + F.col("rank"))
+    ranked = ranked.filter("position <= n - (4 * n + 4) div 5 + 1").withColumn("narrow", F.expr("position <= n - (8 * n + 8) div 9 + 1"))
+    return ranked.join(parts, "node").select("h", "node", "n", "position", "rank", "narrow", "component")
+
+
+def prefix_pairs(prefixes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components that share a rare shingle and may share enough of the others."""
+    held = prefixes.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
+    most = held.groupBy("h").agg(F.max_by("component", "k").alias("major"), F.count(F.lit(1)).alias("components")).filter("components > 1")
+    rows = settle(prefixes.join(most, "h").withColumn("minor", F.col("component") != F.col("major")))
+    small, large = (rows.select("h", *(F.col(c).alias(f"{e}_{c}") for c in ["node", "n", "position", "rank", "narrow", "component", "minor"])) for e in "ab")
+    # what comes before the shared shingle in both, itself included, and what comes after it in both
+    room = F.least("a_rank", "b_rank") + F.least(F.col("a_n") - F.col("a_position"), F.col("b_n") - F.col("b_position"))
+    fits = (F.col("a_component") != F.col("b_component")) & (F.col("a_n") <= F.col("b_n")) & alike_in_size("a_n", "b_n") & (9 * room >= 4 * (F.col("a_n") + F.col("b_n")))
+    small = small.filter("a_narrow")
+    pairs = small.filter("a_minor").join(large, "h").filter(fits).unionByName(small.filter("NOT a_minor").join(large.filter("b_minor"), "h").filter(fits))
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
 def alike_in_size(a: str, b: str) -> Column:
@@ -150,25 +177,32 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike; written to the shared folder."""
+    """The pairs (a, b) whose full sets are alike; written to the shared folder.
+
+    The pairs of one a are dealt into blocks of about BLOCK_PAIRS. a's text goes to each block once and comes before the
+    texts of its partners, which are read one after the other.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, last = zstandard.ZstdDecompressor(), (None, set())
+        unpack, block, held = zstandard.ZstdDecompressor(), None, []
         for batch in batches:
-            a, b = [], []
-            for x, y, tx, ty in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if last[0] != tx:
-                    last = tx, shingles(unpack.decompress(tx).decode(), n)
-                p, q = last[1], shingles(unpack.decompress(ty).decode(), n)
-                both = len(p & q)
-                if both and 100 * both >= PERCENT * (len(p) + len(q) - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    t = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("tb")), "b")
-    t = t.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return settle(t.mapInArrow(made, "a bigint, b bigint"))
+            found = []
+            for x, k, y, packed in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                q = shingles(unpack.decompress(packed).decode(), n)
+                if block != (x, k):
+                    block, held = (x, k), []
+                if y is None:
+                    held.append(q)
+                elif any(100 * (both := len(p & q)) >= PERCENT * (len(p) + len(q) - both) for p in held if q):
+                    found.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PAIRS).alias("blocks"))
+    dealt = pairs.select("a", "b").join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
+    heads = dealt.select("a", "block").distinct().join(texts.select(F.col("node").alias("a"), "packed"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "packed")
+    partners = dealt.join(texts.select(F.col("node").alias("b"), "packed"), "b").select("a", "block", "b", "packed")
+    rows = heads.unionByName(partners).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return settle(rows.mapInArrow(made, "a bigint, b bigint"))
 
 
 def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -191,16 +225,20 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
     sets = sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ["n_shingles", *SIGNATURE]))
     sets = settle(sets)
     keys = entries(sets)
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node")).alias("centre")).filter("size > 1")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # only entries that share their bucket matter from here on
-    shared = settle(keys.join(buckets.select("key", "centre"), "key"))
+    shared = settle(keys.join(sizes, "key"))
+    # how many others a node meets in all its entries, with a few bits of hash against ties
+    reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
+    ranked = shared.join(reach, "node").select("key", "node", (F.shiftleft("reach", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("reach"))
+    centres = ranked.groupBy("key").agg(F.max_by("node", "reach").alias("centre"))
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("node").alias(e), F.col("n_shingles").alias(f"{e}_n"), *(F.col(s).alias(f"{e}_{s}") for s in SIGNATURE)) for e in "ab")
         both = pairs.join(one, "a").join(two, "b").filter(alike_in_size("a_n", "b_n"))
         return both.select("a", "b", distance("a_", "b_").alias("distance")).filter(F.col("distance") <= MAX_DISTANCE)
 
-    met = shared.filter("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    met = shared.join(centres, "key").filter("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     # a node has at most as many rows here as it has entries
     often = F.row_number().over(W.partitionBy("b").orderBy(F.col("times").desc(), "a"))
     stars = settle(with_signatures(met.withColumn("nth", often).filter(F.col("nth") <= CENTRES).select("a", "b")))
@@ -223,21 +261,23 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
         release()
 
     # pairs of one bucket in different components
-    placed = shared.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = shared.join(parts, "node", "left").select("key", "node", "n", "size", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
     placed = settle(placed.join(mixed, "key", "left_semi"))
-    own_shingles = shared_shingles(texts, placed.select("node").distinct(), n)
-    # an id with several sets has shingles of its own counted over all of them, so nothing is taken off
-    several = sets.groupBy("node").agg((F.count(F.lit(1)) > 1).alias("several"))
-    own = F.when(F.col("several"), 0).otherwise(F.coalesce("own", F.lit(0)))
-    known = sets.join(several, "node").join(own_shingles, "node", "left").select("node", (F.col("n_shingles") - own).alias("common"), *SIGNATURE)
-    placed = settle(placed.join(known.distinct(), "node"))
-    one, two = (placed.select("key", *(F.col(c).alias(f"{e}_{c}") for c in placed.columns if c != "key")) for e in "ab")
-    other = one.join(two, "key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & alike_in_size("a_n", "b_n") & can_be_alike("a_", "b_") & (distance("a_", "b_") <= MAX_DISTANCE))
-    other = settle(other.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
+    discard(shared)
+    few = placed.filter(F.col("size") <= CROWD)
+    one, two = (few.select("key", *(F.col(c).alias(f"{e}_{c}") for c in ("node", "n", "component"))) for e in "ab")
+    pairs = one.join(two, "key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & alike_in_size("a_n", "b_n"))
+    pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    crowd = settle(placed.filter(F.col("size") > CROWD).select("node", "component").distinct())
+    if not crowd.isEmpty():
+        pairs = pairs.unionByName(prefix_pairs(settle(rare_prefixes(texts, crowd, n)))).distinct()
+    other = settle(with_signatures(pairs))
     if not other.isEmpty():
         links = links.unionByName(confirmed(other, texts, n))
         parts = connected_components(links)
+    discard(placed)
+    discard(texts)
     release()
 
     by_set = sets.select("k1", "k2", "node").join(parts, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
@@ -252,4 +292,4 @@ def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
     """The rows of docs but those of documents with a near copy of smaller id; an id is dropped with all its rows."""
     gone = grouped(docs.select("doc_id", "text"), n).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))
