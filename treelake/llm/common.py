@@ -76,6 +76,6 @@ def with_rest(docs: DataFrame, used: list[str]) -> DataFrame:
     return docs.select(*used, F.struct(*rest).alias("_rest") if rest else F.lit(None).alias("_rest"))
 
 
-def with_columns_of(docs: DataFrame, df: DataFrame, used: list[str]) -> DataFrame:
-    """The columns of docs again, in their order, from a frame made by with_rest."""
-    return df.select(*(F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in docs.columns))
+def with_columns_of(docs: DataFrame, df: DataFrame, used: list[str], *more: Column) -> DataFrame:
+    """The columns of docs again, in their order, from a frame made by with_rest; then more."""
+    return df.select(*(F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in docs.columns), *more)

@@ -9,12 +9,14 @@ Equal sets are one node from the start. A bucket's pairs are not written out: ea
 meets most others in all its entries, and each node is tried against the CENTRES centres that it meets most often, so a
 group of n near copies costs a few n links. Links are confirmed on the full sets, best first, and components are built.
 Then come the pairs of a bucket that still lie in different components. In buckets of up to CROWD members all of them are
-compared. In crowded ones an exact prefix filter names the pairs that can be alike at all: with shingles ordered by how
-many nodes have them, the rarest first, two sets of similarity 0.8 share one among the first n - ceil(8n/9) + 1 of the
-smaller and the first n - ceil(4n/5) + 1 of the larger set. Shingles that one node alone has take places there but make no
-pair, so heavily edited copies meet nothing; and per shingle only nodes outside the component that holds most of it look
-at the others, so one linked group costs no pairs either. All that is left is compared by signature and confirmed. A pair
-inside one component needs no look, so the components are those of all links that the index can see.
+compared. In crowded ones an exact prefix filter names the pairs that can be alike at all. Each member is described by
+what sets it apart from the bucket's centre: the shingles that only one of the two has. Two sets of sizes m and n are alike
+if they differ in at most (m + n) / 9 shingles, so members with s and t differences must share (s + t - (m + n) / 9) / 2 of
+them, and with differences ordered by how many members have them, the rarest first, share one among the first of both.
+Differences that one member has alone take places there but make no pair, so copies edited each in its own way meet
+nothing; and per difference only members outside the component that holds most of it look at the others, so one linked
+group costs no pairs either. All that is left is compared by signature and confirmed. A pair inside one component needs
+no look, so the components are those of all links that the index can see.
 
 Nulls, ties, repeats: null or wordless text has an empty set and is linked with nothing; rows without an id are linked
 with nothing and kept; rows with one id are one document with several sets; equal sets share a component; an empty table
@@ -122,42 +124,30 @@ def distance(a: str, b: str) -> Column:
     return out
 
 
-def rare_prefixes(texts: DataFrame, parts: DataFrame, n: int) -> DataFrame:
-    """(h, node, n, position, rank, narrow, component): the rare shingles by which each of the nodes in parts looks for others.
+def prefix_pairs(apart: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components that can be alike, among sets with a common centre.
 
-    position counts all shingles of the set, rarest first, rank only those that another set has too; narrow tells whether
-    the place is among the first of the set as the smaller one of a pair.
+    apart: as made by ``differences``; parts: (node, component) of all its nodes.
     """
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            hashes = [np.fromiter(map(xxhash.xxh3_64_intdigest, shingles(unpack.decompress(t.as_py()).decode(), n)), np.uint64).view(np.int64) for t in batch.column(1)]
-            which = pa.array([xxhash.xxh3_64_intdigest(np.sort(h).tobytes()) >> 1 for h in hashes], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), which, pa.array(hashes, pa.list_(pa.int64()))], ["node", "set", "hashes"])
-
-    rows = texts.join(parts.select("node"), "node", "left_semi").mapInArrow(made, "node bigint, set bigint, hashes array<bigint>")
-    rows = settle(rows.select("node", "set", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("h")))
-    holders = rows.groupBy("h").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    # the shingles of one text
-    own = W.partitionBy("node", "set")
-    ranked = rows.join(holders, "h").withColumns({"rank": F.row_number().over(own.orderBy("holders", "h")), "common": F.count(F.lit(1)).over(own)})
-    ranked = ranked.withColumn("position", F.col("n") - F.col("common") + F.col("rank"))
-    ranked = ranked.filter("position <= n - (4 * n + 4) div 5 + 1").withColumn("narrow", F.expr("position <= n - (8 * n + 8) div 9 + 1"))
-    return ranked.join(parts, "node").select("h", "node", "n", "position", "rank", "narrow", "component")
-
-
-def prefix_pairs(prefixes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different components that share a rare shingle and may share enough of the others."""
-    held = prefixes.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
-    most = held.groupBy("h").agg(F.max_by("component", "k").alias("major"), F.count(F.lit(1)).alias("components")).filter("components > 1")
-    rows = settle(prefixes.join(most, "h").withColumn("minor", F.col("component") != F.col("major")))
-    small, large = (rows.select("h", *(F.col(c).alias(f"{e}_{c}") for c in ["node", "n", "position", "rank", "narrow", "component", "minor"])) for e in "ab")
-    # what comes before the shared shingle in both, itself included, and what comes after it in both
-    room = F.least("a_rank", "b_rank") + F.least(F.col("a_n") - F.col("a_position"), F.col("b_n") - F.col("b_position"))
-    fits = (F.col("a_component") != F.col("b_component")) & (F.col("a_n") <= F.col("b_n")) & alike_in_size("a_n", "b_n") & (9 * room >= 4 * (F.col("a_n") + F.col("b_n")))
-    small = small.filter("a_narrow")
-    pairs = small.filter("a_minor").join(large, "h").filter(fits).unionByName(small.filter("NOT a_minor").join(large.filter("b_minor"), "h").filter(fits))
+    rows = apart.join(parts, "node")
+    mixed = rows.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("centre")
+    rows = settle(rows.join(mixed, "centre").select("centre", "node", "set", "n", "component", F.size("hashes").cast("long").alias("s"), F.explode("hashes").alias("h")))
+    holders = rows.groupBy("centre", "h").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    # the differences of one set from its centre
+    own = W.partitionBy("centre", "node", "set")
+    ranked = rows.join(holders, ["centre", "h"]).withColumns({"rank": F.row_number().over(own.orderBy("holders", "h")), "common": F.count(F.lit(1)).over(own)})
+    ranked = settle(ranked.withColumn("position", F.col("s") - F.col("common") + F.col("rank")))
+    held = ranked.groupBy("centre", "h", "component").agg(F.count(F.lit(1)).alias("k"))
+    most = held.groupBy("centre", "h").agg(F.max_by("component", "k").alias("major"), F.count(F.lit(1)).alias("components")).filter("components > 1")
+    ranked = ranked.join(most, ["centre", "h"]).withColumn("minor", F.col("component") != F.col("major"))
+    one, two = (ranked.select("centre", "h", *(F.col(c).alias(f"{e}_{c}") for c in ["node", "n", "s", "position", "rank", "component", "minor"])) for e in "ab")
+    # 18 times the differences that the pair must share; what comes before this one in both, itself included, and after it in both
+    needed = 9 * (F.col("a_s") + F.col("b_s")) - (F.col("a_n") + F.col("b_n"))
+    room = F.least("a_rank", "b_rank") + F.least(F.col("a_s") - F.col("a_position"), F.col("b_s") - F.col("b_position"))
+    among_first = lambda e: 18 * (F.col(f"{e}_s") + 1 - F.col(f"{e}_position")) >= needed
+    fits = (F.col("a_component") != F.col("b_component")) & alike_in_size("a_n", "b_n") & among_first("a") & among_first("b") & (18 * room >= needed)
+    # with the major ones each minor one meets once, with other minor ones too
+    pairs = one.filter("a_minor").join(two.filter("NOT b_minor"), ["centre", "h"]).filter(fits).unionByName(one.filter("a_minor").join(two.filter("b_minor"), ["centre", "h"]).filter(fits & (F.col("a_node") < F.col("b_node"))))
     return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
@@ -176,33 +166,73 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "node bigint, packed binary")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike; written to the shared folder.
+def in_blocks(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, block, b, packed): the texts of pairs (a, b), dealt and sorted by a and block.
 
-    The pairs of one a are dealt into blocks of about BLOCK_PAIRS. a's text goes to each block once and comes before the
-    texts of its partners, which are read one after the other.
+    The pairs of one a are dealt into blocks of about BLOCK_PAIRS. a's text goes to each block once, with a null b, and
+    comes before the texts of its partners, which can be read one after the other.
     """
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, block, held = zstandard.ZstdDecompressor(), None, []
-        for batch in batches:
-            found = []
-            for x, k, y, packed in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                q = shingles(unpack.decompress(packed).decode(), n)
-                if block != (x, k):
-                    block, held = (x, k), []
-                if y is None:
-                    held.append(q)
-                elif any(100 * (both := len(p & q)) >= PERCENT * (len(p) + len(q) - both) for p in held if q):
-                    found.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PAIRS).alias("blocks"))
     dealt = pairs.select("a", "b").join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
     heads = dealt.select("a", "block").distinct().join(texts.select(F.col("node").alias("a"), "packed"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "packed")
     partners = dealt.join(texts.select(F.col("node").alias("b"), "packed"), "b").select("a", "block", "b", "packed")
-    rows = heads.unionByName(partners).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return settle(rows.mapInArrow(made, "a bigint, b bigint"))
+    return heads.unionByName(partners).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+
+
+def partners_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple[int, int, list[set], set]]]:
+    """Per batch of in_blocks: (a, b, the sets of a, a set of b). An id with several texts has several sets."""
+    unpack, block, held = zstandard.ZstdDecompressor(), None, []
+    for batch in batches:
+        found = []
+        for x, k, y, packed in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            q = shingles(unpack.decompress(packed).decode(), n)
+            if block != (x, k):
+                block, held = (x, k), []
+            if y is None:
+                held.append(q)
+            elif q:
+                found.append((x, y, held, q))
+        yield found
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike; written to the shared folder."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in partners_of(batches, n):
+            found = [(x, y) for x, y, held, q in found if any(100 * (both := len(p & q)) >= PERCENT * (len(p) + len(q) - both) for p in held)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return settle(in_blocks(pairs, texts).mapInArrow(made, "a bigint, b bigint"))
+
+
+def differences(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(a, node, centre, set, n, n_centre, hashes): per pair of a centre a and a node the hashes of the shingles that one of them has."""
+    names = ["a", "node", "centre", "set", "n", "n_centre"]
+
+    def hashed(s: set) -> np.ndarray:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, s), np.uint64, len(s))
+        h.sort()
+        return h
+
+    def digest(h: np.ndarray) -> int:
+        return xxhash.xxh3_64_intdigest(h.tobytes()) >> 1
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None, []
+        for found in partners_of(batches, n):
+            rows, hashes = [], []
+            for x, y, held, q in found:
+                if last[0] is not held:
+                    last = held, [hashed(p) for p in held if p]
+                h = hashed(q)
+                for p in last[1]:
+                    rows.append((x, y, digest(p), digest(h), len(h), len(p)))
+                    hashes.append(np.setxor1d(p, h, assume_unique=True).view(np.int64))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(hashes, pa.list_(pa.int64()))], [*names, "hashes"])
+
+    return settle(in_blocks(pairs, texts).mapInArrow(made, ", ".join(f"{c} bigint" for c in names) + ", hashes array<bigint>"))
 
 
 def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -231,7 +261,7 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
     # how many others a node meets in all its entries, with a few bits of hash against ties
     reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
     ranked = shared.join(reach, "node").select("key", "node", (F.shiftleft("reach", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("reach"))
-    centres = ranked.groupBy("key").agg(F.max_by("node", "reach").alias("centre"))
+    centres = settle(ranked.groupBy("key").agg(F.max_by("node", "reach").alias("centre")))
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("node").alias(e), F.col("n_shingles").alias(f"{e}_n"), *(F.col(s).alias(f"{e}_{s}") for s in SIGNATURE)) for e in "ab")
@@ -264,20 +294,25 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
     placed = shared.join(parts, "node", "left").select("key", "node", "n", "size", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
     placed = settle(placed.join(mixed, "key", "left_semi"))
-    discard(shared)
     few = placed.filter(F.col("size") <= CROWD)
     one, two = (few.select("key", *(F.col(c).alias(f"{e}_{c}") for c in ("node", "n", "component"))) for e in "ab")
     pairs = one.join(two, "key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & alike_in_size("a_n", "b_n"))
     pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    crowd = settle(placed.filter(F.col("size") > CROWD).select("node", "component").distinct())
+    crowd = placed.filter(F.col("size") > CROWD)
     if not crowd.isEmpty():
-        pairs = pairs.unionByName(prefix_pairs(settle(rare_prefixes(texts, crowd, n)))).distinct()
+        apart = differences(settle(crowd.join(centres, "key").filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()), texts, n)
+        # members that are alike to a centre which they weren't tried against
+        near = across(apart.filter(9 * F.size("hashes") <= F.col("n") + F.col("n_centre")).select("a", F.col("node").alias("b")).distinct(), parts)
+        links = settle(links.unionByName(confirmed(near, texts, n)))
+        parts = connected_components(links)
+        of_all = apart.select("node").distinct().join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        pairs = pairs.unionByName(prefix_pairs(apart, of_all)).distinct()
     other = settle(with_signatures(pairs))
     if not other.isEmpty():
         links = links.unionByName(confirmed(other, texts, n))
         parts = connected_components(links)
-    discard(placed)
-    discard(texts)
+    for used_up in (shared, centres, placed, texts):
+        discard(used_up)
     release()
 
     by_set = sets.select("k1", "k2", "node").join(parts, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
