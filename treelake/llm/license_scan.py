@@ -1,13 +1,16 @@
 """License scans: a positional index of rare tokens.
 
-Templates are word sequences. The index holds each template's words with the highest inverse document frequency over
-the templates (its anchors) and their positions. A file's words are looked up in it once; every hit votes for a start,
-its position in the file less that in the template. A template is a candidate where all of its anchors vote for one
-start, and found where its mandatory key phrases stand at their places from that start. The work on a file is one pass
-over its words plus the few hits; no data moves between files.
-
-Nulls, ties, repeats: null or empty text has no words, no labels and score 0; overlapping places all count; identical
-rows give identical results; an empty table gives an empty result; columns beyond doc_id and text don't matter.
+Templates are word sequences. The index has postings, (template, position), for the words of each template with the
+highest inverse document frequency over the templates: two of its mandatory key phrases at least, and others up to RARE. A
+file's words that the index knows are looked up once, and every posting votes for a start: the word's place in the file
+less its place in the template. A start with two votes or more is a candidate. A template is found there if its mandatory
+key phrases stand at their places; as two of the indexed words lie in them, none is missed. The score is the best share of
+a template's words that stand at their places at a candidate, so a worn or cut notice lies between 0 and 1. The work on a
+file is one pass over its words plus the few hits; no data moves between files.
+
+Nulls, ties, repeats: null or empty text has no words, no labels and score 0; of equally rare words the earlier is indexed;
+overlapping places all count; a file may begin or end inside a notice; identical rows give identical results; an empty
+table gives an empty result; columns beyond doc_id and text don't matter.
 """
 
 from __future__ import annotations
@@ -38,77 +41,72 @@ NOTICES = (
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
 )
-#: Words of a template that are looked up.
-ANCHORS = 2
+#: Words of a template that are indexed, and how many of them must agree on a start.
+RARE, VOTES = 6, 2
 
 
-def templates(phrases=PHRASES, notices=NOTICES, anchors: int = ANCHORS) -> list[dict]:
-    """The index: per template its label, words, anchors and key words with their positions."""
+def templates(phrases=PHRASES, notices=NOTICES, rare: int = RARE) -> list[dict]:
+    """Per template its label, words, the places of its key words and those of its indexed words."""
     rows = [{"label": label, "base": True, "words": phrase.split(), "keys": (phrase,)} for phrase, label in phrases]
     rows += [{"label": label, "base": False, "words": text.split(), "keys": keys} for label, text, keys in notices]
     holders = lambda w: sum(w in r["words"] for r in rows)
     for r in rows:
         idf = {i: math.log(len(rows) / holders(w)) for i, w in enumerate(r["words"])}
-        r["anchors"] = sorted(sorted(idf, key=lambda i: (-idf[i], i))[:anchors])
         r["must"] = set()
         for key in r["keys"]:
             n = key.split()
             at = next(i for i in range(len(r["words"])) if r["words"][i : i + len(n)] == n)
             r["must"] |= set(range(at, at + len(n)))
+        rarest = sorted(idf, key=lambda i: (-idf[i], i))
+        first = [i for i in rarest if i in r["must"]][:VOTES]
+        if len(first) < VOTES:
+            raise ValueError(f"the key phrases of {r['label']} need {VOTES} words")
+        r["rare"] = sorted([*first, *(i for i in rarest if i not in first)][: max(rare, VOTES)])
     return rows
 
 
 def scanned(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and the places of all templates."""
+    """docs with n_words, n_base, first_word, last_word, base_labels, labels, score, and ``places``: (label, start, share) of all that was found."""
     index = templates(phrases, notices)
-    vocabulary = sorted({r["words"][i] for r in index for i in r["anchors"]})
-    df = docs.withColumn("_words", F.array_remove(F.split(ascii_lower(whole(F.col("text"))), BREAK), ""))
-    hit = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(vocabulary))
-    df = df.withColumn("_hits", F.when(F.arrays_overlap("_words", F.array(*map(F.lit, vocabulary))), hit).otherwise(F.array().cast("array<struct<i:int,w:string>>")))
-
-    def starts(r: dict) -> Column:
-        def votes_of(at: int) -> Column:
-            return F.transform(F.filter("_hits", lambda x: x["w"] == r["words"][at]), lambda x: x["i"] - at)
-
-        votes = [votes_of(at) for at in r["anchors"]]
-        common = votes[0]
-        for v in votes[1:]:
-            common = F.array_intersect(common, v)
-        more = sorted(r["must"] - set(r["anchors"]))
-
-        def verified(s: Column) -> Column:
-            ok = s >= 0
-            for i in more:
-                ok &= F.get("_words", s + i).eqNullSafe(F.lit(r["words"][i]))
-            return ok
-
-        return F.filter(common, verified)
-
-    some = F.size("_hits") > 0
-    none = F.array().cast("array<int>")
-    for k, r in enumerate(index):
-        df = df.withColumn(f"_t{k}", F.when(some, starts(r)).otherwise(none))
+    known = sorted({r["words"][i] for r in index for i in r["rare"]})
+    posting = lambda t, i: F.struct(F.lit(t).alias("t"), F.lit(i).alias("at"))
+    entries = {w: F.array(*(posting(t, i) for t, r in enumerate(index) for i in r["rare"] if r["words"][i] == w)) for w in known}
+    postings = F.create_map(*(x for w, e in entries.items() for x in (F.lit(w), e)))
+    literal = lambda xs: F.array(*map(F.lit, xs))
+    texts, musts = F.array(*(literal(r["words"]) for r in index)), F.array(*(literal(sorted(r["must"])) for r in index))
+    labels, bases = literal([r["label"] for r in index]), literal([r["base"] for r in index])
 
-    def share(k: int, r: dict) -> Column:
-        """The best share of the template's words that stand at their places."""
-        same = lambda s: sum(F.get("_words", s + i).eqNullSafe(F.lit(w)).cast("int") for i, w in enumerate(r["words"]))
-        return F.coalesce(F.array_max(F.transform(f"_t{k}", lambda s: same(s) / len(r["words"]))), F.lit(0.0))
-
-    base = [k for k, r in enumerate(index) if r["base"]]
-    found = lambda ks: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(F.size(f"_t{k}") > 0, F.lit(index[k]["label"])) for k in ks))))), ",")
-    df = df.withColumn("_base", F.concat(*(F.col(f"_t{k}") for k in base)))
+    df = docs.withColumn("_words", F.array_remove(F.split(ascii_lower(whole(F.col("text"))), BREAK), ""))
+    hits = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(known))
+    votes = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(postings, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["at"]).alias("s")))))
+    df = df.withColumn("_votes", F.when(F.arrays_overlap("_words", literal(known)), F.array_sort(votes)).otherwise(F.array().cast("array<struct<t:int,s:int>>")))
+    agreed = F.array_distinct(F.filter("_votes", lambda v, k: F.get("_votes", k + (VOTES - 1)).eqNullSafe(v)))
+
+    def judged(c: Column) -> Column:
+        text = F.get(texts, c["t"])
+        there = lambda i: F.get("_words", c["s"] + i).eqNullSafe(F.get(text, i))
+        same = F.size(F.filter(text, lambda w, i: F.get("_words", c["s"] + i).eqNullSafe(w)))
+        return F.struct(
+            F.get(labels, c["t"]).alias("label"), c["s"].alias("start"), (same / F.size(text)).alias("share"),
+            F.get(bases, c["t"]).alias("base"), F.forall(F.get(musts, c["t"]), there).alias("found"),
+        )
+
+    df = df.withColumn("_seen", F.transform(agreed, judged))
+    names = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.transform(xs, lambda c: c["label"]))), ",")
+    df = df.withColumn("_found", F.filter("_seen", lambda c: c["found"])).withColumn("_base", F.filter("_found", lambda c: c["base"]))
+    starts = F.transform("_base", lambda c: c["start"])
     return df.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "n_base": F.size("_base").cast("long"),
-            "first_word": F.array_min("_base").cast("long"),
-            "last_word": F.array_max("_base").cast("long"),
-            "base_labels": found(base),
-            "labels": found(range(len(index))),
-            "score": F.when(some, F.greatest(*(share(k, r) for k, r in enumerate(index)))).otherwise(F.lit(0.0)),
-            "places": F.array(*(F.struct(F.lit(r["label"]).alias("label"), F.col(f"_t{k}").alias("starts")) for k, r in enumerate(index))),
+            "first_word": F.array_min(starts).cast("long"),
+            "last_word": F.array_max(starts).cast("long"),
+            "base_labels": names(F.col("_base")),
+            "labels": names(F.col("_found")),
+            "score": F.coalesce(F.array_max(F.transform("_seen", lambda c: c["share"])), F.lit(0.0)),
+            "places": F.transform("_found", lambda c: F.struct(c["label"], c["start"], c["share"])),
         }
-    ).drop("_words", "_hits", "_base", *(f"_t{k}" for k in range(len(index))))
+    ).drop("_words", "_votes", "_seen", "_found", "_base")
 
 
 RESULT = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -119,18 +117,27 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same by plain comparison of every template at every word."""
+    """The same by plain comparison of every template at every place; only the score's candidates need the index."""
     index = templates()
-    at = lambda i, w: f"w[s + {i + 1}] = '{w}'"
-    places = ",\n".join(f"list_filter(range(len(w)), lambda s: {' AND '.join(at(i, r['words'][i]) for i in sorted(r['must'] | set(r['anchors'])))}) AS t{k}" for k, r in enumerate(index))
-    shares = ", ".join(f"coalesce(list_max(list_transform(t{k}, lambda s: ({' + '.join(f'CAST(coalesce({at(i, x)}, false) AS INT)' for i, x in enumerate(r['words']))}) / {len(r['words'])})), 0.0)" for k, r in enumerate(index))
+
+    def at(i: int, w: str) -> str:
+        return f"(s + {i} >= 0 AND coalesce(w[s + {i + 1}] = '{w}', false))"
+
+    def seen(k: int, r: dict) -> str:
+        count = lambda places: " + ".join(f"CAST({at(i, r['words'][i])} AS INT)" for i in places)
+        must = " AND ".join(at(i, w) for key in r["keys"] for i, w in enumerate(key.split(), " ".join(["", *r["words"], ""]).partition(f" {key} ")[0].count(" ")))
+        rows = f"list_filter(range({1 - len(r['words'])}, len(w)), lambda s: ({must}) OR {count(r['rare'])} >= {VOTES})"
+        return f"list_transform({rows}, lambda s: {{'s': s, 'share': ({count(range(len(r['words'])))}) / {len(r['words'])}, 'found': {must}}}) AS t{k}"
+
+    found = lambda k: f"list_filter(t{k}, lambda x: x.found)"
     base = [k for k, r in enumerate(index) if r["base"]]
-    names = lambda ks: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN len(t{k}) > 0 THEN '{index[k]['label']}' END" for k in ks) + "], lambda x: x IS NOT NULL)), ',')"
-    every = " || ".join(f"t{k}" for k in base)
+    names = lambda ks: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN len({found(k)}) > 0 THEN '{index[k]['label']}' END" for k in ks) + "], lambda x: x IS NOT NULL))), ',')"
+    every = "list_transform(" + " || ".join(found(k) for k in base) + ", lambda x: x.s)"
+    shares = ", ".join(f"coalesce(list_max(list_transform(t{k}, lambda x: x.share)), 0.0)" for k in range(len(index)))
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-t AS (SELECT doc_id, w, {places} FROM d)
+t AS (SELECT doc_id, w, {", ".join(seen(k, r) for k, r in enumerate(index))} FROM d)
 SELECT doc_id, len(w)::BIGINT AS n_words, len({every})::BIGINT AS n_base, list_min({every})::BIGINT AS first_word, list_max({every})::BIGINT AS last_word,
 {names(base)} AS base_labels, {names(range(len(index)))} AS labels, CAST(greatest({shares}) AS DOUBLE) AS score FROM t
 """
