@@ -1,7 +1,8 @@
 """URL filters: explicit host and path rules, and block decisions carried to the aliases of blocked pages.
 
-Addresses are nodes: host in lower case and path, no query, no fragment. The normal form of an address has no leading www.
-or m. label, no port 80 or 443, no . or .. segments and no closing slash. An edge joins a page's address as written to what
+Addresses are nodes: host in lower case, path and query, no fragment. The normal form of an address has no leading www. or
+m. label, no port 80 or 443, no . or .. segments, no closing slash, and of its query only what doesn't just track the
+visitor; pages that differ in another parameter are no aliases. An edge joins a page's address as written to what
 it stands for: the target of a canonical link in its HTML, the target of a meta refresh, and that of a redirect; another
 joins each of these addresses to its normal form. Relative targets are resolved against the page's base link or address.
 Connected components of these edges are classes of aliases, and the rules are applied to all addresses in them, whether
@@ -25,6 +26,9 @@ from .components import connected_components
 #: (rule, verdict); a rule is a host and, from its first slash on, a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
+#: Query parameters that say where a visitor comes from, not what the page is.
+TRACKING = r"\A(utm_[^=]*|ref|fbclid|gclid|msclkid|mc_cid|mc_eid|sessionid|sid)(=|\z)"
+
 
 def host_of(url: Column) -> Column:
     return ascii_lower(F.regexp_extract(whole(url), r"(?s)\A.*?://([^/?#]*)", 1))
@@ -34,6 +38,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(whole(url), r"(?s)\A.*?://[^/?#]*([^?#]*)", 1)
 
 
+def query_of(url: Column) -> Column:
+    """The query with its question mark, '' without one."""
+    return F.regexp_replace(F.regexp_extract(whole(url), r"(?s)\A.*?://[^?#]*(\?[^#]*)", 1), r"\A\?\z", "")
+
+
 def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits as a struct (rule, verdict); null if none does."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -60,34 +69,44 @@ def without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(/|\z)"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")).otherwise(path)
 
 
-def address(host: Column, path: Column) -> Column:
-    """The node of an address; null for an empty host. A host has no slash, a path is empty or begins with one."""
-    return F.when(host != "", F.concat(host, path))
+def address(url: Column) -> Column:
+    """The node of an address; null for an empty host. A host has no slash or question mark, a path is empty or begins with a slash."""
+    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query_of(url)))
 
 
 def node_host(node: Column) -> Column:
-    return F.substring_index(node, "/", 1)
+    return F.regexp_extract(node, r"\A[^/?]*", 0)
 
 
 def node_path(node: Column) -> Column:
-    return F.regexp_extract(node, r"(?s)\A[^/]*(.*)", 1)
+    return F.regexp_extract(node, r"(?s)\A[^/?]*([^?]*)", 1)
+
+
+def node_query(node: Column) -> Column:
+    return F.regexp_extract(node, r"(?s)\A[^?]*(.*)", 1)
+
+
+def normal_query(query: Column) -> Column:
+    kept = F.filter(F.split(F.substring(query, 2, 1 << 30), "&"), lambda x: (x != "") & ~x.rlike(TRACKING))
+    return F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
 
 
 def normal_address(node: Column) -> Column:
     """What an address stands for; null for null."""
-    return F.concat(normal_host(node_host(node)), F.regexp_replace(without_dots(node_path(node)), r"/+$", ""))
+    return F.concat(normal_host(node_host(node)), F.regexp_replace(without_dots(node_path(node)), r"/+$", ""), normal_query(node_query(node)))
 
 
 def resolved(target: Column, node: Column) -> Column:
     """The node that a target, absolute or relative to a node, leads to; null if it leads to none."""
     full = F.when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
-    path = F.regexp_extract(target, r"(?s)\A[^?#]*", 0)
+    path, query = F.regexp_extract(target, r"(?s)\A[^?#]*", 0), F.regexp_extract(target, r"(?s)\A[^?#]*(\?[^#]+)", 1)
     folder = F.concat(node_host(node), F.regexp_replace(node_path(node), r"[^/]*\z", ""))
-    beside = F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), path)
-    other = F.when(path == "", node).when(path.startswith("/"), F.concat(node_host(node), path)).otherwise(beside)
+    beside = F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), path, query)
+    same = F.when(query == "", node).otherwise(F.concat(node_host(node), node_path(node), query))
+    other = F.when(path == "", same).when(path.startswith("/"), F.concat(node_host(node), path, query)).otherwise(beside)
     relative = F.when((target != "") & ~target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), other)
-    to = F.when(full.isNotNull(), address(host_of(full), path_of(full))).otherwise(relative)
-    return F.concat(node_host(to), without_dots(node_path(to)))
+    to = F.when(full.isNotNull(), address(full)).otherwise(relative)
+    return F.concat(node_host(to), without_dots(node_path(to)), node_query(to))
 
 
 def links_of(html: Column) -> Column:
@@ -101,15 +120,14 @@ def links_of(html: Column) -> Column:
 def classified(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """Per row of pages: page_id, host, path, rule and verdict. redirects: further edges (from_url, to_url)."""
     html = pages["html"] if "html" in pages.columns else F.lit("")
-    seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), links_of(whole(html)).alias("links"))
-    seen = seen.withColumn("address", address(F.col("host"), F.col("path")))
+    seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), address(F.col("url")).alias("address"), links_of(whole(html)).alias("links"))
     seen = seen.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     seen = settle(seen)
 
     linked = seen.filter(F.size("links.targets") > 0).select(F.col("address").alias("a"), "links.base", F.explode("links.targets").alias("to"))
     linked = linked.select("a", F.coalesce(resolved(F.col("base"), F.col("a")), F.col("a")).alias("base"), "to").select("a", resolved(F.col("to"), F.col("base")).alias("b"))
     if redirects is not None:
-        ends = redirects.select(address(host_of(F.col("from_url")), path_of(F.col("from_url"))).alias("a"), "to_url")
+        ends = redirects.select(address(F.col("from_url")).alias("a"), "to_url")
         linked = linked.unionByName(ends.select("a", resolved(F.col("to_url"), F.col("a")).alias("b")))
     nodes = seen.select(F.col("address").alias("a")).unionByName(linked.select(F.explode(F.array("a", "b")).alias("a")))
     edges = linked.unionByName(nodes.select("a", normal_address(F.col("a")).alias("b")))
