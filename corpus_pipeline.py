@@ -12,8 +12,8 @@ from treelake.llm.common import settle, table
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
-    return quality.keep_good(docs)
+    """Drops the documents that the quality rules reject; the references come from labelled documents of docs."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
