@@ -1,9 +1,11 @@
 """Sharding by a Hilbert curve: quantise several metadata dimensions, order by the curve, cut the order into runs.
 
 Rows near each other on the curve are near each other in every dimension, so each shard covers a small box of the
-metadata space and a filter on any of the dimensions skips most shards. The runs have equal row counts (law "rows").
+metadata space and a filter on any of the dimensions skips most shards. Languages and sources are quantised in the order
+of their names, by equal row counts as far as names allow; sizes by half powers of two. The runs have equal row counts
+(law "rows").
 The curve has a fixed number of cells; ranks come from the counts of the cells and of hash parts of crowded cells, so
-that neither a sort of all rows nor one task per cell is needed.
+that neither a sort of all rows nor one task per cell is needed. One-task windows see a row per cell or per name.
 
 Nulls, ties, repeats: a null dimension has a slot of its own; null text has size 8 and checksum 0; rows with one id
 follow each other by size and checksum; identical rows get a slot each; an empty table gives an empty result; other
@@ -53,18 +55,30 @@ def hilbert_index(axes: Column, dimensions: int, bits: int) -> Column:
     return F.aggregate(places, F.lit(0).cast("long"), lambda h, s: h * 2 + bit(s))
 
 
+def name_codes(docs: DataFrame, column: str) -> list[tuple[str, int]]:
+    """(least name, code) of each code in use, at most 2 ** BITS - 1: names in their order, cut by counts of rows."""
+    counts = docs.select(F.col(column).alias("name")).filter(F.col("name").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("name").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n").over(W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    code = F.call_function("div", before * ((1 << BITS) - 1), total) + 1
+    return sorted((r.name, r.code) for r in counts.select("name", code.alias("code")).groupBy("code").agg(F.min("name").alias("name")).collect())
+
+
+def name_code(column: str, codes: list[tuple[str, int]]) -> Column:
+    """The code of a name; 0 for null."""
+    return F.coalesce(*(F.when(F.col(column) >= name, F.lit(code)) for name, code in reversed(codes)), F.lit(0)).cast("long")
+
+
 def quantised(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, size, checksum and its cell: language and source by hash, size by half powers of two."""
-    top = (1 << BITS) - 1
+    """Per row: doc_id, size, checksum and its cell: language and source by name, size by half powers of two."""
     size = (F.octet_length(whole(F.col("text"))) + 8).cast("long")
-    by_hash = lambda c: F.when(F.col(c).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(c), F.lit(top)))
     return docs.select(
         "doc_id",
         size.alias("size"),
         F.crc32(whole(F.col("text"))).alias("text_crc32"),
-        by_hash("lang").cast("long").alias("x0"),
-        by_hash("source").cast("long").alias("x1"),
-        F.least(F.floor(F.log2(size.cast("double")) * 2) - 6, F.lit(top)).cast("long").alias("x2"),
+        name_code("lang", name_codes(docs, "lang")).alias("x0"),
+        name_code("source", name_codes(docs, "source")).alias("x1"),
+        F.least(F.floor(F.log2(size.cast("double")) * 2) - 6, F.lit((1 << BITS) - 1)).cast("long").alias("x2"),
     )
 
 
@@ -80,6 +94,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     everything = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     cells = cells.withColumns({"cell_start": F.coalesce(F.sum("n").over(ahead), F.lit(0)), "total": F.sum("n").over(everything)})
     cells = cells.withColumn("parts", F.least(F.ceil(F.col("n") / PART_ROWS), F.lit(PARTS)))
+    # settled: Spark would otherwise infer a filter on the curve index and work it out for every row
+    cells = settle(cells)
     # one row per cell of the grid: 32,768 at most
     placed = rows.join(F.broadcast(cells.drop("n")), AXES).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     parts = placed.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -89,8 +105,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ranked = ranked.withColumn("rank", F.col("cell_start") + F.col("part_start") + inside)
     ranked = ranked.withColumn("shard", F.expr(f"CAST((rank * {shards}) div total AS INT)"))
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", *AXES)
 
 
 def op8_hilbert_shards(spark, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"))
+    return shard(table(spark, sf_dir, "documents")).drop(*AXES)
