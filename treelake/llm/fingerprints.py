@@ -1,14 +1,15 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every shingle hash below a fixed share of the hash range, so its length follows the document's, the sketch
-of a union is the union of the sketches, and the containment of a small document in a large one can be estimated from
-the two sketches alone. A text with words whose shingles all lie above the threshold keeps its smallest hash, so that
-short texts can be told apart.
-
-Nulls, ties, repeats: null or wordless text has an empty fingerprint; two empty ones are alike (1), an empty and another
-one are not (0); a text with fewer words than a shingle is one shingle; equal texts have equal fingerprints. The order of
-documents is descending id, nulls last, then a hash of the text; equal rows follow each other; a single row follows
-itself; an empty table gives an empty result; columns beyond doc_id and text don't matter.
+A sketch keeps every shingle hash below a fixed share of the hash range, and nothing else, so its length follows the
+document's, the sketch of a union is the union of the sketches, and the containment of a small document in a large one can
+be estimated from the two sketches alone. Where two sketches hold fewer than LEAST hashes together, a second field says
+more: the LEAST smallest hashes of a text whose sketch has fewer. The likeness is then the share of common ones among the
+LEAST smallest hashes of both texts together, and exact where these have no more. This field, too, can be merged.
+
+Nulls, ties, repeats: null or wordless text has an empty fingerprint, and so may a short text; two texts without words are
+alike (1), one with and one without are not (0); a text with fewer words than a shingle is one shingle; equal texts have
+equal fingerprints. The order of documents is descending id, nulls last, then a hash of the text; equal rows follow each
+other; a single row follows itself; an empty table gives an empty result; columns beyond doc_id and text don't matter.
 """
 
 from __future__ import annotations
@@ -20,41 +21,50 @@ from pyspark.sql import functions as F
 from .common import table, whole, words
 
 SHINGLE = 5
-#: A hash is kept if its first KEEP_BITS bits are zero: one in four.
-KEEP_BITS = 2
+#: A hash has HASH_BITS bits and is kept if the first KEEP_BITS are zero: one in eight.
+HASH_BITS, KEEP_BITS = 48, 3
+#: Smallest hashes of a text with a short sketch.
+LEAST = 64
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the sketch of a text column that has no nulls: a sorted array of hashes."""
+    """Adds a struct of two sorted arrays of hashes for a text column that has no nulls: the ``sketch``, and ``least``."""
     w, h = f"_{name}_w", f"_{name}_h"
     df = df.withColumn(w, words(F.col(text)))
     hashes = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))
     short = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
-    df = df.withColumn(h, F.when(F.size(w) >= SHINGLE, hashes).otherwise(short))
-    # as unsigned numbers, the hashes below the threshold are the non-negative ones below 2 ** (64 - KEEP_BITS)
-    low = F.array_distinct(F.filter(h, lambda x: F.shiftrightunsigned(x, 64 - KEEP_BITS) == 0))
-    return df.withColumn(name, F.sort_array(F.when(F.size(low) > 0, low).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(low))).drop(w, h)
+    numbers = F.transform(F.when(F.size(w) >= SHINGLE, hashes).otherwise(short), lambda x: F.shiftrightunsigned(x, 64 - HASH_BITS))
+    df = df.withColumn(h, F.array_sort(F.array_distinct(numbers)))
+    # sorted, so that the hashes below the threshold come first
+    low = F.filter(h, lambda x: x < (1 << (HASH_BITS - KEEP_BITS)))
+    least = F.when(F.size(low) < LEAST, F.slice(h, 1, LEAST)).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(name, F.struct(low.alias("sketch"), least.alias("least"))).drop(w, h)
 
 
 def fingerprint(sketch: Column) -> Column:
-    """The hashes as 16 hex digits each."""
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """The hashes of a sketch in order, eight letters of base 64 each."""
+    digits = F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), HASH_BITS // 4, "0")), "")
+    return F.base64(F.unhex(digits))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of the shingle sets behind two sketches."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Estimated Jaccard similarity of the shingle sets behind two pairs of sketch and smallest hashes."""
+    union = F.size(F.array_union(a["sketch"], b["sketch"]))
+    # of the smallest hashes of both sets; neither of them is beyond what the field holds
+    both = F.slice(F.array_sort(F.array_union(a["least"], b["least"])), 1, LEAST)
+    common = F.size(F.array_intersect(both, F.array_intersect(a["least"], b["least"])))
+    small = F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.greatest(F.size(both), F.lit(1)))
+    return F.when(union < LEAST, small).otherwise(F.size(F.array_intersect(a["sketch"], b["sketch"])) / F.greatest(union, F.lit(1)))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 for an empty a."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of a's shingles that b has, from the sketches alone; null for an empty sketch of a."""
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def merged(a: Column, b: Column) -> Column:
     """The sketch of two documents together."""
-    return F.sort_array(F.array_union(a, b))
+    return F.array_sort(F.array_union(a, b))
 
 
 def range_of(bounds: list[int]) -> Column:
@@ -66,7 +76,7 @@ def range_of(bounds: list[int]) -> Column:
 
 
 def paired_with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, sketch and, in ``next``, text and sketch of the document that follows by descending id.
+    """doc_id, text, print (sketch and smallest hashes) and, in ``next``, text and print of the document that follows by descending id.
 
     Ids are cut into ranges at quantiles, found from the id column alone; there are four to a shuffle partition. Quantiles
     are computed as doubles and need not be ids, so each range's largest id becomes its upper bound. The row that follows
@@ -82,34 +92,36 @@ def paired_with_next(docs: DataFrame) -> DataFrame:
     tops = ids.filter(F.col("doc_id").isNotNull()).groupBy(range_of(cuts).alias("range")).agg(F.max("doc_id").alias("top")).collect()
     bounds = sorted(t.top for t in tops)
     df = docs.select(F.col("doc_id").cast("long"), whole(F.col("text")).alias("text"))
-    df = with_sketch(df, "text", "sketch")
     df = df.withColumn("range", range_of(bounds))
     array = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
     at_bound = F.get(array, F.col("range")).eqNullSafe(F.col("doc_id"))
     follows = F.when(at_bound, F.when(F.col("range") == max(len(bounds) - 1, 0), F.struct(F.lit(0).alias("range"), F.lit(1).alias("extra"))).otherwise(F.struct((F.col("range") + 1).alias("range"), F.lit(1).alias("extra"))))
     dealt = F.array_compact(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("extra")), follows))
-    df = df.withColumn("to", F.explode(dealt)).select("to.range", "to.extra", "doc_id", "text", "sketch")
+    df = df.withColumn("to", F.explode(dealt)).select("to.range", "to.extra", "doc_id", "text")
+    # the texts are dealt before anything is computed, so that they travel alone
+    df = with_sketch(df.repartition("range"), "text", "print")
     # in range 0 the extra rows are those of the highest range and come after the nulls; elsewhere they are lower anyhow
     order = W.partitionBy("range").orderBy("extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    return df.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).filter("extra = 0")
+    return df.withColumn("next", F.lead(F.struct("text", "print")).over(order)).filter("extra = 0")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     df = paired_with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next.text", F.lit(1), half)))
-    df = with_sketch(df, "edited", "edited_sketch")
+    df = with_sketch(df, "edited", "edited_print")
     return df.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("sketch")).alias("fingerprint"),
-        fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next.sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("in_edited"),
+        fingerprint(F.col("print.sketch")).alias("fingerprint"),
+        fingerprint(F.col("edited_print.sketch")).alias("edited_fingerprint"),
+        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        likeness(F.col("print"), F.col("next.print")).alias("near_next"),
+        containment(F.col("print.sketch"), F.col("edited_print.sketch")).alias("in_edited"),
+        F.col("print.least").alias("least"),
     )
 
 
 def op10_scaled_sketches(spark, sf_dir: str) -> DataFrame:
-    return fingerprinted(table(spark, sf_dir, "documents"))
+    return fingerprinted(table(spark, sf_dir, "documents")).drop("least")
