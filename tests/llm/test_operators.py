@@ -54,13 +54,14 @@ def empty(spark):
 
 
 def test_stages_keep_columns_and_take_empty_tables(docs, empty):
-    for stage in (quality.keep_good, near_dedup.keep_one, substring_dedup.keep_first, mixing.mix_texts):
+    labels = docs.sparkSession.createDataFrame([(i, 1) for i in range(30)], "doc_id bigint, quality int")
+    for stage in (lambda d: quality.keep_good(d, labels), near_dedup.keep_one, substring_dedup.keep_first, mixing.mix_texts):
         assert stage(empty).collect() == []
         assert stage(docs).columns == docs.columns
 
 
 def test_operators_take_empty_tables(spark, empty):
-    for made in (substring_dedup.cut_repeats(empty.select("doc_id", "text")), license_scan.scanned(empty), suffix_dedup.without_repeats(empty), quality.judged(empty), near_dedup.grouped(empty), bpe.tokenised(empty), sharding.shard(empty), mixing.mix(empty), fingerprints.fingerprinted(empty)):
+    for made in (substring_dedup.cut_repeats(empty.select("doc_id", "text")), license_scan.scanned(empty), suffix_dedup.without_repeats(empty), quality.judged(empty, quality.fitted(empty, empty.selectExpr("doc_id", "1 AS quality"))), near_dedup.grouped(empty), bpe.tokenised(empty), sharding.shard(empty), mixing.mix(empty), fingerprints.fingerprinted(empty)):
         assert made.collect() == []
     assert url_filter.classified(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
@@ -152,7 +153,8 @@ def test_url_filter_judges_nodes_that_are_no_pages(spark):
 
 
 def test_quality_base_rule(docs, rows):
-    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    labels = docs.sparkSession.createDataFrame([(i, 1) for i in range(30)], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality.judged(docs, quality.fitted(docs, labels)).collect()}
     for i, text, *_ in rows[:-2]:
         w = re.findall(WORD, text or "")
         windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
@@ -250,7 +252,7 @@ def test_mix(docs, rows):
 
 
 def test_quotas_are_the_highest_quotients(spark):
-    targets = spark.createDataFrame([(False, s, 0, float(t)) for s, t in zip("abcdefg", (1000, 731, 500, 77, 64, 13, 1), strict=True)], "no_source boolean, source_key string, source_size bigint, target double")
+    targets = spark.createDataFrame([(False, s, 0, float(t)) for s, t in zip("abcdefghi", (1000, 731, 500, 500, 500, 77, 64, 13, 1), strict=True)], "no_source boolean, source_key string, source_size bigint, target double")
     got = mixing.shard_quotas(targets, block_words=16, shards=6).collect()
     t = {r.source_key: r.target for r in got}
     seats = sorted(((t[s] / (2 * j - 1), s) for s in t for j in range(1, 300)), key=lambda x: (-x[0], x[1]))
