@@ -325,6 +325,46 @@ def test_url_classes_by_plain_union(spark):
     assert [expected[10**6 + k][1] for k in range(9)] == ["block", "allow", "block", "block", "block", "block", "block", "block", "block"]
 
 
+def removed_by_counting(rows: list[tuple[int, bytes]]) -> dict[int, bytes]:
+    count = Counter(b[p : p + 200] for _, b in rows for p in range(len(b) - 199))
+    out = {}
+    for i, b in rows:
+        gone = bytearray(len(b))
+        for p in range(len(b) - 199):
+            if count[b[p : p + 200]] > 1:
+                gone[p : p + 200] = b"\1" * 200
+        out[i] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+    return out
+
+
+@pytest.mark.parametrize("bits", [64, 10])
+def test_suffixes_are_told_by_their_bytes(spark, bits):
+    """Also with hashes so short that nearly all suffixes collide."""
+    r = random.Random(9)
+    passages = ["".join(r.choice("ab cdé") for _ in range(r.randrange(150, 420))) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        own = lambda: "".join(r.choice("efgh ") for _ in range(r.randrange(0, 260)))
+        p = r.choice(passages)
+        at = r.randrange(len(p))
+        rows.append((i, own() + (p if r.random() < 0.6 else p[:at] + "#" + p[at + 1 :]) + own() + (p[at:] if r.random() < 0.3 else "")))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: bytes(x.kept) for x in suffix_dedup.without_repeats(docs, suffix_bits=bits).collect()}
+    assert got == removed_by_counting([(i, t.encode()) for i, t in rows])
+
+
+def test_sorted_suffixes():
+    r = random.Random(2)
+    base = [bytes(r.choice(b"ab ") for _ in range(500)) for _ in range(3)]
+    pieces = [b"a" * 460, b"a" * 230 + b"b" + b"a" * 230]
+    for _ in range(40):
+        t = bytearray(r.choice(base)[r.randrange(200) :])
+        t[r.randrange(len(t))] = r.choice(b"ab ")
+        pieces.append(bytes(t))
+    count = Counter(p[k : k + 200] for p in pieces for k in range(len(p) - 199))
+    assert [x.tolist() for x in suffix_dedup.told_by_bytes(pieces)] == [[count[p[k : k + 200]] > 1 for k in range(len(p) - 199)] for p in pieces]
+
+
 def test_columns_with_dots_and_clashing_names(spark, labels):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` string, `c``d` string, n string, h string, start bigint, part string, words string, `_words` string, key string, chars string"
     rows = [(i, "one two three four five six seven eight nine ten eleven twelve. " * (1 + i % 3), "en", "s", 0, f"x{i}", "y", *["z"] * 2, 5, *["z"] * 5) for i in range(12)]
