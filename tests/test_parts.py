@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 import struct
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
 
 from treelake.functions import attributes as A
 from treelake.functions import names as N
+from treelake.operators import sorting as S
 from treelake.operators import storage as X
 from treelake.plans import paths as J
 from treelake.plans import rollup as G
@@ -73,8 +75,9 @@ def test_report_columns_and_tokens():
 def test_report_goes_round(spark, tmp_path):
     df = spark.createDataFrame([("C:\\a", "a", 5), ("C:\\b|c", "b|c", 6)], "path string, name string, size bigint")
     R.write_report(df, str(tmp_path / "r"), "|")
-    assert (tmp_path / "r/part=0").exists()
-    back = R.read_report(spark, str(tmp_path / "r/part=1"), "path,name,size", "|")
+    first = {p.read_text().split("\n")[0] for p in (tmp_path / "r").glob("part-*")}
+    assert first == {'"path"|"name"|"size"'}
+    back = R.read_report(spark, str(tmp_path / "r"), "path,name,size", "|")
     assert sorted(back.collect()) == sorted(df.collect())
     R.write_table_export(df.withColumn("x", F.lit("it's")), str(tmp_path / "t"))
     text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "t").glob("part-*")))
@@ -143,6 +146,66 @@ def test_cycles_and_orphans(spark):
     links = spark.createDataFrame([("C:", 5, 0, 5, "."), ("C:", 20, 0, 21, "a"), ("C:", 21, 0, 20, "b"), ("C:", 22, 0, 99, "c")], "volume string, node_id bigint, link_ix int, parent_id bigint, name string")
     assert [r.node_id for r in J.folder_paths(links, nodes).collect()] == [5]
     assert [r.node_id for r in J.orphans(links, nodes).collect()] == [22]
+    assert sorted(r.node_id for r in J.cycles(links, nodes).collect()) == [20, 21]
+
+
+def test_paths_of_any_depth(spark):
+    """A chain of 300 folders comes back whole."""
+    n = 300
+    nodes = spark.createDataFrame([("C:", 5, True), *(("C:", 100 + k, True) for k in range(n))], "volume string, node_id bigint, is_dir boolean").coalesce(1)
+    links = spark.createDataFrame([("C:", 5, 0, 5, "."), *(("C:", 100 + k, 0, 99 + k if k else 5, "d") for k in range(n))], "volume string, node_id bigint, link_ix int, parent_id bigint, name string").coalesce(1)
+    got = {r.node_id: (r.depth, r.path) for r in J.folder_paths(links, nodes).collect()}
+    assert got == {5: (0, "C:\\"), **{100 + k: (k + 1, "C:\\" + "d\\" * (k + 1)) for k in range(n)}}
+
+
+def test_lookup_and_snapshots(spark, tmp_path):
+    tables = {
+        "links": spark.createDataFrame([("C:", 20, 0, 5, "a"), ("C:", 20, 1, 5, "b")], "volume string, node_id bigint, link_ix int, parent_id bigint, name string"),
+        "streams": spark.createDataFrame([("C:", 20, 0, 8, "s", 1, 10), ("C:", 20, 1, 8, "", 2, 20)], "volume string, node_id bigint, stream_ix int, type_id int, stream_name string, length bigint, allocated bigint"),
+    }
+    keys = spark.createDataFrame([("C:", 20, None, None), ("C:", 20, 1, 0), ("C:", 20, 2, 0), ("C:", 20, 0, 9), ("D:", 20, None, None)], "volume string, node_id bigint, link_ix int, stream_ix int")
+    got = {(r.volume, r.link_ix, r.stream_ix): (r.name, r.length, r.found) for r in J.lookup(tables, keys).collect()}
+    assert got == {("C:", None, None): ("a", 2, True), ("C:", 1, 0): ("b", 1, True), ("C:", 2, 0): (None, None, False), ("C:", 0, 9): (None, None, False), ("D:", None, None): (None, None, False)}
+    rows = spark.createDataFrame([("C:", 1, "old"), ("C:", 2, "new"), ("D:", 1, "only")], "volume string, snapshot_ts int, x string")
+    path = str(tmp_path / "store")
+    J.replace_volumes(J.latest(rows), path)
+    J.replace_volumes(spark.createDataFrame([("C:", 3, "newest")], rows.schema), path)
+    assert sorted((r.volume, r.x) for r in spark.read.parquet(path).collect()) == [("C:", "newest"), ("D:", "only")]
+
+
+def test_orders_and_their_reverse(spark):
+    r = random.Random(5)
+    names = ["b.pdf", "a.JPG", "c", "d.mp4", "B.txt"]
+    rows = [("CD"[r.randrange(2)] + ":", k, r.randrange(2), r.randrange(2), r.choice(names), f"C:\\x{r.randrange(3)}\\{r.choice(names)}", *(r.randrange(4) for _ in range(7)), r.choice([0, 16, 2048])) for k in range(60)]
+    fields = ["volume", "node_id", "link_ix", "stream_ix", "name", "path", "length", "allocated", "bulkiness", "treesize", "created_ft", "written_ft", "depth", "attrs"]
+    hits = spark.createDataFrame(rows, "volume string, node_id bigint, link_ix int, stream_ix int, name string, path string, length bigint, allocated bigint, bulkiness bigint, treesize bigint, created_ft bigint, written_ft bigint, depth int, attrs int")
+    kinds = {"pdf": "PDF Document", "jpg": "JPEG Image", "mp4": "MP4 Video", "txt": "Text Document"}
+    type_of = lambda x: "File folder" if x["attrs"] & 16 else kinds.get(x["name"].lower().rpartition(".")[2], "File")
+    orders = {
+        "name": lambda x: [x["name"].encode()], "type": lambda x: [type_of(x).encode()], "path": lambda x: [x["volume"], [p.encode() for p in x["path"].split("\\")]], "size": lambda x: [-x["length"]],
+        "saved": lambda x: [x["allocated"] - x["length"]], "disk": lambda x: [-x["allocated"]], "bulkiness": lambda x: [-x["bulkiness"]], "descendants": lambda x: [-x["treesize"]], "created": lambda x: [-x["created_ft"]],
+        "written": lambda x: [-x["written_ft"]], "physical": lambda x: [x["node_id"], -x["link_ix"], -x["stream_ix"]], "flag:compressed": lambda x: [-(x["attrs"] & 2048)], "attributes": lambda x: [-x["attrs"]], "level": lambda x: [x["depth"]],
+    }
+    dicts = [dict(zip(fields, x, strict=True)) for x in rows]
+    ties = lambda x: [x[t] for t in S.TIES]
+    for order, key in orders.items():
+        for reverse in (False, True):
+            expected = sorted(sorted(dicts, key=ties), key=key, reverse=reverse)
+            if reverse:
+                # a reversed sort keeps equal ones in their order
+                expected = [x for _, same in groupby(expected, key=key) for x in sorted(same, key=ties)]
+            got = [[r[t] for t in S.TIES] for r in S.ordered(hits, order, reverse=reverse).collect()]
+            assert got == [ties(x) for x in expected], (order, reverse)
+    numbered = S.numbered(S.ordered(hits.repartition(7), "size").select(*S.TIES, "length")).orderBy("position").collect()
+    assert [r.position for r in numbered] == list(range(1, 61)) and [r.length for r in numbered] == sorted((r.length for r in numbered), reverse=True)
+    with pytest.raises(ValueError):
+        S.ordered(hits, "nope")
+
+
+def test_types_by_a_table(spark):
+    rows = spark.createDataFrame([("a.PDF", 0), ("b", 0), ("c.xyz", 0), ("d.pdf", 16)], "name string, attrs int")
+    types = spark.createDataFrame([("pdf", "PDF Document")], "extension string, type_name string")
+    assert sorted((r.name, r.type) for r in N.typed(rows, types).collect()) == [("a.PDF", "PDF Document"), ("b", "File"), ("c.xyz", "XYZ File"), ("d.pdf", "File folder")]
 
 
 # Dumps ---------------------------------------------------------------------------------------------------------------
@@ -202,3 +265,18 @@ def test_dump(spark, tmp_path):
     assert sorted((r.node_id, r.type_id, r.stream_name, r.length, r.allocated) for r in t["streams"].collect()) == [(5, 0, "", 4136, 4096), (31, 8, "", 5, 0), (31, 8, "s", 5000, 8192), (31, 8, "t", 10, 4096)]
     runs = [(r.next_vcn, r.lcn) for r in D.decode_runs(attributes.filter("kind = 'stream' AND name = 's' AND lowest_vcn = 0")).orderBy("run_ix").collect()]
     assert runs == [(16, 4096), (20, 4080), (28, None)]
+
+
+def test_dump_with_malformed_attributes(spark, tmp_path):
+    short = [attribute(0x10, b"abc"), attribute(0x30, b"x" * 20), attribute(0x30, struct.pack("<Q", 5).ljust(64, b"\0") + bytes([200, 1])), named(5, "good.txt"), _sized(0x80, 1, 0, 64, b"1234")]
+    path = tmp_path / "D.dump"
+    header = struct.Struct("<8sIIIQQQ20x")
+    path.write_bytes(header.pack(b"DUMPTEST", 1, 0, 1024, 1, 1024, 0) + record(short))
+    rows = D.parse_records(D.read_dump(spark, f"file://{path}")).collect()
+    assert [(r.kind, r.name) for r in rows] == [("link", "good.txt")]
+    for bad in (header.pack(b"DUMPTEST", 2, 0, 1024, 1, 1024, 0), header.pack(b"DUMPTEST", 1, 1, 1024, 1, 1024, 600), header.pack(b"DUMPTEST", 1, 0, 1024, 9, 9216, 0), header.pack(b"DUMPTEST", 1, 0, 0, 1, 1024, 0), b"short"):
+        path.write_bytes(bad + record(short))
+        if bad == b"short":
+            path.write_bytes(bad)
+        with pytest.raises(Exception, match="dump"):
+            D.read_dump(spark, str(path)).collect()

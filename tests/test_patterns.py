@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from treelake.functions import patterns as P
 
-# (pattern, text, expected) that hold for glob and globstar
+# The next four tables, (pattern, text, expected); the first holds for glob and globstar.
 BOTH = [("", "a", 0), ("?", "", 0), ("*", "", 1), ("?", "a", 1), ("*", "a", 1), ("*?", "a", 1), ("?*", "a", 1), ("*?*", "a", 1), ("*a*", "a", 1), ("*b*", "a", 0), ("?*?", "a", 0), ("?*?", "ab", 1), ("a*b", "a", 0), ("a*b", "ab", 1)]
 GLOB = [("*?", r"a\b", 1), ("?*?", r"a\b", 1), ("?*?", "a\\", 1), ("?*?", "a", 0), ("**?", r"a\b", 1), (r"*\*", r"a\b", 1), ("*\\", r"a\b", 0), (r"\*", r"a\b", 0), ("**", "a", 1), ("**", "a\\", 1), ("**", r"\b", 1)]
 DEEP = "a\\b\\c\\d\\"
@@ -21,8 +21,15 @@ GLOBSTAR = [
 REGEX = [(".", "ab", 0), ("..", "ab", 1), (".*", "ab", 1), ("^.", "ab", 0), ("^.*", "ab", 1), ("^.*$", "ab", 1)]
 
 
+# further cases: deep runs, letter case, either separator
+MORE = [
+    ("globstar", "a\\**\\**\\**\\b", "a\\x\\y\\z\\b", 1), ("globstar", "a\\**\\**\\**\\b", "a\\x\\b", 0), ("globstar", "a\\**\\b", "a\\b", 1), ("globstar", "**\\n?me*.TXT", "c:\\q\\Name1.txt", 1), ("globstar", "c:\\*.txt", "c:\\a\\b.txt", 0),
+    ("glob", "*.TXT", "a.txt", 1), ("glob", "a.b", "axb", 0), ("glob", "[a]*", "[A]b", 1), ("glob", "a+(b)*", "a+(b)c", 1), ("verbatim", "A$", "a$", 1), ("regex", "[a-c]+", "ABC", 1), ("globstar", "a*b", "a/b", 0),
+]
+
+
 def test_truth_table(spark):
-    cases = [("glob", *c) for c in BOTH + GLOB] + [("globstar", *c) for c in BOTH + GLOBSTAR] + [("regex", *c) for c in REGEX]
+    cases = [("glob", *c) for c in BOTH + GLOB] + [("globstar", *c) for c in BOTH + GLOBSTAR] + [("regex", *c) for c in REGEX] + MORE
     wrong = spark.range(1).select(*(P.matches(F.lit(text), pattern, kind).alias(f"c{k}") for k, (kind, pattern, text, _) in enumerate(cases))).first()
     assert [(c, r) for c, r in zip(cases, wrong, strict=True) if r != bool(c[3])] == []
 
@@ -45,5 +52,7 @@ def test_helpers(spark):
         P.checked(spark, "(")
     assert P.extension_list(["pictures", ".PDF"]) == ["jpg", "pdf", "png", "tiff"] and P.extension_list(["movies"]) == ["mp4", "mpeg"]
     assert P.root_prefix("c:\\x") == "C:" and P.root_prefix("x*") is None
+    assert P.trailing_star("C:\\a\\*") == "C:\\a\\*" and P.trailing_star("C:\\?\\a*") == "C:\\?\\a*"
+    assert P.with_own_extension("C:\\a\\*.txt", ["pdf"]) == ("C:\\a\\*", ["pdf", "txt"]) and P.with_own_extension("a.txt", []) == ("a.txt", []) and P.with_own_extension(">a.txt", ["x"]) == (">a.txt", ["x"])
     assert P.trailing_star("C:\\a.b*", ["pdf"]) == r">C:\\a\.b.*\.(?:pdf)" and P.trailing_star("C:\\a\\**") == "C:\\a\\**"
     assert P.pattern_mode("a/b")["path"] and P.pattern_mode("xy:s")["stream"] and not P.pattern_mode("x")["path"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +15,11 @@ from .functions import patterns as P
 from .functions import times as T
 from .operators import sorting as S
 from .operators import storage as X
-from .operators.search import Catalog, condition, data_streams, user_records, walk
+from .operators import streams as Y
+from .operators.search import Catalog, data_streams, user_records, walk
 from .plans import paths as J
 from .plans import rollup as G
+from .plans.shared import scratch, settled
 from .sources import reports as R
 from .streaming.standing import run_available, standing_search
 
@@ -39,9 +40,13 @@ class Given:
     def tables(self) -> dict[str, DataFrame]:
         return C.derived(self.spark, self.dir)
 
+    @cached_property
+    def folders(self) -> DataFrame:
+        return J.folder_paths(self.tables["links"], self.tables["nodes"])
+
     @cached_property
     def catalog(self) -> Catalog:
-        return Catalog(self.tables)
+        return Catalog(self.tables, J.entries(self.tables, self.folders))
 
     @property
     def entries(self) -> DataFrame:
@@ -49,7 +54,7 @@ class Given:
 
     @cached_property
     def totals(self) -> DataFrame:
-        return G.folder_totals(self.tables)
+        return G.folder_totals(self.tables, self.folders)
 
     @property
     def sized(self) -> DataFrame:
@@ -58,6 +63,12 @@ class Given:
         e = self.entries.join(t, ["volume", "node_id"], "left")
         return e.withColumns({"length": F.coalesce("t_length", "length"), "allocated": F.coalesce("t_allocated", "allocated"), "treesize": F.coalesce("treesize", F.lit(0).cast("long"))})
 
+    @property
+    def bulky(self) -> DataFrame:
+        """Entries with the bulk of folders in place of their own."""
+        b = G.bulkiness(self.tables, self.folders).select("volume", "node_id", F.col("bulkiness").alias("t_bulk"))
+        return self.entries.join(b, ["volume", "node_id"], "left").withColumn("bulkiness", F.coalesce("t_bulk", "bulkiness"))
+
     @property
     def extents(self) -> DataFrame:
         """An extent map for each nation: a run of clusters per customer."""
@@ -84,14 +95,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ordered(hits, "size").select("path", F.col("length").alias("size"), F.col("allocated").alias("size_on_disk"), T.local_text(F.col("written_ft")).alias("written"))
 
 
-# What the checking SQL of several queries begins with.
-ENTRIES = """dp AS (
+# What the checking SQL of several queries has in common.
+TYPE = "CASE type_id WHEN 8 THEN '$DATA' WHEN 11 THEN '$BITMAP' WHEN 14 THEN '$EA' WHEN 16 THEN '$LOGGED_UTILITY_STREAM' ELSE '' END"
+SUFFIX = f"CASE WHEN type_id IN (0, 8) THEN CASE WHEN stream_name <> '' THEN ':' || stream_name ELSE '' END ELSE ':' || stream_name || ':' || {TYPE} END"
+ENTRIES = f"""dp AS (
   SELECT volume, node_id, volume || chr(92) AS path, 0 AS depth, [node_id] AS ids FROM folders WHERE node_id = 5
   UNION ALL SELECT f.volume, f.node_id, dp.path || f.name || chr(92), dp.depth + 1, list_append(dp.ids, f.node_id) FROM folders f JOIN dp ON f.volume = dp.volume AND f.parent_id = dp.node_id WHERE f.node_id <> 5),
 nl AS (SELECT volume, node_id, CAST(count(*) AS INT) AS n_links FROM links GROUP BY ALL),
 ns AS (SELECT volume, node_id, CAST(count(*) AS INT) AS n_streams FROM streams GROUP BY ALL),
 entries AS (SELECT l.volume, l.node_id, l.link_ix, s.stream_ix, l.parent_id, l.name, CASE WHEN l.node_id = 5 THEN dp.path ELSE dp.path || l.name || CASE WHEN n.is_dir THEN chr(92) ELSE '' END END AS base,
-  base || CASE WHEN s.stream_name <> '' THEN ':' || s.stream_name ELSE '' END AS path, dp.path AS dir_path, CAST(CASE WHEN l.node_id = 5 THEN 0 ELSE dp.depth + 1 END AS INT) AS depth, dp.ids AS above_ids,
+  base || {SUFFIX} AS path, dp.path AS dir_path, CAST(CASE WHEN l.node_id = 5 THEN 0 ELSE dp.depth + 1 END AS INT) AS depth, dp.ids AS above_ids,
   n.is_dir, s.type_id, s.stream_name, s.length, s.allocated, s.bulkiness, s.is_sparse, n.attrs, n.created_ft, n.written_ft, n.accessed_ft, n_links, n_streams
   FROM links l JOIN nodes n USING (volume, node_id) JOIN nl USING (volume, node_id) JOIN ns USING (volume, node_id) JOIN dp ON dp.volume = l.volume AND dp.node_id = l.parent_id JOIN streams s ON s.volume = l.volume AND s.node_id = l.node_id)"""
 ROLL = """moved AS (SELECT volume, node_id, sum(allocated) AS moved FROM streams WHERE stream_name = 'WofCompressedData' GROUP BY ALL),
@@ -103,6 +116,16 @@ direct AS (SELECT volume, node_id, length, allocated, 1 AS treesize, 0 AS files
 totals AS (SELECT t.volume, t.node_id, t.length, CAST(t.allocated + CASE WHEN t.node_id = 5 THEN reserved_clusters * cluster_size ELSE 0 END AS BIGINT) AS allocated, treesize, files FROM (SELECT d.volume, x.id AS node_id, CAST(sum(length) AS BIGINT) AS length, sum(allocated) AS allocated, CAST(sum(treesize) AS BIGINT) AS treesize, CAST(sum(files) AS BIGINT) AS files
   FROM direct d JOIN (SELECT volume, node_id, unnest(ids) AS id FROM dp) x ON x.volume = d.volume AND x.node_id = d.node_id GROUP BY ALL) t JOIN volumes v ON v.volume = t.volume),
 sized AS (SELECT e.* EXCLUDE (length, allocated), coalesce(t.length, e.length) AS length, coalesce(t.allocated, e.allocated) AS allocated, coalesce(t.treesize, 0) AS treesize FROM entries e LEFT JOIN totals t USING (volume, node_id))"""
+BULK = """l2 AS (SELECT volume, parent_id AS node_id, sum(allocated) AS a FROM shares GROUP BY ALL),
+b2 AS (SELECT f.volume, f.node_id, f.parent_id, 4096 + coalesce(any_value(a), 0) AS allocated, 4096 + coalesce(sum(CASE WHEN s.bulkiness < a // 100 THEN s.bulkiness ELSE 0 END), 0) AS bulkiness FROM folders f LEFT JOIN l2 USING (volume, node_id) LEFT JOIN shares s ON s.volume = f.volume AND s.parent_id = f.node_id WHERE f.node_id >= 1000 GROUP BY ALL),
+c1 AS (SELECT volume, parent_id, allocated, bulkiness FROM b2 UNION ALL SELECT volume, parent_id, allocated, bulkiness FROM shares WHERE parent_id BETWEEN 100 AND 999),
+l1 AS (SELECT volume, parent_id AS node_id, sum(allocated) AS a FROM c1 GROUP BY ALL),
+b1 AS (SELECT f.volume, f.node_id, 4096 + coalesce(any_value(a), 0) AS allocated, 4096 + coalesce(sum(CASE WHEN s.bulkiness < a // 100 THEN s.bulkiness ELSE 0 END), 0) AS bulkiness FROM folders f LEFT JOIN l1 USING (volume, node_id) LEFT JOIN c1 s ON s.volume = f.volume AND s.parent_id = f.node_id WHERE f.node_id BETWEEN 100 AND 999 GROUP BY ALL),
+c0 AS (SELECT volume, allocated, bulkiness FROM b1 UNION ALL SELECT volume, allocated, bulkiness FROM shares WHERE parent_id = 5),
+l0 AS (SELECT volume, sum(allocated) AS a FROM c0 GROUP BY ALL),
+b0 AS (SELECT f.volume, f.node_id, 4096 + coalesce(sum(CASE WHEN s.bulkiness < a // 100 THEN s.bulkiness ELSE 0 END), 0) AS bulkiness FROM folders f LEFT JOIN l0 USING (volume) LEFT JOIN c0 s ON s.volume = f.volume WHERE f.node_id = 5 GROUP BY ALL),
+bulk AS (SELECT volume, node_id, CAST(bulkiness AS BIGINT) AS bulkiness FROM (SELECT volume, node_id, bulkiness FROM b2 UNION ALL SELECT volume, node_id, bulkiness FROM b1 UNION ALL SELECT volume, node_id, bulkiness FROM b0)),
+bulky AS (SELECT e.* EXCLUDE (bulkiness), coalesce(b.bulkiness, e.bulkiness) AS bulkiness FROM entries e LEFT JOIN bulk b USING (volume, node_id))"""
 EXTENTS = """extents AS (SELECT n_name AS volume, CAST(row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) - 1 AS INT) AS extent_ix, CAST(sum(c_custkey % 7 + 1) OVER (PARTITION BY n_name ORDER BY c_custkey) AS BIGINT) AS next_vcn, CAST(c_custkey * 16 + 1000 AS BIGINT) AS lcn FROM customer JOIN nation ON c_nationkey = n_nationkey),
 ranges AS (SELECT volume, extent_ix, lcn, next_vcn - f AS clusters, f * 4 AS first_record, next_vcn * 4 - 1 AS last_record, lcn * 4096 AS byte_offset, (next_vcn - f) * 4096 AS byte_length FROM (SELECT *, coalesce(lag(next_vcn) OVER (PARTITION BY volume ORDER BY extent_ix), 0) AS f FROM extents))"""
 
@@ -111,7 +134,7 @@ FOUND: dict[str, tuple] = {}
 
 def query(sql: str, parts: str = "entries"):
     """Registers a query under its function's name with its checking SQL; parts: which definitions that needs."""
-    definitions = {"": [], "links": [], "entries": [ENTRIES], "sized": [ENTRIES, ROLL], "extents": [EXTENTS]}[parts]
+    definitions = {"": [], "links": [], "entries": [ENTRIES], "sized": [ENTRIES, ROLL], "bulky": [ENTRIES, ROLL, BULK], "extents": [EXTENTS]}[parts]
 
     def put(f):
         FOUND[f.__name__] = (f, None if sql is None else (sql if parts == "" else ",\n".join([C.prefix(), *definitions]) + "\n" + sql))
@@ -120,6 +143,10 @@ def query(sql: str, parts: str = "entries"):
     return put
 
 
+#: What searches leave out unless asked for the file system's own.
+OWN = "type_id IN (0, 8) AND (node_id >= 16 OR node_id = 5)"
+
+
 def hits_of(name: str, where: str, **search) -> None:
     """A query that is one search, checked by a condition on all entries."""
     pattern = search.pop("pattern", "")
@@ -128,7 +155,7 @@ def hits_of(name: str, where: str, **search) -> None:
         return g.catalog.search(pattern, **search).select(*K, "path")
 
     f.__name__ = name
-    query(f"SELECT {KS}, path FROM entries WHERE {where}")(f)
+    query(f"SELECT {KS}, path FROM entries WHERE {where}" + ("" if search.get("metadata") else f" AND {OWN}"))(f)
 
 
 # Projections ---------------------------------------------------------------------------------------------------------
@@ -147,7 +174,7 @@ def column(name: str, sql: str, make, parts: str = "entries") -> None:
 c = F.col
 stamp = lambda t: f"strftime(make_timestamp(({t}_ft - {T.EPOCH}) // 10), '%Y-%m-%d %H:%M:%S')"
 column("full_path", "path", lambda: c("path"))
-column("base_name", "name", lambda: c("name"))
+column("base_name", f"name || {SUFFIX}", lambda: J.base_name(c("name"), c("type_id"), c("stream_name")))
 column("dir_path", "dir_path", lambda: c("dir_path"))
 column("size", "length", lambda: c("length"), "sized")
 column("size_on_disk", "allocated", lambda: c("allocated"), "sized")
@@ -158,16 +185,16 @@ column("locale_time", f"strftime(make_timestamp((written_ft - {T.EPOCH}) // 10),
 column("filetime_to_ts", f"(written_ft - {T.EPOCH}) // 10", lambda: F.unix_micros(T.timestamp(c("written_ft"))))
 column("descendants", "CAST(greatest(treesize - 1, 0) AS BIGINT)", lambda: F.greatest(c("treesize") - 1, F.lit(0)).cast("long"), "sized")
 column("encode_flags", f"attrs & {sum(A.BITS.values())}", lambda: A.encoded(A.decoded(c("attrs"))))
-column("attribute_class", "CASE WHEN attrs & 4 <> 0 THEN 'system' WHEN attrs & 2 <> 0 THEN 'hidden' WHEN attrs & 16 <> 0 THEN 'directory' WHEN attrs & 2048 <> 0 THEN 'compressed' WHEN attrs & 16384 <> 0 THEN 'encrypted' WHEN attrs & 512 <> 0 THEN 'sparse' ELSE 'default' END", lambda: A.attribute_class(c("attrs")))
+column("attribute_class", "CASE WHEN attrs & 1073741824 <> 0 THEN 'deleted' WHEN attrs & 4 <> 0 THEN 'system' WHEN attrs & 2 <> 0 THEN 'hidden' WHEN attrs & 16 <> 0 THEN 'directory' WHEN attrs & 2048 <> 0 THEN 'compressed' WHEN attrs & 16384 <> 0 THEN 'encrypted' WHEN attrs & 512 <> 0 THEN 'sparse' ELSE 'default' END", lambda: A.attribute_class(c("attrs")))
 column("file_type", "CASE WHEN is_dir THEN 'File folder' WHEN name ILIKE '%.pdf' THEN 'PDF Document' WHEN name ILIKE '%.jpg' THEN 'JPEG Image' WHEN name ILIKE '%.mp4' THEN 'MP4 Video' ELSE 'File' END", lambda: N.file_type(c("name"), c("attrs")))
-column("stream_suffix", "CASE WHEN stream_name <> '' THEN ':' || stream_name ELSE '' END", lambda: J.stream_suffix(c("type_id"), c("stream_name")))
+column("stream_suffix", SUFFIX, lambda: J.stream_suffix(c("type_id"), c("stream_name")))
 column("depth", "depth", lambda: c("depth"))
 column("strip_stream", "CASE WHEN node_id = 5 THEN base ELSE rtrim(base, chr(92)) END", lambda: N.strip_stream(c("path")))
 column("normalize_path", "CASE WHEN node_id = 5 THEN base ELSE rtrim(base, chr(92)) END", lambda: N.normalize(F.replace("path", F.lit("\\"), F.lit("\\\\")), "C:\\"))
 column("format_count", "format('{:,}', length)", lambda: F.format_number("length", 0))
 column("pack_key", "(CAST(link_ix AS BIGINT) << 22) | (CAST(stream_ix AS BIGINT) << 9) | CAST(depth AS BIGINT)", lambda: A.packed_key(c("link_ix"), c("stream_ix"), c("depth")))
 column("wrap48", "(length * 4294967296) & 281474976710655", lambda: A.wrap48(c("length") * 4294967296))
-column("attribute_name", "CASE type_id WHEN 8 THEN '$DATA' ELSE '' END", lambda: J.attribute_name(c("type_id")))
+column("attribute_name", TYPE, lambda: J.attribute_name(c("type_id")))
 column("space_saved", "length - allocated", lambda: c("length") - c("allocated"))
 
 
@@ -208,7 +235,7 @@ hits_of("trailing_star", f"{MAIN} AND starts_with(lower(path), 'd:\\nation_')",
 hits_of("ext_filter", f"{MAIN} AND (name ILIKE '%.jpg' OR name ILIKE '%.png' OR name ILIKE '%.tiff' OR name ILIKE '%.mp4')", ext=["pictures", "mp4"])
 hits_of("volume_filter", f"{MAIN} AND volume IN ('C:', 'D:')", volumes=["c", "D:\\"])
 hits_of("root_prefix", f"{MAIN} AND volume = 'E:' AND ends_with(lower(path), '.mp4')", pattern="e:\\**.mp4")
-hits_of("stream_mode", "type_id IN (0, 8)", streams=True)
+hits_of("stream_mode", "true", streams=True)
 hits_of("metadata_mode", "true", streams=True, metadata=True)
 
 
@@ -217,7 +244,7 @@ def match_exact(g):
     return g.entries.filter(P.matches(c("name"), "ORDER_7.mp4", "verbatim") | P.matches(c("name"), "nation_3", "verbatim")).select(*K)
 
 
-@query(f"SELECT {KS} FROM entries WHERE (node_id >= 16 OR node_id = 5)")
+@query(f"SELECT {KS} FROM entries WHERE {OWN}")
 def user_records_only(g):
     return g.entries.filter(user_records() & data_streams()).select(*K)
 
@@ -227,7 +254,7 @@ def user_records_only(g):
 
 @query("SELECT volume, node_id, path, CAST(depth AS INT) AS depth FROM dp")
 def rebuild_paths(g):
-    return J.folder_paths(g.tables["links"], g.tables["nodes"]).select("volume", "node_id", "path", "depth")
+    return g.folders.select("volume", "node_id", "path", "depth")
 
 
 @query(f"SELECT {KS}, parent_id, name, length, allocated, n_links, n_streams FROM entries")
@@ -235,11 +262,16 @@ def expand_entries(g):
     return g.entries.select(*K, "parent_id", "name", "length", "allocated", "n_links", "n_streams")
 
 
-@query("SELECT l.volume, l.node_id, l.name, s.length FROM links l JOIN streams s ON s.volume = l.volume AND s.node_id = l.node_id WHERE l.link_ix = 0 AND s.stream_name = '' AND l.node_id IN (SELECT node_id FROM files WHERE o_orderkey % 3 = 0)", "links")
+@query(
+    """, keys AS (SELECT volume, node_id FROM files UNION ALL SELECT volume, node_id + 20000000 FROM files WHERE attrs >= 2048)
+SELECT k.volume, k.node_id, l.name, s.length, l.name IS NOT NULL AS found FROM keys k LEFT JOIN (SELECT * FROM links WHERE link_ix = 0) l USING (volume, node_id) LEFT JOIN (SELECT * FROM streams WHERE stream_name = '' AND type_id = 8) s USING (volume, node_id)""",
+    "links",
+)
 def key_lookup(g):
-    keys = g.table("orders").filter("o_orderkey % 3 = 0").select((c("o_orderkey") + 10000000).alias("node_id"))
-    first = g.tables["links"].filter("link_ix = 0").join(keys, "node_id")
-    return first.join(g.tables["streams"].filter("stream_name = ''"), ["volume", "node_id"]).select("volume", "node_id", "name", "length")
+    files = g.tables["nodes"].filter("NOT is_dir AND node_id >= 16")
+    absent = files.filter("attrs >= 2048").withColumn("node_id", c("node_id") + 20000000)
+    keys = files.unionByName(absent).select("volume", "node_id", F.lit(None).cast("int").alias("link_ix"), F.lit(None).cast("int").alias("stream_ix"))
+    return J.lookup(g.tables, keys).select("volume", "node_id", "name", "length", "found")
 
 
 @query("SELECT volume, parent_id, node_id, link_ix, name FROM links WHERE parent_id BETWEEN 100 AND 999 AND node_id <> 5", "links")
@@ -253,7 +285,7 @@ def subtree_of(g):
     return g.entries.filter(F.array_contains("above_ids", 101)).select(*K, "path")
 
 
-@query("SELECT type_id, CASE type_id WHEN 8 THEN '$DATA' ELSE '' END AS type_name, count(*) AS streams FROM streams GROUP BY ALL", "links")
+@query(f"SELECT type_id, {TYPE} AS type_name, count(*) AS streams FROM streams GROUP BY ALL", "links")
 def type_dim_join(g):
     names = g.spark.createDataFrame(list(enumerate(J.ATTRIBUTE_NAMES)), "type_id int, type_name string")
     return g.tables["streams"].groupBy("type_id").agg(F.count(F.lit(1)).alias("streams")).join(F.broadcast(names), "type_id", "left")
@@ -265,6 +297,23 @@ def orphans(g):
     return J.orphans(g.tables["links"], left).select("volume", "node_id", "link_ix", "parent_id", "name")
 
 
+@query("SELECT volume, node_id, parent_id FROM folders WHERE node_id >= 1000 AND node_id % 50 = 0", "links")
+def cycles(g):
+    ring = (c("node_id") >= 1000) & (c("node_id") < 10000000) & (c("node_id") % 50 == 0)
+    links = g.tables["links"].withColumn("parent_id", F.when(ring, c("node_id")).otherwise(c("parent_id")))
+    return J.cycles(links, g.tables["nodes"]).join(g.tables["links"].select("volume", "node_id", c("parent_id").alias("was")), ["volume", "node_id"]).select("volume", "node_id", c("was").alias("parent_id"))
+
+
+@query(
+    "SELECT volume, node_id, link_ix, name, CASE WHEN attrs & 16 <> 0 THEN 'File folder' WHEN name ILIKE '%.pdf' THEN 'PDF Document' WHEN name ILIKE '%.jpg' THEN 'JPEG Image' WHEN name ILIKE '%.mp4' THEN 'MP4 Video' WHEN contains(name, '.') AND node_id <> 5 THEN upper(regexp_extract(name, '\\\\.([^.]*)$', 1)) || ' File' ELSE 'File' END AS type FROM links JOIN nodes USING (volume, node_id)",
+    "links",
+)
+def typed_names(g):
+    types = g.spark.createDataFrame(list(N.TYPES.items()), "extension string, type_name string")
+    rows = g.tables["links"].join(g.tables["nodes"].select("volume", "node_id", "attrs"), ["volume", "node_id"])
+    return N.typed(rows, types).select("volume", "node_id", "link_ix", "name", "type")
+
+
 @query("SELECT r.volume, r.extent_ix, r.first_record, o_orderkey AS found_record, coalesce(o_orderkey = r.first_record, false) AS matches FROM ranges r LEFT JOIN orders ON o_orderkey = r.first_record AND o_orderstatus <> 'P'", "extents")
 def verify_extents(g):
     r = X.extent_ranges(g.extents)
@@ -291,19 +340,9 @@ def wof_merge(g):
     return G.merged_compressed(g.tables["streams"]).select("volume", "node_id", "stream_ix", "length", "allocated")
 
 
-@query(
-    """, l2 AS (SELECT volume, parent_id AS node_id, sum(allocated) AS a FROM shares GROUP BY ALL),
-b2 AS (SELECT f.volume, f.node_id, f.parent_id, 4096 + coalesce(any_value(a), 0) AS allocated, 4096 + coalesce(sum(CASE WHEN s.bulkiness < a // 100 THEN s.bulkiness ELSE 0 END), 0) AS bulkiness FROM folders f LEFT JOIN l2 USING (volume, node_id) LEFT JOIN shares s ON s.volume = f.volume AND s.parent_id = f.node_id WHERE f.node_id >= 1000 GROUP BY ALL),
-c1 AS (SELECT volume, parent_id, allocated, bulkiness FROM b2 UNION ALL SELECT volume, parent_id, allocated, bulkiness FROM shares WHERE parent_id < 1000),
-l1 AS (SELECT volume, parent_id AS node_id, sum(allocated) AS a FROM c1 GROUP BY ALL),
-b1 AS (SELECT f.volume, f.node_id, 5 AS parent_id, 4096 + coalesce(any_value(a), 0) AS allocated, 4096 + coalesce(sum(CASE WHEN s.bulkiness < a // 100 THEN s.bulkiness ELSE 0 END), 0) AS bulkiness FROM folders f LEFT JOIN l1 USING (volume, node_id) LEFT JOIN c1 s ON s.volume = f.volume AND s.parent_id = f.node_id WHERE f.node_id BETWEEN 100 AND 999 GROUP BY ALL),
-l0 AS (SELECT volume, sum(allocated) AS a FROM b1 GROUP BY ALL),
-b0 AS (SELECT f.volume, f.node_id, 4096 + coalesce(sum(CASE WHEN s.bulkiness < a // 100 THEN s.bulkiness ELSE 0 END), 0) AS bulkiness FROM folders f LEFT JOIN l0 USING (volume) LEFT JOIN b1 s ON s.volume = f.volume WHERE f.node_id = 5 GROUP BY ALL)
-SELECT volume, node_id, CAST(bulkiness AS BIGINT) AS bulkiness FROM (SELECT volume, node_id, bulkiness FROM b2 UNION ALL SELECT volume, node_id, bulkiness FROM b1 UNION ALL SELECT volume, node_id, bulkiness FROM b0)""",
-    "sized",
-)
+@query("SELECT volume, node_id, bulkiness FROM bulk", "bulky")
 def bulkiness(g):
-    return G.bulkiness(g.tables)
+    return G.bulkiness(g.tables, g.folders)
 
 
 @query("SELECT volume, length, allocated FROM totals WHERE node_id = 5", "sized")
@@ -316,10 +355,12 @@ def treesize(g):
     return g.totals.select("volume", "node_id", "treesize", "files")
 
 
-@query("SELECT volume, node_id, CAST(sum(length) AS BIGINT) AS length, CAST(sum(allocated) AS BIGINT) AS allocated, count(*) AS parts FROM (SELECT volume, node_id, CASE WHEN stream_ix = 0 THEN '' ELSE stream_name END AS name, length, allocated FROM streams) GROUP BY volume, node_id, name", "links")
+SIZES = "SELECT volume, node_id, code, name, sparse, CASE WHEN resident THEN value_length WHEN node_id = 8 AND name = '$Bad' THEN initialized_size ELSE data_size END AS length, CASE WHEN resident THEN 0 WHEN node_id = 8 AND name = '$Bad' THEN initialized_size ELSE coalesce(compressed_size, allocated_size) END AS allocated FROM attributes"
+
+
+@query(f"SELECT volume, node_id, CAST(CASE WHEN name = '$I30' AND code IN (144, 160, 176) THEN 0 ELSE code // 16 END AS INT) AS type_id, CASE WHEN name = '$I30' AND code IN (144, 160, 176) THEN '' ELSE name END AS name, CAST(sum(length) AS BIGINT) AS length, CAST(sum(allocated) AS BIGINT) AS allocated, bool_or(sparse) AS is_sparse, count(*) AS parts FROM ({SIZES}) GROUP BY ALL", "links")
 def merge_index_attrs(g):
-    name = F.when(c("stream_ix") == 0, "").otherwise(c("stream_name"))
-    return g.tables["streams"].groupBy("volume", "node_id", name.alias("name")).agg(F.sum("length").alias("length"), F.sum("allocated").alias("allocated"), F.count(F.lit(1)).alias("parts")).drop("name")
+    return Y.merged_streams(g.tables["attributes"])
 
 
 @query("SELECT volume, count(*) AS extent_count, CAST(sum(clusters) AS BIGINT) AS clusters, max(last_record) + 1 AS records, CAST(sum(byte_length) AS BIGINT) AS bytes, count(*) > 1 AS fragmented FROM ranges GROUP BY volume", "extents")
@@ -340,7 +381,7 @@ def per_node():
     return Window.partitionBy("volume", "node_id")
 
 
-@query(f"SELECT volume, count(*) AS hits FROM entries WHERE {MAIN} AND ends_with(lower(name), '.pdf') GROUP BY volume")
+@query(f"SELECT volume, count(*) AS hits FROM entries WHERE {MAIN} AND {OWN} AND ends_with(lower(name), '.pdf') GROUP BY volume")
 def hit_count(g):
     return g.catalog.search("*.pdf").groupBy("volume").agg(F.count(F.lit(1)).alias("hits"))
 
@@ -351,11 +392,9 @@ def name_stream_counts(g):
     return n.join(g.tables["streams"].groupBy("volume", "node_id").agg(F.count(F.lit(1)).cast("int").alias("n_streams")), ["volume", "node_id"])
 
 
-@query("SELECT l_orderkey, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS length, CAST(sum(CASE WHEN l_extendedprice < 2000 THEN 0 ELSE CAST(ceil(floor(l_extendedprice) / 4096) AS BIGINT) * 4096 END) AS BIGINT) AS allocated, bool_or(l_returnflag = 'R') AS sparse FROM lineitem GROUP BY l_orderkey", "")
+@query(f"SELECT volume, node_id, code, name, CAST(length AS BIGINT) AS length, CAST(allocated AS BIGINT) AS allocated FROM ({SIZES})", "links")
 def stream_size_rules(g):
-    length = F.floor("l_extendedprice")
-    allocated = F.when(c("l_extendedprice") < 2000, 0).otherwise(F.ceil(length / 4096) * 4096)
-    return g.table("lineitem").groupBy("l_orderkey").agg(F.sum(length).alias("length"), F.sum(allocated).alias("allocated"), F.bool_or(c("l_returnflag") == "R").alias("sparse"))
+    return Y.sized_attributes(g.tables["attributes"]).select("volume", "node_id", "code", "name", "length", "allocated")
 
 
 BLOCKS = '''SELECT 'C:' AS volume, o_orderkey // 64 AS block, count(*) AS slots, count(*) FILTER (o_orderstatus <> 'F') AS in_use, CAST(coalesce(min(o_orderkey) FILTER (o_orderstatus <> 'F') - min(o_orderkey), count(*)) AS BIGINT) AS "leading", CAST(coalesce(max(o_orderkey) - max(o_orderkey) FILTER (o_orderstatus <> 'F'), 0) AS BIGINT) AS "trailing" FROM orders GROUP BY o_orderkey // 64'''
@@ -392,52 +431,53 @@ def newest_first_ordinals(g):
     return g.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", (F.row_number().over(w) - 1).alias("stream_ix"))
 
 
-def sorted_by(name: str, order: list[str], shown: str, sized: bool = False) -> None:
+def sorted_by(name: str, order: list[str], shown: str, sql: str, of: str = "entries", reverse: bool = False) -> None:
+    """A query that sorts all hits and gives each its position; sql: the order as the checking database has it."""
+
     def f(g: Given) -> DataFrame:
-        return S.ordered(g.sized if sized else g.entries, *order).select(*K, shown)
+        wanted = ["attrs", "name", "path", "length", "allocated", "bulkiness", "treesize", "written_ft", "depth"]
+        rows = getattr(g, of)
+        hits = settled(rows.select(*K, *(w for w in wanted if w in rows.columns)))
+        return S.numbered(S.ordered(hits, *order, reverse=reverse).select(*K, shown))
 
     f.__name__ = name
-    query(f"SELECT {KS}, {shown} FROM {'sized' if sized else 'entries'}", "sized" if sized else "entries")(f)
-
-
-sorted_by("sort_name", ["name"], "name")
-sorted_by("sort_path", ["path"], "path")
-sorted_by("sort_type", ["type"], "name")
-sorted_by("sort_size", ["size"], "length", True)
-sorted_by("sort_saved", ["saved"], "length")
-sorted_by("sort_disk", ["disk"], "allocated", True)
-sorted_by("sort_bulkiness", ["bulkiness"], "bulkiness")
-sorted_by("sort_descendants", ["descendants"], "treesize", True)
-sorted_by("sort_time", ["written"], "written_ft")
-sorted_by("sort_physical", ["physical"], "name")
-sorted_by("sort_flags", ["flag:compressed"], "attrs")
-sorted_by("sort_by_level", ["level", "size"], "depth")
-sorted_by("search_by_level", ["level"], "depth")
-
-
-@query(f"SELECT {KS}, path, length FROM entries ORDER BY length DESC, {KS} LIMIT 100")
+    query(f"SELECT {KS}, {shown}, row_number() OVER (ORDER BY {sql}, {KS}) AS position FROM {of}", of)(f)
+
+
+TYPE_NAME = "CASE WHEN is_dir THEN 'File folder' WHEN name ILIKE '%.pdf' THEN 'PDF Document' WHEN name ILIKE '%.jpg' THEN 'JPEG Image' WHEN name ILIKE '%.mp4' THEN 'MP4 Video' ELSE 'File' END"
+sorted_by("sort_name", ["name"], "name", "name")
+sorted_by("sort_path", ["path"], "path", "volume, string_split(path, chr(92))")
+sorted_by("sort_path_reversed", ["path"], "path", "volume DESC, string_split(path, chr(92)) DESC", reverse=True)
+sorted_by("sort_type", ["type"], "name", TYPE_NAME)
+sorted_by("sort_size", ["size"], "length", "length DESC", "sized")
+sorted_by("sort_saved", ["saved"], "length", "length - allocated DESC", "sized")
+sorted_by("sort_saved_reversed", ["saved"], "length", "length - allocated", "sized", True)
+sorted_by("sort_disk", ["disk"], "allocated", "allocated DESC", "sized")
+sorted_by("sort_bulkiness", ["bulkiness"], "bulkiness", "bulkiness DESC", "bulky")
+sorted_by("sort_descendants", ["descendants"], "treesize", "treesize DESC", "sized")
+sorted_by("sort_time", ["written"], "written_ft", "written_ft DESC")
+sorted_by("sort_physical", ["physical"], "name", "node_id, link_ix DESC, stream_ix DESC")
+sorted_by("sort_flags", ["flag:compressed"], "attrs", "attrs & 2048 <> 0 DESC")
+sorted_by("sort_by_level", ["level", "size"], "depth", "depth, length DESC")
+sorted_by("search_by_level", ["level"], "depth", "depth")
+
+
+@query(f"SELECT {KS}, path, length FROM sized ORDER BY length DESC, {KS} LIMIT 100", "sized")
 def top_k(g):
-    return S.top(g.entries, 100, "size").select(*K, "path", "length")
+    return S.top(g.sized, 100, "size").select(*K, "path", "length")
 
 
 # Sources and sinks ---------------------------------------------------------------------------------------------------
 
 
-def scratch(spark: SparkSession) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='treelake-')}"
-    return f"{base}/treelake-{uuid.uuid4().hex}"
-
-
-@query(f"SELECT path, name, length AS size, {stamp('written')} AS written FROM entries WHERE {MAIN} AND ends_with(lower(name), '.pdf')")
+@query(f"SELECT path, name, length AS size, {stamp('written')} AS written FROM entries WHERE {MAIN} AND {OWN} AND ends_with(lower(name), '.pdf')")
 def read_catalog(g):
     out = scratch(g.spark)
-    R.report_lines(R.select_columns(g.catalog.search("*.pdf"), "path,name,size,written")).write.text(out)
+    R.write_report(R.select_columns(g.catalog.search("*.pdf"), "path,name,size,written"), out)
     return R.read_report(g.spark, out, "path,name,size,written").withColumn("written", F.date_format("written", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query(f"SELECT {KS}, path FROM entries WHERE {MAIN} AND volume IN ('C:', 'D:', 'E:') AND ends_with(lower(name), '.mp4')")
+@query(f"SELECT {KS}, path FROM entries WHERE {MAIN} AND {OWN} AND volume IN ('C:', 'D:', 'E:') AND ends_with(lower(name), '.mp4')")
 def union_volumes(g):
     parts = [g.catalog.search("*.mp4", volumes=[v]) for v in ("C", "D", "E")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(*K, "path")
@@ -446,21 +486,25 @@ def union_volumes(g):
 @query("SELECT o_custkey AS volume, o_orderkey AS node_id, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS snapshot_us FROM orders WHERE (o_custkey, o_orderdate) IN (SELECT o_custkey, max(o_orderdate) FROM orders GROUP BY o_custkey)", "")
 def latest_snapshot(g):
     rows = g.table("orders").select(c("o_custkey").alias("volume"), c("o_orderkey").alias("node_id"), F.unix_micros(c("o_orderdate").cast("timestamp")).alias("snapshot_us"))
-    return rows.join(rows.groupBy("volume").agg(F.max("snapshot_us").alias("snapshot_us")), ["volume", "snapshot_us"], "left_semi")
+    return J.latest(rows, "volume", "snapshot_us")
 
 
 @query("SELECT '\"' || path || '\"|\"' || name || '\"|' || length || '|' || CASE WHEN attrs & 1 <> 0 THEN '1' ELSE '0' END AS line FROM entries")
 def write_report(g):
-    return R.report_lines(R.select_columns(g.entries, "path,name,size,readonly"), "|", "DOUBLE")
+    out = scratch(g.spark)
+    report = R.select_columns(g.entries, "path,name,size,readonly")
+    R.write_report(report, out, "|", "DOUBLE")
+    # each file begins with the header
+    return g.spark.read.text(out).withColumnRenamed("value", "line").filter(c("line") != R.report_header(report, "|", "DOUBLE"))
 
 
-@query("SELECT path || ',' || length || ',' || CASE WHEN length % 2 = 0 THEN '\"' || format('{:,}', length) || '\"' ELSE 'it' END AS line FROM entries WHERE length >= 1000")
+@query("SELECT path || ',' || length || ',' || CASE WHEN length % 2 = 0 THEN '\"' || format('{:,}', length) || '\"' ELSE 'it' END AS line FROM entries")
 def write_table_export(g):
-    rows = g.entries.filter("length >= 1000").select("path", "length", F.when(c("length") % 2 == 0, F.format_number("length", 0)).otherwise("it").alias("shown"))
+    rows = g.entries.select("path", "length", F.when(c("length") % 2 == 0, F.format_number("length", 0)).otherwise("it").alias("shown"))
     return R.export_lines(rows)
 
 
-@query("SELECT path FROM entries WHERE stream_name = ''")
+@query("SELECT path FROM entries WHERE stream_name = '' AND type_id IN (0, 8)")
 def path_list(g):
     return R.path_list(g.entries, files_only=True)
 

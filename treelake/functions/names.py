@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .attributes import BITS
@@ -39,8 +39,17 @@ def normalize(path: Column, base: str) -> Column:
 
 
 def file_type(name: Column, attrs: Column, types: dict[str, str] = TYPES) -> Column:
-    """Type name by extension; folders and unknown extensions get a name of their own. A join for a larger table of types: ``typed``."""
+    """Type name by extension; folders and unknown extensions get a name of their own. For a larger table of types there is ``typed``."""
     ext = F.lower(F.regexp_extract(name, r"\.([^.\\/:]*)$", 1))
     known = F.coalesce(*(F.when(ext == e, F.lit(t)) for e, t in types.items()))
     named = F.when(ext == "", "File").otherwise(F.concat(F.upper(ext), F.lit(" File")))
     return F.when(attrs.bitwiseAND(F.lit(BITS["directory"])) != 0, "File folder").otherwise(F.coalesce(known, named))
+
+
+def typed(rows: DataFrame, types: DataFrame) -> DataFrame:
+    """rows (name, attrs) with ``type`` by a join to a table (extension, type_name), whose size Spark judges; lower-case extensions, each once."""
+    ext = F.lower(F.regexp_extract("name", r"\.([^.\\/:]*)$", 1))
+    out = rows.withColumn("_ext", ext).join(types.select(F.col("extension").alias("_ext"), F.col("type_name").alias("_type")), "_ext", "left")
+    named = F.when(F.col("_ext") == "", "File").otherwise(F.concat(F.upper("_ext"), F.lit(" File")))
+    folder = F.col("attrs").bitwiseAND(F.lit(BITS["directory"])) != 0
+    return out.withColumn("type", F.when(folder, "File folder").otherwise(F.coalesce("_type", named))).drop("_ext", "_type")

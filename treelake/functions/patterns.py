@@ -51,27 +51,27 @@ def whole_match(column: Column, regex: str, case: bool = False) -> Column:
     return column.rlike(rf"({'?s' if case else '?isu'})\A(?:{regex})\z")
 
 
-def simple(column: Column, pattern: str, case: bool) -> Column | None:
+def simple(column: Column, pattern: str, case: bool, lowered: bool = False) -> Column | None:
     """A condition without a regular expression, where the only wildcards are stars at the ends."""
     core = pattern.strip("*")
     if not core or re.search(r"[*?]", core):
         return None
     if not case:
-        column, core = F.lower(column), core.lower()
+        column, core = column if lowered else F.lower(column), core.lower()
     before, after = pattern.startswith("*"), pattern.endswith("*")
     return column.contains(core) if before and after else column.endswith(core) if before else column.startswith(core) if after else column == core
 
 
-def matches(column: Column, pattern: str, kind: str, case: bool = False) -> Column:
-    """kind: any, verbatim, glob, globstar or regex."""
+def matches(column: Column, pattern: str, kind: str, case: bool = False, lowered: bool = False) -> Column:
+    """kind: any, verbatim, glob, globstar or regex. lowered: the column is in lower case, as stored, and can be compared as it is."""
     if kind == "any":
         return F.lit(True)
     if kind == "regex":
         return whole_match(column, pattern, case)
     if kind == "verbatim":
-        return column == pattern if case else F.lower(column) == pattern.lower()
+        return column == pattern if case else (column if lowered else F.lower(column)) == pattern.lower()
     if kind == "glob":
-        easy = simple(column, pattern, case)
+        easy = simple(column, pattern, case, lowered)
         return easy if easy is not None else whole_match(column, glob_regex(pattern), case)
     if kind == "globstar":
         return whole_match(column, globstar_regex(pattern), case)
@@ -92,8 +92,8 @@ def pattern_mode(pattern: str) -> dict:
 
 
 def trailing_star(pattern: str, extensions: list[str] = ()) -> str:
-    """A path that ends in one star means everything below it, of the given extensions; all literals are quoted."""
-    if pattern.startswith(">") or "\\" not in pattern or not re.search(r"(?<!\*)\*$", pattern):
+    """A path whose only wildcard is a star at the end of a name means everything that begins like it, of the given extensions; all literals are quoted."""
+    if pattern.startswith(">") or "\\" not in pattern or not re.search(r"[^*\\]\*$", pattern) or re.search(r"[*?]", pattern[:-1]):
         return pattern
     tail = rf"\.(?:{'|'.join(map(quoted, extensions))})" if extensions else ""
     return ">" + quoted(pattern[:-1]) + ".*" + tail
@@ -108,6 +108,20 @@ def extension_list(wanted: list[str]) -> list[str]:
     return sorted({e for w in wanted for e in GROUPS.get(w.lower(), (w.lower().lstrip("."),))})
 
 
+def with_own_extension(pattern: str, wanted: list[str]) -> tuple[str, list[str]]:
+    """With extensions wanted, a pattern's own one is another of them, and the rest of the pattern may end in anything."""
+    own = re.search(r"\.([^.\\/*?:|]+)$", pattern)
+    if not wanted or not own or pattern.startswith(">"):
+        return pattern, list(wanted)
+    return pattern[: own.start()].rstrip("*") + "*", [*wanted, own[1]]
+
+
+def literal_head(pattern: str) -> str:
+    """What every match of a path pattern begins with, in lower case; '' where letters beyond ASCII make that unsure."""
+    head = re.match(r"[^*?]*", pattern)[0].lower()
+    return head if head.isascii() else ""
+
+
 def extension_filter(name: Column, wanted: list[str]) -> Column:
     return extension(name).isin(extension_list(wanted))
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import ROOT
-from ..functions.patterns import checked, extension_filter, matches, pattern_mode, root_prefix, trailing_star, volume_names
-from ..plans.paths import DATA, entries, stream_suffix
+from ..functions.patterns import checked, extension, extension_filter, extension_list, literal_head, matches, pattern_mode, root_prefix, trailing_star, volume_names, with_own_extension
+from ..plans.paths import DATA, base_name, entries, replace_volumes
 
 
 def user_records(metadata: bool = False) -> Column:
@@ -19,27 +19,53 @@ def data_streams(metadata: bool = False) -> Column:
     return F.lit(True) if metadata else F.col("type_id").isin(0, DATA)
 
 
-def condition(pattern: str, case: bool = False) -> Column:
+def condition(pattern: str, case: bool = False, stored: bool = False) -> Column:
+    """What a pattern asks of an entry; stored: the entry has name_lc and path_lc."""
     mode = pattern_mode(pattern)
+    low = stored and not case
     if not mode["path"] and not mode["stream"]:
-        return matches(F.col("name"), mode["text"], mode["kind"], case)
+        return matches(F.col("name_lc" if low else "name"), mode["text"], mode["kind"], case, low)
     if not mode["path"]:
-        return matches(F.concat("name", stream_suffix(F.col("type_id"), F.col("stream_name"))), mode["text"], mode["kind"], case)
+        return matches(base_name(F.col("name"), F.col("type_id"), F.col("stream_name")), mode["text"], mode["kind"], case)
     with_end = matches(F.col("path"), mode["text"], mode["kind"], case)
     # a folder is found with and without its closing separator
     bare = matches(F.regexp_replace("path", r"\\$", ""), mode["text"], mode["kind"], case)
-    return with_end | (F.col("is_dir") & bare)
+    found = with_end | (F.col("is_dir") & bare)
+    head = literal_head(mode["text"]) if mode["kind"] == "globstar" else ""
+    # implied by the match, and what the files can be searched by
+    return F.col("path_lc").startswith(head) & found if low and head else found
+
+
+def with_lower_case(entries: DataFrame) -> DataFrame:
+    return entries.withColumns({"name_lc": F.lower("name"), "path_lc": F.lower("path"), "ext_lc": extension(F.col("name"))})
 
 
 class Catalog:
-    """The entries of one or more volumes and searches over them."""
+    """The entries of one or more volumes and searches over them.
+
+    ``store`` writes the entries by volume, sorted by lower-case path, with lower-case names, paths and extensions;
+    ``Catalog.stored`` opens them again. Searches there compare stored columns, so that volumes, and starts, ends, parts
+    and whole names reach the Parquet scan.
+    """
 
-    def __init__(self, catalog: dict[str, DataFrame]):
+    def __init__(self, catalog: dict[str, DataFrame], entries_: DataFrame | None = None):
         self.tables = catalog
-        self.entries = entries(catalog)
+        self.entries = entries(catalog) if entries_ is None else entries_
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str) -> Catalog:
+        rows = spark.read.parquet(path)
+        return cls({"volumes": rows.select("volume")}, rows)
+
+    def store(self, path: str) -> Catalog:
+        """Replaces the volumes of this catalog in the stored table; other volumes there stay."""
+        rows = with_lower_case(self.entries)
+        replace_volumes(rows.repartitionByRange("volume", "path_lc").sortWithinPartitions("volume", "path_lc"), path)
+        return Catalog.stored(rows.sparkSession, path)
 
     def search(self, pattern: str = "", volumes: list[str] | str = "*", ext: list[str] = (), streams: bool = False, metadata: bool = False, case: bool = False) -> DataFrame:
         spark: SparkSession = self.entries.sparkSession
+        stored = "name_lc" in self.entries.columns
         hits = self.entries.filter(user_records(metadata) & data_streams(metadata))
         if not streams:
             hits = hits.filter((F.col("stream_name") == "") & F.col("type_id").isin(0, DATA))
@@ -48,11 +74,14 @@ class Catalog:
         if volumes != "*" and "*" not in volumes:
             known = [r.volume for r in self.tables["volumes"].select("volume").distinct().collect()]
             hits = hits.filter(F.col("volume").isin(volume_names(volumes, known)))
+        pattern, ext = with_own_extension(pattern, list(ext))
         pattern = trailing_star(pattern)
         if pattern.startswith(">"):
             checked(spark, pattern[1:])
-        hits = hits.filter(condition(pattern, case))
-        return hits.filter(extension_filter(F.col("name"), list(ext))) if ext else hits
+        hits = hits.filter(condition(pattern, case, stored))
+        if not ext:
+            return hits
+        return hits.filter(F.col("ext_lc").isin(extension_list(ext)) if stored else extension_filter(F.col("name"), ext))
 
 
 def walk(catalog: dict[str, DataFrame], match: Column, descend: Column) -> DataFrame:

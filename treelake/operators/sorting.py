@@ -7,46 +7,58 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import has
 from ..functions.names import file_type
+from ..plans.shared import settled
 
 TIES = ("volume", "node_id", "link_ix", "stream_ix")
 
 
-def keys(order: str) -> list[Column]:
+def keys(order: str) -> list[tuple[Column, bool]]:
+    """The columns of an order and whether each ascends."""
     c = F.col
     flag = order.removeprefix("flag:")
     if flag != order:
-        return [has(c("attrs"), flag).desc()]
-    return {
-        "name": [c("name").asc()],
-        "path": [c("volume").asc(), F.split("path", r"\\").asc()],
-        "type": [file_type(c("name"), c("attrs")).asc()],
-        "size": [c("length").desc()],
-        "saved": [(c("length") - c("allocated")).desc()],
-        "disk": [c("allocated").desc()],
-        "bulkiness": [c("bulkiness").desc()],
-        "descendants": [c("treesize").desc()] if order == "descendants" else [],
-        "created": [c("created_ft").desc()],
-        "written": [c("written_ft").desc()],
-        "accessed": [c("accessed_ft").desc()],
-        "physical": [c("node_id").asc(), c("link_ix").desc(), c("stream_ix").desc()],
-        "attributes": [c("attrs").desc()],
-        "level": [c("depth").asc()],
-    }[order]
+        return [(has(c("attrs"), flag), False)]
+    known = {
+        "name": lambda: [(c("name"), True)],
+        "path": lambda: [(c("volume"), True), (F.split("path", r"\\"), True)],
+        "type": lambda: [(file_type(c("name"), c("attrs")), True)],
+        "size": lambda: [(c("length"), False)],
+        "saved": lambda: [(c("length") - c("allocated"), False)],
+        "disk": lambda: [(c("allocated"), False)],
+        "bulkiness": lambda: [(c("bulkiness"), False)],
+        "descendants": lambda: [(c("treesize"), False)],
+        "created": lambda: [(c("created_ft"), False)],
+        "written": lambda: [(c("written_ft"), False)],
+        "accessed": lambda: [(c("accessed_ft"), False)],
+        "physical": lambda: [(c("node_id"), True), (c("link_ix"), False), (c("stream_ix"), False)],
+        "attributes": lambda: [(c("attrs"), False)],
+        "level": lambda: [(c("depth"), True)],
+    }
+    if order not in known:
+        raise ValueError(f"unknown order: {order}")
+    return known[order]()
 
 
 def ordered(hits: DataFrame, *orders: str, reverse: bool = False) -> DataFrame:
-    """Sorted by each of the orders in turn; reverse turns the first one round."""
-    by = [k for o in orders for k in keys(o)]
-    if reverse:
-        first = keys(orders[0])
-        by[: len(first)] = [turned(orders[0], k) for k in range(len(first))]
-    return hits.orderBy(*by, *(t for t in TIES if t in hits.columns))
+    """Sorted by each of the orders in turn; reverse turns the first one round. Ties stay as they are."""
+    by = [(k, up != (reverse and n == 0)) for n, o in enumerate(orders) for k, up in keys(o)]
+    return hits.orderBy(*(k.asc() if up else k.desc() for k, up in by), *(t for t in TIES if t in hits.columns))
 
 
-def turned(order: str, k: int) -> Column:
-    plain = {"name": ["name"], "size": ["length"], "disk": ["allocated"], "written": ["written_ft"], "created": ["created_ft"], "accessed": ["accessed_ft"], "level": ["depth"]}[order][k]
-    return F.col(plain).desc() if order == "name" or order == "level" else F.col(plain).asc()
+def numbered(hits: DataFrame) -> DataFrame:
+    """The sorted hits with their ``position`` from 1 on: row numbers within the sorted partitions, and a start for each of these."""
+    rows = settled(hits.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    # one row per partition
+    sizes = sorted((r.part, r.n) for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for p, n in sizes:
+        starts.append((p, total))
+        total += n
+    begin = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part bigint, _start bigint"))
+    position = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(begin, part == F.col("_part")).withColumn("position", position).drop("_at", "_part", "_start")
 
 
-def top(hits: DataFrame, k: int, *orders: str) -> DataFrame:
-    return ordered(hits, *orders).limit(k)
+def top(hits: DataFrame, k: int, *orders: str, reverse: bool = False) -> DataFrame:
+    return ordered(hits, *orders, reverse=reverse).limit(k)

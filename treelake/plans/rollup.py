@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import ROOT
@@ -40,13 +43,13 @@ def link_shares(catalog: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("volume", "parent_id", "node_id", "link_ix").agg(part("length"), part("allocated"), part("bulkiness"), F.count(F.lit(1)).alias("treesize"))
 
 
-def folder_totals(catalog: dict[str, DataFrame]) -> DataFrame:
+def folder_totals(catalog: dict[str, DataFrame], folders: DataFrame | None = None) -> DataFrame:
     """(volume, node_id, length, allocated, treesize, files) of every folder: its own streams and all that lies below.
 
     What a folder holds itself is added up first; then each folder's sums go to all folders above it in one grouping.
-    The root also gets the volume's reserved clusters.
+    The root also gets the volume's reserved clusters. folders: as made by folder_paths, if they are there already.
     """
-    folders = folder_paths(catalog["links"], catalog["nodes"])
+    folders = folder_paths(catalog["links"], catalog["nodes"]) if folders is None else folders
     own = catalog["streams"].join(folders.select(*KEY), KEY).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("length", "allocated")), F.count(F.lit(1)).alias("treesize")).withColumn("files", F.lit(0).cast("long"))
     files = link_shares(catalog).groupBy("volume", F.col("parent_id").alias("node_id")).agg(*(F.sum(c).alias(c) for c in ("length", "allocated", "treesize")), F.count(F.lit(1)).alias("files"))
     direct = own.unionByName(files).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("length", "allocated", "treesize", "files")))
@@ -57,25 +60,39 @@ def folder_totals(catalog: dict[str, DataFrame]) -> DataFrame:
     return sums.withColumn("allocated", F.col("allocated") + F.when(F.col("node_id") == ROOT, F.coalesce("reserved", F.lit(0))).otherwise(0)).drop("reserved")
 
 
-def bulkiness(catalog: dict[str, DataFrame]) -> DataFrame:
+def bulkiness(catalog: dict[str, DataFrame], folders: DataFrame | None = None, running: bool = False) -> DataFrame:
     """(volume, node_id, bulkiness) of every folder: the bulk of its children but those that hold a hundredth of them.
 
     A child counts unless its bulk reaches a hundredth of what all children of the folder have allocated. Folders are
-    taken from the deepest level up, one grouping per level.
+    taken from the deepest level up. Children have their folder's level, and each step reads those of its level only:
+    files, dealt by level once, and the folders of the step before. running: a folder's own bulk is the running total of
+    its streams' bulk, as some tools have it, instead of their sum.
     """
-    folders = settled(folder_paths(catalog["links"], catalog["nodes"]).join(folder_links(catalog["links"], catalog["nodes"]).select(*KEY, "parent_id"), KEY, "left").select(*KEY, "parent_id", "depth"))
-    own = catalog["streams"].groupBy(*KEY).agg(F.sum("allocated").alias("own_allocated"), F.sum("bulkiness").alias("own_bulk"))
-    children = settled(link_shares(catalog).select("volume", "parent_id", "allocated", "bulkiness"))
+    links, nodes = catalog["links"], catalog["nodes"]
+    folders = folder_paths(links, nodes) if folders is None else folders
+    parents = folder_links(links, nodes).select(*KEY, "parent_id")
+    folders = settled(folders.select(*KEY, "depth").join(parents, KEY, "left"))
+    streams = catalog["streams"]
+    if running:
+        so_far = W.partitionBy(*KEY).orderBy("stream_ix").rowsBetween(W.unboundedPreceding, 0)
+        streams = streams.withColumn("bulkiness", F.sum("bulkiness").over(so_far))
+    own = streams.join(folders.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.sum("allocated").alias("own_allocated"), F.sum("bulkiness").alias("own_bulk"))
+    folders = settled(folders.join(own, KEY, "left").fillna(0, ["own_allocated", "own_bulk"]))
+    at = folders.select("volume", F.col("node_id").alias("parent_id"), F.col("depth").alias("level")).distinct()
+    files = settled(link_shares(catalog).select("volume", "parent_id", "allocated", "bulkiness").join(at, ["volume", "parent_id"]), by="level")
     deepest = folders.agg(F.max("depth")).first()[0]
-    done = None
+    inner, done = None, []
     for depth in range(deepest if deepest is not None else -1, -1, -1):
-        level = folders.filter(F.col("depth") == depth)
-        total = children.groupBy("volume", "parent_id").agg(F.sum("allocated").alias("below"))
-        small = children.join(total, ["volume", "parent_id"]).groupBy("volume", "parent_id", "below").agg(F.sum(F.when(F.col("bulkiness") < F.floor(F.col("below") / 100), F.col("bulkiness")).otherwise(0)).alias("bulk"))
-        level = level.join(small.withColumnRenamed("parent_id", "at"), (level["volume"] == small["volume"]) & (F.col("node_id") == F.col("at")), "left").drop(small["volume"]).join(own, KEY, "left")
-        level = settled(level.select(*KEY, "parent_id", (F.coalesce("below", F.lit(0)) + F.coalesce("own_allocated", F.lit(0))).alias("allocated"), (F.coalesce("bulk", F.lit(0)) + F.coalesce("own_bulk", F.lit(0))).alias("bulkiness")))
-        out = level.select(*KEY, "bulkiness")
-        done = out if done is None else done.unionByName(out)
-        others = children.join(level.select("volume", F.col("node_id").alias("parent_id")), ["volume", "parent_id"], "left_anti")
-        children = settled(others.unionByName(level.filter(F.col("parent_id").isNotNull()).select("volume", "parent_id", "allocated", "bulkiness")))
-    return done if done is not None else folders.select(*KEY, F.lit(0).cast("long").alias("bulkiness"))
+        children = files.filter(F.col("level") == depth).drop("level")
+        if inner is not None:
+            children = children.unionByName(inner)
+        under = W.partitionBy("volume", "parent_id")
+        # a folder's children, with what they hold together beside each
+        children = children.withColumn("below", F.sum("allocated").over(under))
+        small = F.sum(F.when(F.col("bulkiness") < F.floor(F.col("below") / 100), F.col("bulkiness")).otherwise(0))
+        sums = children.groupBy("volume", F.col("parent_id").alias("node_id")).agg(F.max("below").alias("below"), small.alias("bulk"))
+        level = folders.filter(F.col("depth") == depth).join(sums, KEY, "left").fillna(0, ["below", "bulk"])
+        level = settled(level.select(*KEY, "parent_id", (F.col("below") + F.col("own_allocated")).alias("allocated"), (F.col("bulk") + F.col("own_bulk")).alias("bulkiness")))
+        done.append(level.select(*KEY, "bulkiness").distinct())
+        inner = level.filter(F.col("parent_id").isNotNull()).select("volume", "parent_id", "allocated", "bulkiness")
+    return reduce(DataFrame.unionByName, done) if done else folders.select(*KEY, F.lit(0).cast("long").alias("bulkiness"))

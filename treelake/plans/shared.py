@@ -1,17 +1,25 @@
-"""Cutting lineage in loops."""
+"""Tables in the shared folder: they cut lineage in loops and survive lost executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written to spark.checkpoint.dir (a temporary folder where that is unset) and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='treelake-')}"
-    path = f"{base}/treelake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def scratch(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir. Where that is unset a local session gets a temporary folder; a cluster has none that all share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='treelake-')}"
+    return f"{base}/treelake-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The same rows, written and read back; by: a column to partition the files by."""
+    path = scratch(df.sparkSession)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,11 @@
 
 A dump is a 64-byte header (8-byte magic, then little-endian u32 version, flags, record size, u64 record count, original
 size, compressed size, 20 reserved bytes) and the records. Slot number is place in the file. Records are decoded in
-Arrow batches, one tagged row per attribute; nodes, links, streams and runs are selections of these rows.
+Arrow batches, one tagged row per attribute; nodes, links, streams and runs are selections of these rows. A dump of
+another version, a compressed one and one shorter than its header says are refused; an attribute that is shorter than
+its kind needs is left out.
+
+Paths with a scheme are opened by Arrow's file systems, on the driver and by each task; others are local.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +26,17 @@ HEADER = struct.Struct("<8sIIIQQQ20x")
 RECORDS_PER_PART = 1 << 16
 
 
+VERSION = 1
+
+
+def opened(path: str):
+    """A dump for reading from any place."""
+    if "://" not in path:
+        return open(path, "rb")
+    files, inner = fs.FileSystem.from_uri(path)
+    return files.open_input_file(inner)
+
+
 class DumpPart(InputPartition):
     def __init__(self, path: str, record_size: int, first: int, count: int):
         super().__init__(path)
@@ -35,8 +51,18 @@ class DumpReader(DataSourceReader):
     def partitions(self) -> list[DumpPart]:
         parts = []
         for path in self.paths:
-            with open(path, "rb") as f:
-                _, _, _, record_size, count, _, _ = HEADER.unpack(f.read(HEADER.size))
+            with opened(path) as f:
+                head = f.read(HEADER.size)
+                if len(head) < HEADER.size:
+                    raise ValueError(f"no dump: {path} has no header")
+                _, version, flags, record_size, count, _, compressed = HEADER.unpack(head)
+                if version != VERSION or flags or compressed:
+                    raise ValueError(f"dump {path}: only plain dumps of version {VERSION} can be read")
+                if record_size < 48:
+                    raise ValueError(f"dump {path}: records of {record_size} bytes")
+                f.seek(0, os.SEEK_END)
+                if f.tell() < HEADER.size + count * record_size:
+                    raise ValueError(f"dump {path} is shorter than its header says")
             parts += [DumpPart(path, record_size, k, min(self.per_part, count - k)) for k in range(0, count, self.per_part)]
         return parts or [DumpPart("", 1, 0, 0)]
 
@@ -44,7 +70,7 @@ class DumpReader(DataSourceReader):
         if not part.count:
             return
         volume = os.path.basename(part.path).split(".")[0]
-        with open(part.path, "rb") as f:
+        with opened(part.path) as f:
             f.seek(HEADER.size + part.first * part.record_size)
             for k in range(part.first, part.first + part.count, 1024):
                 n = min(1024, part.first + part.count - k)
@@ -118,6 +144,9 @@ def attributes_of(record: bytes, slot: int) -> Iterator[dict]:
         if code == 0xFFFFFFFF or size < 16 or at + size > len(record):
             return
         outside, name_chars, name_at, aflags = struct.unpack_from("<BBHH", record, at + 8)
+        if size < (64 if outside else 24):
+            at, pos = at + size, pos + 1
+            continue
         row = {**node, "pos": pos, "name": record[at + name_at : at + name_at + 2 * name_chars].decode("utf-16-le", "replace"), "is_sparse": bool(aflags & 0x8000)}
         pos += 1
         if outside:
@@ -129,15 +158,15 @@ def attributes_of(record: bytes, slot: int) -> Iterator[dict]:
             row |= {"length": filled if bad else data, "allocated": filled if bad else allocated, "lowest_vcn": low, "runs": [{"clusters": n, "step": s} for n, s in run_deltas(record[at + runs_at : at + size])]}
         else:
             n, value_at = struct.unpack_from("<IH", record, at + 16)
-            value = record[at + value_at : at + value_at + n]
+            value = record[at + value_at : min(at + value_at + n, at + size)]
             row |= {"length": n, "allocated": 0, "lowest_vcn": 0}
-        if code == 0x10 and not outside:
+        if code == 0x10 and not outside and len(value) >= 36:
             created, written, _, accessed, attrs = struct.unpack_from("<qqqqI", value)
             yield {**row, "kind": "node", "attrs": (attrs | (0x10 if node["is_dir"] else 0)) & 0x7FFFFFFF, "created_ft": created, "written_ft": written, "accessed_ft": accessed}
-        elif code == 0x30 and not outside:
+        elif code == 0x30 and not outside and len(value) >= 66 and len(value) >= 66 + 2 * value[64]:
             chars, space = value[64], value[65]
             yield {**row, "kind": "link", "parent_id": struct.unpack_from("<Q", value)[0] & ((1 << 48) - 1), "namespace": space, "name": value[66 : 66 + 2 * chars].decode("utf-16-le", "replace")}
-        else:
+        elif outside or code not in (0x10, 0x30):
             index = code in (0x90, 0xA0, 0xB0) and row["name"] == INDEX_NAME
             yield {**row, "kind": "stream", "type_id": 0 if index else code >> 4, "name": "" if index else row["name"]}
         at += size

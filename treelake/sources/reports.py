@@ -59,9 +59,10 @@ def report_header(report: DataFrame, separator: str = ",", quote: str = '"') ->
 
 
 def write_report(report: DataFrame, path: str, separator: str = ",", quote: str = '"') -> None:
-    """Text files, the header as a file of its own in a first folder."""
-    report.sparkSession.createDataFrame([(report_header(report, separator, quote),)], "line string").write.mode("overwrite").text(f"{path}/part=0")
-    report_lines(report, separator, quote).write.mode("overwrite").text(f"{path}/part=1")
+    """One folder of text files, each with the header as its first line."""
+    lines = report_lines(report, separator, quote).withColumnRenamed("line", report_header(report, separator, quote))
+    bare = {"header": True, "sep": "\x01", "quote": "\0", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.write.mode("overwrite").options(**bare).csv(path)
 
 
 def export_lines(table: DataFrame, tab: bool = False) -> DataFrame:
@@ -85,7 +86,7 @@ def read_report(spark: SparkSession, path: str, names: list[str] | str = "all",
     """A report read back, with typed columns."""
     kinds = {"size": "bigint", "sizeondisk": "bigint", "descendants": "bigint", "attributes": "int", **dict.fromkeys(("created", "written", "accessed"), "timestamp")}
     schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in chosen(names))
-    return spark.read.schema(schema).option("sep", separator_token(separator)).option("quote", separator_token(quote)).option("escape", "").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return spark.read.schema(schema).option("header", True).option("sep", separator_token(separator)).option("quote", separator_token(quote)).option("escape", "").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
 
 
 def extents_json(ranges: DataFrame, summary: DataFrame) -> DataFrame:
