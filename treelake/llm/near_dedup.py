@@ -10,7 +10,8 @@ meets most others in all its entries, and each node is tried against the CENTRES
 group of n near copies costs a few n links. Links are confirmed on the full sets, best first, and components are built.
 Then come the pairs of a bucket that still lie in different components. In buckets of up to CROWD members all of them are
 compared. In crowded ones an exact prefix filter names the pairs that can be alike at all. Each member is described by
-what sets it apart from the bucket's centre: the shingles that only one of the two has. Two sets of sizes m and n are alike
+what sets it apart from one set, the same for the whole bucket: the shingles that only one of the two has. That set may be
+any; it is the bucket's centre, or the one with the longest reach among the centres linked to it. Two sets of sizes m and n are alike
 if they differ in at most (m + n) / 9 shingles, so members with s and t differences must share (s + t - (m + n) / 9) / 2 of
 them, and with differences ordered by how many members have them, the rarest first, share one among the first of both.
 Differences that one member has alone take places there but make no pair, so copies edited each in its own way meet
@@ -243,6 +244,11 @@ def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return p.filter(F.col("ca") != F.col("cb"))
 
 
+def with_component(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """nodes with their component; a node without links is one of its own."""
+    return nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def release() -> None:
     """Lets Python drop the plans of finished steps, so that Spark's cleaner may delete their shuffle files."""
     gc.collect()
@@ -261,7 +267,7 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
     # how many others a node meets in all its entries, with a few bits of hash against ties
     reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
     ranked = shared.join(reach, "node").select("key", "node", (F.shiftleft("reach", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("reach"))
-    centres = settle(ranked.groupBy("key").agg(F.max_by("node", "reach").alias("centre")))
+    centres = settle(ranked.groupBy("key").agg(F.max_by("node", "reach").alias("centre"), F.max("reach").alias("reach")))
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("node").alias(e), F.col("n_shingles").alias(f"{e}_n"), *(F.col(s).alias(f"{e}_{s}") for s in SIGNATURE)) for e in "ab")
@@ -291,7 +297,7 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
         release()
 
     # pairs of one bucket in different components
-    placed = shared.join(parts, "node", "left").select("key", "node", "n", "size", F.coalesce("component", "node").alias("component"))
+    placed = with_component(shared, parts)
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
     placed = settle(placed.join(mixed, "key", "left_semi"))
     few = placed.filter(F.col("size") <= CROWD)
@@ -300,13 +306,17 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
     pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     crowd = placed.filter(F.col("size") > CROWD)
     if not crowd.isEmpty():
-        apart = differences(settle(crowd.join(centres, "key").filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()), texts, n)
+        # any set may stand in for a centre: the centre of longest reach in its component does, so that a group has one
+        of_centre = with_component(centres.groupBy("centre").agg(F.max("reach").alias("reach")).withColumnRenamed("centre", "node"), parts)
+        hubs = of_centre.groupBy("component").agg(F.max_by("node", "reach").alias("hub"))
+        hubs = of_centre.join(hubs, "component").select(F.col("node").alias("centre"), "hub")
+        of_hub = crowd.join(centres.join(hubs, "centre").select("key", "hub"), "key").filter("node != hub")
+        apart = differences(settle(of_hub.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), texts, n)
         # members that are alike to a centre which they weren't tried against
         near = across(apart.filter(9 * F.size("hashes") <= F.col("n") + F.col("n_centre")).select("a", F.col("node").alias("b")).distinct(), parts)
         links = settle(links.unionByName(confirmed(near, texts, n)))
         parts = connected_components(links)
-        of_all = apart.select("node").distinct().join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        pairs = pairs.unionByName(prefix_pairs(apart, of_all)).distinct()
+        pairs = pairs.unionByName(prefix_pairs(apart, with_component(apart.select("node").distinct(), parts))).distinct()
     other = settle(with_signatures(pairs))
     if not other.isEmpty():
         links = links.unionByName(confirmed(other, texts, n))
