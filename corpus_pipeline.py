@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from treelake.llm import bpe, mixing, near_dedup, quality, substring_dedup
-from treelake.llm.common import settle, table
+from treelake.llm.common import discard, settled_alone, table
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table documents; each stage's rows are written and read again before the next."""
+    """All stages on the table documents; each stage's rows are written and read again before the next, and what it left is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        after = settled_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if number:
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from treelake import llm
+from treelake.llm.common import settle
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -26,7 +27,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     n = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = corpus_pipeline.settle(stage(spark, docs, SMALL))
+        after = settle(stage(spark, docs, SMALL))
         assert after.columns == docs.columns
         assert name == "source mix" or after.count() <= n
         docs, n = after, after.count()

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import scratch
+
 #: One white-space character as the word rules count it: space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]"
 #: One word.
@@ -39,30 +40,38 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(whole(text), F.lit(WORD)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary folder where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='treelake-')}"
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return base
+#: Paths of the tables that this process has settled.
+made: list[str] = []
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/treelake-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
+    made.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """Settles what make returns and deletes every table that was settled on the way there."""
+    before = len(made)
+    out = settle(make())
+    for path in made[before:-1]:
+        delete(spark, path)
+    del made[before:-1]
+    return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more."""
-    spark = df.sparkSession
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/treelake-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, name)
 
 
 def quoted(columns: list[str]) -> list[Column]:
