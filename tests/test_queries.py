@@ -48,6 +48,8 @@ def test_entry(spark):
 
 def test_stored_catalog_pushes_searches_down(spark, tmp_path):
     g = Q.Given(spark, SMALL)
+    # plans as text are cut short otherwise
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     stored = g.catalog.store(str(tmp_path / "entries"))
     keys = lambda df: sorted((r.volume, r.node_id, r.link_ix, r.stream_ix) for r in df.select(*Q.K).collect())
     for pattern, options, pushed in [

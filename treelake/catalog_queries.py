@@ -264,14 +264,14 @@ def expand_entries(g):
 
 @query(
     """, keys AS (SELECT volume, node_id FROM files UNION ALL SELECT volume, node_id + 20000000 FROM files WHERE attrs >= 2048)
-SELECT k.volume, k.node_id, l.name, s.length, l.name IS NOT NULL AS found FROM keys k LEFT JOIN (SELECT * FROM links WHERE link_ix = 0) l USING (volume, node_id) LEFT JOIN (SELECT * FROM streams WHERE stream_name = '' AND type_id = 8) s USING (volume, node_id)""",
+SELECT k.volume, k.node_id, coalesce(l.name, '') AS name, coalesce(s.length, -1) AS length, l.name IS NOT NULL AS found FROM keys k LEFT JOIN (SELECT * FROM links WHERE link_ix = 0) l USING (volume, node_id) LEFT JOIN (SELECT * FROM streams WHERE stream_name = '' AND type_id = 8) s USING (volume, node_id)""",
     "links",
 )
 def key_lookup(g):
     files = g.tables["nodes"].filter("NOT is_dir AND node_id >= 16")
     absent = files.filter("attrs >= 2048").withColumn("node_id", c("node_id") + 20000000)
     keys = files.unionByName(absent).select("volume", "node_id", F.lit(None).cast("int").alias("link_ix"), F.lit(None).cast("int").alias("stream_ix"))
-    return J.lookup(g.tables, keys).select("volume", "node_id", "name", "length", "found")
+    return J.lookup(g.tables, keys).select("volume", "node_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("length", F.lit(-1).cast("long")).alias("length"), "found")
 
 
 @query("SELECT volume, parent_id, node_id, link_ix, name FROM links WHERE parent_id BETWEEN 100 AND 999 AND node_id <> 5", "links")
@@ -532,9 +532,15 @@ def walk_folders(g):
 NAMES = {"path_parts": "basename_dirname_extension", "user_records_only": "user_records", "newest_first_ordinals": "link_ix_stream_ix", "standing": "standing_search", "walk_folders": "walk"}
 
 
+def registered() -> dict[str, tuple]:
+    from . import dump_queries  # noqa: F401  adds its own
+
+    return FOUND
+
+
 def queries():
-    return {NAMES.get(n, n): (lambda spark, sf_dir, f=f: f(Given(spark, sf_dir))) for n, (f, _) in FOUND.items()}
+    return {NAMES.get(n, n): (lambda spark, sf_dir, f=f: f(Given(spark, sf_dir))) for n, (f, _) in registered().items()}
 
 
 def oracle_sql():
-    return {NAMES.get(n, n): sql for n, (_, sql) in FOUND.items() if sql}
+    return {NAMES.get(n, n): sql for n, (_, sql) in registered().items() if sql}
