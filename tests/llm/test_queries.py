@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         db.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     mine = llm.queries()[name](spark, SMALL).toPandas()
     theirs = db.execute(llm.oracle_sql()[name]).df()[list(mine.columns)]

@@ -19,9 +19,10 @@ def queries():
 
 
 def oracle_sql():
-    from . import license_scan, mixing
+    from . import license_scan, mixing, quality
 
     return {
         "op2_license_scan": license_scan.oracle(),
+        "op5_divergence_rules": quality.oracle(),
         "op9_mix_sources": mixing.ORACLE,
     }

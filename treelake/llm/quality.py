@@ -38,12 +38,12 @@ WORD_LIMIT, WORD_NOISE, MIN_WORDS = 0.15, 10.0, 20
 #: The base rule: at least so many words, at most so many of 100 words in repeated windows of so many words.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
+LOWER, DIGITS, MARKS, MORE_SYMBOLS = "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:!?'\"()-", SYMBOLS + "@^~=+_/\\{}[]`"
 
 
 def class_counts(df: DataFrame, text: str) -> DataFrame:
     """Adds ``chars``: code points by CLASSES. Each step removes one class from what is left and counts by length."""
-    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    steps = [lower, " \n\t\x0b\x0c\r", upper, ".,;:!?'\"()-", "0123456789", SYMBOLS + "@^~=+_/\\{}[]`"]
+    steps = [LOWER, " \n\t\x0b\x0c\r", LOWER.upper(), MARKS, DIGITS, MORE_SYMBOLS]
     df = df.withColumn("_r0", F.col(text))
     for k, chars in enumerate(steps):
         df = df.withColumn(f"_r{k + 1}", F.translate(f"_r{k}", chars, ""))
@@ -151,7 +151,35 @@ RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def op5_divergence_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return judged(docs, fitted(docs, table(spark, sf_dir, "labels"))).select("doc_id", *RULES, "char_distance", "word_distance")
+    return judged(docs, fitted(docs, table(spark, sf_dir, "labels"))).select("doc_id", *RULES)
+
+
+def oracle() -> str:
+    """The same by plain counting; valid where fewer than SAMPLE_ROWS documents are labelled good."""
+    quoted_ = lambda x: "'" + x.replace("'", "''") + "'"
+    count = lambda chars: f"len(t) - len(translate(t, {chars}, ''))"
+    sets = [quoted_(LOWER), quoted_(LOWER.upper()), quoted_(DIGITS), "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)", quoted_(MARKS), quoted_(MORE_SYMBOLS)]
+    known = " + ".join(count(x) for x in sets)
+    ascii_ = "len(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g'))"
+    chars = "[" + ", ".join([*(count(x) for x in sets), f"{ascii_} - ({known})", f"len(t) - {ascii_}"]) + "]"
+    bins = "[" + ", ".join(quoted_(b) for b in BINS) + "]"
+    kl = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({a} + {b}) / 2)) ELSE 0 END"
+    js = lambda p, q: f"(SELECT sum({kl('a', 'b')} + {kl('b', 'a')}) / 2 FROM (SELECT unnest(list_transform({p}, lambda x: x / list_sum({p}))) AS a, unnest({q}) AS b))"
+    total = lambda c, n: "[" + ", ".join(f"sum({c}[{k + 1}])" for k in range(n)) + "]"
+    far = lambda d, n, limit, noise, least, ref: f"coalesce({ref} IS NOT NULL AND {n} >= {least} AND {d} > {limit * limit} + {noise} / {n}, false)"
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, unnest(range(1, len(w) - {WINDOW - 2})) AS i, w FROM d WHERE len(w) >= {WINDOW}),
+n AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS n FROM i),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM n CROSS JOIN (SELECT unnest(range(0, {WINDOW})) AS k) WHERE n > 1 GROUP BY doc_id),
+h AS (SELECT *, {chars} AS chars, list_filter(list_transform(w, lambda x: lower(x)), lambda x: list_contains({bins}, x)) AS hits, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+c AS (SELECT *, list_transform({bins}, lambda b: len(list_filter(hits, lambda x: x = b))) || [len(w) - len(hits)] AS common FROM h),
+s AS (SELECT lang, {total('chars', len(CLASSES))} AS rc, {total('common', len(BINS) + 1)} AS rw FROM c WHERE lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang),
+f AS (SELECT lang, list_transform(rc, lambda x: x / list_sum(rc)) AS rc, list_transform(rw, lambda x: x / list_sum(rw)) AS rw FROM s WHERE list_sum(rw) >= {SAMPLE_WORDS}),
+j AS (SELECT c.*, rc, rw, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) < {LEAST_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MOST_REPEATED} * len(w) AS base_failed FROM c LEFT JOIN f ON f.lang = c.lang LEFT JOIN r ON r.doc_id = c.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars, CAST({count(quoted_(SYMBOLS))} AS BIGINT) AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT {far(js('chars', 'rc'), 'len(t)', CHAR_LIMIT, CHAR_NOISE, MIN_CHARS, 'rc')} AND NOT {far(js('common', 'rw'), 'len(w)', WORD_LIMIT, WORD_NOISE, MIN_WORDS, 'rw')} AS kept FROM j
+"""
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
