@@ -120,13 +120,20 @@ def text_hash() -> Column:
 def repeated_units(docs: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """(no_id, id, h, units): per document with repeats the places to cut, in order.
 
-    The first place of a digest is a minimum with partial sums. The one join that follows has no work behind it that
-    needs its order, so that Spark may split the partition of a very common digest.
+    The least id of a digest is a minimum with partial sums. The join that brings it to the units is written as it comes,
+    with no work behind it that needs its order, so that Spark may split the partition of a very common digest. Units of a
+    larger id go; those of the least one, about one per digest, are told apart by text hash and offset.
     """
     everything = settle(all_units(docs, levels))
-    rank = F.struct(F.col("id").isNull().alias("x"), "id", "h", "start")
-    first = everything.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1").drop("n")
-    later = everything.withColumn("rank", rank).join(first, ["d1", "d2"]).filter("rank != first")
+    # null comes last
+    key = F.coalesce("id", F.lit((1 << 63) - 1))
+    least = everything.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least")).filter("n > 1").drop("n")
+    often = settle(everything.join(least, ["d1", "d2"]))
+    ties = often.filter(key == F.col("least"))
+    rank = F.struct(F.col("id").isNull().alias("x"), "h", "start")
+    first = ties.groupBy("d1", "d2").agg(F.min(rank).alias("first"))
+    places = ["id", "h", "start", "end"]
+    later = often.filter(key > F.col("least")).select(*places).unionByName(ties.join(first, ["d1", "d2"]).filter(rank != F.col("first")).select(*places))
     # a set: rows that are equal have the same units
     return later.groupBy(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("units"))
 
