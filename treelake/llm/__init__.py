@@ -2,10 +2,12 @@
 
 
 def queries():
-    from . import bpe, fingerprints, license_scan, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, url_filter
+    from . import alignment, bpe, divergence, fingerprints, license_scan, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, url_filter
 
     return {
         "op10_scaled_sketches": fingerprints.op10_scaled_sketches,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_token_alignment": alignment.op13_token_alignment,
         "op1_line_dedup": substring_dedup.op1_line_dedup,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
@@ -19,9 +21,10 @@ def queries():
 
 
 def oracle_sql():
-    from . import license_scan, mixing, quality
+    from . import divergence, license_scan, mixing, quality
 
     return {
+        "op12_source_divergence": divergence.ORACLE,
         "op2_license_scan": license_scan.oracle(),
         "op5_divergence_rules": quality.oracle(),
         "op9_mix_sources": mixing.ORACLE,
