@@ -2,10 +2,11 @@
 
 
 def queries():
-    from . import alignment, bpe, divergence, fingerprints, license_scan, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, url_filter
+    from . import alignment, bpe, divergence, fingerprints, license_scan, mixing, near_dedup, ngram_join, quality, sharding, substring_dedup, suffix_dedup, url_filter
 
     return {
         "op10_scaled_sketches": fingerprints.op10_scaled_sketches,
+        "op11_ngram_join": ngram_join.op11_ngram_join,
         "op12_source_divergence": divergence.op12_source_divergence,
         "op13_token_alignment": alignment.op13_token_alignment,
         "op1_line_dedup": substring_dedup.op1_line_dedup,
