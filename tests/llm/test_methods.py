@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import math
 import random
 import re
@@ -109,35 +110,40 @@ def hashes_of(text: str) -> set[int]:
     return {chained(w[k : k + 5]) for k in range(len(w) - 4)} or ({chained([" ".join(w)])} if w else set())
 
 
-def test_likeness_of_sketches(small):
-    """Against the exact likeness: the estimate's rule step by step, and its error."""
-    texts = sorted(((r.doc_id, r.text or "") for r in small.collect()), reverse=True)
-    got = {r.doc_id: r for r in fingerprints.fingerprinted(small).collect()}
+def held(print_: str) -> set[int]:
+    """The hashes of a returned fingerprint."""
+    raw = base64.b64decode(print_)
+    return {int.from_bytes(raw[k : k + 6], "big") for k in range(0, len(raw), 6)}
 
-    def estimate(a, b):
-        x, y = ({h for h in s if h < 1 << 45} for s in (a, b))
-        if len(x | y) >= 64:
-            return len(x & y) / len(x | y)
-        least = sorted(a | b)[:64]
-        return sum(h in a and h in b for h in least) / len(least) if least else 1.0
 
+def test_likeness_is_that_of_the_fingerprints(small):
+    """From the returned strings alone; the strings by the rule; and the error of the estimate."""
+    texts = sorted(((r.doc_id, r.text or "") for r in small.collect()), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.fingerprinted(small).collect()}
+    rule = lambda s: {h for h in s if h < 1 << 46} or {min(s)} if s else set()
+    share = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
     errors = []
     for k, (i, t) in enumerate(texts):
-        following = texts[(k + 1) % len(texts)][1]
+        j, following = texts[(k + 1) % len(texts)]
         edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
-        a, b, c = hashes_of(t), hashes_of(edited), hashes_of(following)
-        assert got[i].near_edited == pytest.approx(estimate(a, b)) and got[i].near_next == pytest.approx(estimate(a, c))
-        errors.append(abs(got[i].near_edited - (len(a & b) / len(a | b) if a | b else 1)))
-    assert sum(errors) / len(errors) < 0.04
+        own, after = held(got[i].fingerprint), held(got[i].edited_fingerprint)
+        a, b = hashes_of(t), hashes_of(edited)
+        assert own == rule(a) and after == rule(b) and len(own) * 8 == len(got[i].fingerprint)
+        assert got[i].near_edited == pytest.approx(share(own, after)) and got[i].near_next == pytest.approx(share(own, held(got[j].fingerprint)))
+        errors.append(abs(got[i].near_edited - share(a, b)))
+    assert sum(errors) / len(errors) < 0.05
 
 
 def test_sketches_merge(spark):
     r = random.Random(4)
     words = [f"w{r.randrange(500)}" for _ in range(4000)]
     a, b, both = " ".join(words[:2500]), " ".join(words[2000:]), " ".join(words)
-    got = [x.s for x in fingerprints.with_sketch(spark.createDataFrame([(a,), (b,), (both,)], "text string"), "text", "p").select(F.col("p.sketch").alias("s")).collect()]
+    got = [x.s for x in fingerprints.with_sketch(spark.createDataFrame([(a,), (b,), (both,)], "text string"), "text", "p").select(F.col("p").alias("s")).collect()]
     assert sorted(set(got[0]) | set(got[1])) == got[2]
-    assert all(h < 1 << 45 for s in got for h in s)
+    assert all(h < 1 << 46 for s in got for h in s)
+    few = [fingerprints.kept(F.lit(x).cast("array<bigint>")) for x in ([], [1 << 47, (1 << 46) + 1], [5, 1 << 47, 5])]
+    assert list(spark.range(1).select(*few).first()) == [[], [(1 << 46) + 1], [5]]
+    assert spark.range(1).select(fingerprints.merged(F.array(F.lit(1 << 47)), F.array(F.lit(7).cast("bigint")))).first()[0] == [7]
 
 
 def test_quality_verdicts(small, labels):

@@ -1,12 +1,12 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every shingle hash below a fixed share of the hash range, and nothing else, so its length follows the
-document's, the sketch of a union is the union of the sketches, and the containment of a small document in a large one can
-be estimated from the two sketches alone. Where two sketches hold fewer than LEAST hashes together, a second field says
-more: the LEAST smallest hashes of a text whose sketch has fewer. The likeness is then the share of common ones among the
-LEAST smallest hashes of both texts together, and exact where these have no more. This field, too, can be merged.
+A sketch keeps every shingle hash below a fixed share of the hash range, one in four, so its length follows the document's,
+the sketch of a union is made from the sketches, and the containment of a small document in a large one can be estimated
+from the two sketches alone. A text none of whose hashes is below the threshold keeps its smallest one, so that texts with
+words have a fingerprint. Likeness and containment use what the fingerprints hold and nothing else: the standard deviation
+of a likeness from u hashes is about half of one by the root of u, so texts of a few dozen words are told coarsely.
 
-Nulls, ties, repeats: null or wordless text has an empty fingerprint, and so may a short text; two texts without words are
+Nulls, ties, repeats: null or wordless text has an empty fingerprint; two texts without words are
 alike (1), one with and one without are not (0); a text with fewer words than a shingle is one shingle; equal texts have
 equal fingerprints. The order of documents is descending id, nulls last, then a hash of the text; equal rows follow each
 other; a single row follows itself; an empty table gives an empty result; columns beyond doc_id and text don't matter.
@@ -21,50 +21,48 @@ from pyspark.sql import functions as F
 from .common import table, whole, words
 
 SHINGLE = 5
-#: A hash has HASH_BITS bits and is kept if the first KEEP_BITS are zero: one in eight.
-HASH_BITS, KEEP_BITS = 48, 3
-#: Smallest hashes of a text with a short sketch.
-LEAST = 64
+#: A hash has HASH_BITS bits and is kept if the first KEEP_BITS are zero: one in four.
+HASH_BITS, KEEP_BITS = 48, 2
+BELOW = 1 << (HASH_BITS - KEEP_BITS)
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds a struct of two sorted arrays of hashes for a text column that has no nulls: the ``sketch``, and ``least``."""
+    """Adds the sketch, a sorted array of hashes, for a text column that has no nulls."""
     w, h = f"_{name}_w", f"_{name}_h"
     df = df.withColumn(w, words(F.col(text)))
     hashes = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))
     short = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
     numbers = F.transform(F.when(F.size(w) >= SHINGLE, hashes).otherwise(short), lambda x: F.shiftrightunsigned(x, 64 - HASH_BITS))
-    df = df.withColumn(h, F.array_sort(F.array_distinct(numbers)))
-    # sorted, so that the hashes below the threshold come first
-    low = F.filter(h, lambda x: x < (1 << (HASH_BITS - KEEP_BITS)))
-    least = F.when(F.size(low) < LEAST, F.slice(h, 1, LEAST)).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(name, F.struct(low.alias("sketch"), least.alias("least"))).drop(w, h)
+    return df.withColumn(h, numbers).withColumn(name, kept(F.col(h))).drop(w, h)
+
+
+def kept(hashes: Column) -> Column:
+    """The hashes below the threshold in order, or the smallest one."""
+    low = F.array_sort(F.array_distinct(F.filter(hashes, lambda x: x < BELOW)))
+    return F.when(F.size(low) > 0, low).otherwise(F.array_compact(F.array(F.array_min(hashes))))
 
 
 def fingerprint(sketch: Column) -> Column:
     """The hashes of a sketch in order, eight letters of base 64 each."""
     digits = F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), HASH_BITS // 4, "0")), "")
-    return F.base64(F.unhex(digits))
+    # Spark may break lines
+    return F.translate(F.base64(F.unhex(digits)), "\r\n", "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of the shingle sets behind two pairs of sketch and smallest hashes."""
-    union = F.size(F.array_union(a["sketch"], b["sketch"]))
-    # of the smallest hashes of both sets; neither of them is beyond what the field holds
-    both = F.slice(F.array_sort(F.array_union(a["least"], b["least"])), 1, LEAST)
-    common = F.size(F.array_intersect(both, F.array_intersect(a["least"], b["least"])))
-    small = F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.greatest(F.size(both), F.lit(1)))
-    return F.when(union < LEAST, small).otherwise(F.size(F.array_intersect(a["sketch"], b["sketch"])) / F.greatest(union, F.lit(1)))
+    """Estimated Jaccard similarity of the shingle sets behind two sketches: the share of their hashes that both have."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1)))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, from the sketches alone; null for an empty sketch of a."""
+    """Estimated share of a's shingles that b has; null for an empty sketch of a."""
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def merged(a: Column, b: Column) -> Column:
     """The sketch of two documents together."""
-    return F.array_sort(F.array_union(a, b))
+    return kept(F.concat(a, b))
 
 
 def range_of(bounds: list[int]) -> Column:
@@ -76,7 +74,7 @@ def range_of(bounds: list[int]) -> Column:
 
 
 def paired_with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, print (sketch and smallest hashes) and, in ``next``, text and print of the document that follows by descending id.
+    """doc_id, text, print (the sketch) and, in ``next``, text and print of the document that follows by descending id.
 
     Ids are cut into ranges at quantiles, found from the id column alone; there are four to a shuffle partition. Quantiles
     are computed as doubles and need not be ids, so each range's largest id becomes its upper bound. The row that follows
@@ -114,14 +112,13 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("print.sketch")).alias("fingerprint"),
-        fingerprint(F.col("edited_print.sketch")).alias("edited_fingerprint"),
+        fingerprint(F.col("print")).alias("fingerprint"),
+        fingerprint(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
         likeness(F.col("print"), F.col("next.print")).alias("near_next"),
-        containment(F.col("print.sketch"), F.col("edited_print.sketch")).alias("in_edited"),
-        F.col("print.least").alias("least"),
+        containment(F.col("print"), F.col("edited_print")).alias("in_edited"),
     )
 
 
 def op10_scaled_sketches(spark, sf_dir: str) -> DataFrame:
-    return fingerprinted(table(spark, sf_dir, "documents")).drop("least")
+    return fingerprinted(table(spark, sf_dir, "documents"))
