@@ -20,8 +20,8 @@ more. Every pair is confirmed once, on its full sets. A pair inside one componen
 Hashes only choose candidates and count distinct n-grams of a text (64 bits); equal digests (128 bits) are equal sets.
 
 Nulls, ties, repeats: null or wordless text has an empty set and is linked with nothing; rows without an id are linked
-with nothing; rows with one id are one document with several sets; equal sets share a component; an empty table gives an
-empty result; columns beyond doc_id and text don't matter. A task holds one whole text at a time.
+with nothing; equal sets share a component under their smallest id, and so do different sets with one such id, should ids
+repeat; an empty table gives an empty result; columns beyond doc_id and text don't matter. A task holds one whole text at a time.
 """
 
 from __future__ import annotations
