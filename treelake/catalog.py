@@ -67,9 +67,6 @@ def prefix() -> str:
 
 def derived(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """volumes, links, streams, nodes and attributes of the derived catalog."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    for t, df in tables.items():
-        df.createOrReplaceTempView(f"treelake_{t}")
     texts = filled("unix_micros")
-    ctes = ",\n".join([*(f"{t} AS (SELECT * FROM treelake_{t})" for t in TABLES), *(f"{n} AS ({x})" for n, x in texts.items())])
+    ctes = ",\n".join([*(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES), *(f"{n} AS ({x})" for n, x in texts.items())])
     return {name: spark.sql(f"WITH {ctes} SELECT * FROM {name}") for name in ("volumes", "links", "streams", "nodes", "attributes")}

@@ -498,7 +498,7 @@ def write_report(g):
     return g.spark.read.text(out).withColumnRenamed("value", "line").filter(c("line") != R.report_header(report, "|", "DOUBLE"))
 
 
-@query("SELECT path || ',' || length || ',' || CASE WHEN length % 2 = 0 THEN '\"' || format('{:,}', length) || '\"' ELSE 'it' END AS line FROM entries")
+@query("SELECT path || ',' || length || ',' || CASE WHEN length % 2 = 0 AND length >= 1000 THEN '\"' || format('{:,}', length) || '\"' WHEN length % 2 = 0 THEN CAST(length AS VARCHAR) ELSE 'it' END AS line FROM entries")
 def write_table_export(g):
     rows = g.entries.select("path", "length", F.when(c("length") % 2 == 0, F.format_number("length", 0)).otherwise("it").alias("shown"))
     return R.export_lines(rows)

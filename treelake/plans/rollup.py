@@ -9,11 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import ROOT
+from .intervals import subtree_sums
 from .paths import DATA, folder_links, folder_paths
 from .shared import settled
 
 COMPRESSED = "WofCompressedData"
 KEY = ["volume", "node_id"]
+SUMS = ["length", "allocated", "treesize", "files"]
 
 
 def share(value: Column, i: Column, n: Column) -> Column:
@@ -46,15 +48,15 @@ def link_shares(catalog: dict[str, DataFrame]) -> DataFrame:
 def folder_totals(catalog: dict[str, DataFrame], folders: DataFrame | None = None) -> DataFrame:
     """(volume, node_id, length, allocated, treesize, files) of every folder: its own streams and all that lies below.
 
-    What a folder holds itself is added up first; then each folder's sums go to all folders above it in one grouping.
-    The root also gets the volume's reserved clusters. folders: as made by folder_paths, if they are there already.
+    What a folder holds itself is added up first; the folders below it are a stretch of the tree's order, and their sum is a
+    difference of prefix sums. The root also gets the volume's reserved clusters. folders: as made by folder_paths, if they
+    are there already.
     """
     folders = folder_paths(catalog["links"], catalog["nodes"]) if folders is None else folders
     own = catalog["streams"].join(folders.select(*KEY), KEY).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("length", "allocated")), F.count(F.lit(1)).alias("treesize")).withColumn("files", F.lit(0).cast("long"))
     files = link_shares(catalog).groupBy("volume", F.col("parent_id").alias("node_id")).agg(*(F.sum(c).alias(c) for c in ("length", "allocated", "treesize")), F.count(F.lit(1)).alias("files"))
-    direct = own.unionByName(files).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("length", "allocated", "treesize", "files")))
-    spread = direct.join(folders.select(*KEY, "ids"), KEY).select("volume", F.explode("ids").alias("node_id"), "length", "allocated", "treesize", "files")
-    sums = spread.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("length", "allocated", "treesize", "files")))
+    direct = own.unionByName(files).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in SUMS))
+    sums = subtree_sums(folders.select(*KEY, "ids").join(direct, KEY, "left").fillna(0, SUMS), SUMS)
     reserved = catalog["volumes"].select("volume", (F.col("reserved_clusters") * F.col("cluster_size")).alias("reserved"))
     sums = sums.join(reserved, "volume", "left")
     return sums.withColumn("allocated", F.col("allocated") + F.when(F.col("node_id") == ROOT, F.coalesce("reserved", F.lit(0))).otherwise(0)).drop("reserved")
