@@ -256,8 +256,8 @@ def test_dump(spark, tmp_path):
     slots = {5: record([standard(6), named(5, "."), attribute(0x90, b"x" * 40, "$I30"), attribute(0xA0, name="$I30", runs=RUNS, sizes=(4096, 4096, 4096))], 3), 30: record([standard(0), named(5, "dir")], 3), 31: record(file), 32: record(file, 0), 33: record(file, broken=True), 34: record([attribute(0x80, name="t", runs=RUNS, sizes=(4096, 10, 10)), attribute(0x80, name="s", runs=RUNS, low=28)], base=31)}
     path = tmp_path / "C.dump"
     path.write_bytes(struct.pack("<8sIIIQQQ20x", b"DUMPTEST", 1, 0, 1024, 35, 35 * 1024, 0) + b"".join(slots.get(k, bytes(1024)) for k in range(35)))
-    dump = D.read_dump(spark, str(path), recordsPerPart=10)
-    assert dump.count() == 35 and dump.rdd.getNumPartitions() == 4
+    dump = D.read_dump(spark, str(path), per_part=10)
+    assert dump.count() == 35
     attributes = D.parse_records(dump).cache()
     t = D.catalog_tables(attributes)
     assert sorted((r.node_id, r.is_dir, r.attrs) for r in t["nodes"].collect()) == [(5, True, 0x16), (30, True, 0x10), (31, False, 0x20)]

@@ -19,34 +19,72 @@ from .operators import streams as Y
 from .operators.search import Catalog, data_streams, user_records, walk
 from .plans import paths as J
 from .plans import rollup as G
-from .plans.shared import scratch, settled
+from .plans.intervals import intervals
+from .plans.shared import listed, scratch, settled
 from .sources import reports as R
-from .streaming.standing import run_available, standing_search
+from .streaming.standing import run_available, standing_paths, standing_search
 
 K = ["volume", "node_id", "link_ix", "stream_ix"]
 KS = ", ".join(K)
 
 
+class Base(dict):
+    """The tables of the derived catalog; links, nodes and streams are written when one of them is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.derived = C.derived(spark, sf_dir)
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = self.derived[name]
+        self[name] = settled(df) if name in ("links", "nodes", "streams") else df
+        return self[name]
+
+
 class Given:
-    """The derived catalog of one folder of tables, each part built when a query first asks for it."""
+    """The derived catalog of one folder of tables, each part built when a query first asks for it.
+
+    Within a session the parts stay: the tables, the folders, the stored catalog that searches read, and the totals that
+    listings show. What an operator's own query measures is computed each time.
+    """
+
+    kept: dict[tuple[str, str], Given] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.base = scratch(spark)
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Given:
+        """The one of this session, or a new one where its files are gone."""
+        key = spark.sparkContext.applicationId, sf_dir
+        old = cls.kept.get(key)
+        if old is None or not old.there():
+            cls.kept.clear()
+            cls.kept[key] = cls(spark, sf_dir)
+        return cls.kept[key]
+
+    def there(self) -> bool:
+        held = [df for df in (*self.tables.values(), *(self.__dict__[n] for n in ("folders", "totals") if n in self.__dict__))]
+        made = {f.rpartition("/")[0] for df in held for f in df.inputFiles() if "/treelake-" in f}
+        made |= {self.catalog.path} if "catalog" in self.__dict__ else set()
+        return all(listed(self.spark, path) for path in made)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
-        return C.derived(self.spark, self.dir)
+        return Base(self.spark, self.dir)
 
     @cached_property
     def folders(self) -> DataFrame:
-        return J.folder_paths(self.tables["links"], self.tables["nodes"])
+        """All folders with their paths and intervals."""
+        paths = J.folder_paths(self.tables["links"], self.tables["nodes"])
+        return settled(paths.join(intervals(paths), ["volume", "node_id"]))
 
     @cached_property
     def catalog(self) -> Catalog:
-        return Catalog(self.tables, J.entries(self.tables, self.folders))
+        return Catalog(self.tables, J.entries(self.tables, self.folders)).store(f"{self.base}/catalog", self.folders)
 
     @property
     def entries(self) -> DataFrame:
@@ -54,7 +92,7 @@ class Given:
 
     @cached_property
     def totals(self) -> DataFrame:
-        return G.folder_totals(self.tables, self.folders)
+        return settled(G.folder_totals(self.tables, self.folders))
 
     @property
     def sized(self) -> DataFrame:
@@ -254,12 +292,12 @@ def user_records_only(g):
 
 @query("SELECT volume, node_id, path, CAST(depth AS INT) AS depth FROM dp")
 def rebuild_paths(g):
-    return g.folders.select("volume", "node_id", "path", "depth")
+    return J.folder_paths(g.tables["links"], g.tables["nodes"]).select("volume", "node_id", "path", "depth")
 
 
 @query(f"SELECT {KS}, parent_id, name, length, allocated, n_links, n_streams FROM entries")
 def expand_entries(g):
-    return g.entries.select(*K, "parent_id", "name", "length", "allocated", "n_links", "n_streams")
+    return J.entries(g.tables).select(*K, "parent_id", "name", "length", "allocated", "n_links", "n_streams")
 
 
 @query(
@@ -282,7 +320,14 @@ def children_of(g):
 
 @query(f"SELECT {KS}, path FROM entries WHERE list_contains(above_ids, 101)")
 def subtree_of(g):
-    return g.entries.filter(F.array_contains("above_ids", 101)).select(*K, "path")
+    return g.catalog.subtree(101).select(*K, "path")
+
+
+@query("SELECT f.volume, f.node_id, CAST(count(*) - 1 AS BIGINT) AS below FROM dp f JOIN (SELECT volume, unnest(ids) AS node_id FROM dp) x USING (volume, node_id) GROUP BY ALL")
+def tree_intervals(g):
+    """Each folder's number of folders below, from its interval alone: two numbers to each of them."""
+    paths = J.folder_paths(g.tables["links"], g.tables["nodes"])
+    return intervals(paths).select("volume", "node_id", F.call_function("div", c("hi") - c("lo"), F.lit(2)).alias("below"))
 
 
 @query(f"SELECT type_id, {TYPE} AS type_name, count(*) AS streams FROM streams GROUP BY ALL", "links")
@@ -327,7 +372,7 @@ def verify_extents(g):
 
 @query("SELECT volume, node_id, length, allocated FROM totals", "sized")
 def dir_rollup(g):
-    return g.totals.select("volume", "node_id", "length", "allocated")
+    return G.folder_totals(g.tables, g.folders).select("volume", "node_id", "length", "allocated")
 
 
 @query("SELECT volume, parent_id, node_id, link_ix, length, allocated FROM shares", "sized")
@@ -352,7 +397,7 @@ def reserved_at_root(g):
 
 @query("SELECT volume, node_id, treesize, files FROM totals", "sized")
 def treesize(g):
-    return g.totals.select("volume", "node_id", "treesize", "files")
+    return G.folder_totals(g.tables, g.folders).select("volume", "node_id", "treesize", "files")
 
 
 SIZES = "SELECT volume, node_id, code, name, sparse, CASE WHEN resident THEN value_length WHEN node_id = 8 AND name = '$Bad' THEN initialized_size ELSE data_size END AS length, CASE WHEN resident THEN 0 WHEN node_id = 8 AND name = '$Bad' THEN initialized_size ELSE coalesce(compressed_size, allocated_size) END AS allocated FROM attributes"
@@ -512,8 +557,44 @@ def path_list(g):
 @query("SELECT volume, count(*) AS extents, CAST(sum(clusters) AS BIGINT) AS clusters, max(last_record) + 1 AS records FROM ranges GROUP BY volume", "extents")
 def extents_json(g):
     r = X.extent_ranges(g.extents)
-    j = R.extents_json(r, X.extent_summary(r))
-    return j.select("volume", F.size(F.from_json(F.get_json_object("json", "$.extents"), "array<string>")).cast("long").alias("extents"), F.get_json_object("json", "$.summary.clusters").cast("long").alias("clusters"), F.get_json_object("json", "$.summary.records").cast("long").alias("records"))
+    texts = R.extents_json(r, X.extent_summary(r), 100)
+    head = F.max(F.when(c("chunk") < 0, F.concat("text", F.lit("]}"))))
+    whole = texts.groupBy("volume").agg(F.sum(F.regexp_count("text", F.lit('"extent_ix"'))).cast("long").alias("extents"), head.alias("head"))
+    return whole.select("volume", "extents", F.get_json_object("head", "$.summary.clusters").cast("long").alias("clusters"), F.get_json_object("head", "$.summary.records").cast("long").alias("records"))
+
+
+ITEM = """'{"extent_ix":' || extent_ix || ',"clusters":' || clusters || ',"first_record":' || first_record || ',"last_record":' || last_record || ',"byte_offset":' || byte_offset || ',"byte_length":' || byte_length || '}'"""
+TOTAL = """'{"volume":"' || volume || '","summary":{"extent_count":' || count(*) || ',"clusters":' || sum(clusters) || ',"records":' || max(last_record) + 1 || ',"bytes":' || sum(byte_length) || ',"fragmented":' || (count(*) > 1) || '},"extents":['"""
+
+
+@query(
+    f"""SELECT volume, CAST(extent_ix // 16 AS BIGINT) AS chunk, CASE WHEN extent_ix // 16 > 0 THEN ',' ELSE '' END || string_agg({ITEM}, ',' ORDER BY extent_ix) AS text FROM ranges GROUP BY volume, extent_ix // 16
+    UNION ALL SELECT volume, -1, {TOTAL} FROM ranges GROUP BY volume UNION ALL SELECT DISTINCT volume, 4611686018427387904, ']}}' FROM ranges""",
+    "extents",
+)
+def extents_json_chunks(g):
+    r = X.extent_ranges(g.extents)
+    return R.extents_json(r, X.extent_summary(r), 16)
+
+
+@query("SELECT 'C:' AS volume, CAST(1 + (o_orderkey - 1) // 32768 AS BIGINT) AS bucket, count(*) AS in_use FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL", "")
+def slot_bitmaps(g):
+    return X.slot_bitmaps(g.slots).select("volume", "bucket", X.popcount(c("bitmap")).cast("long").alias("in_use"))
+
+
+@query(f"SELECT line FROM (SELECT -1 AS n, '\"path\"' || chr(9) || '\"size\"' AS line UNION ALL SELECT 0, '\"' || path || '\"' || chr(9) || length FROM entries WHERE {MAIN} AND {OWN} AND ends_with(lower(name), '.jpg'))")
+def write_report_file(g):
+    """One file under one header, read back line by line."""
+    out = f"{scratch(g.spark)}.csv"
+    R.write_report_file(R.select_columns(g.catalog.search("*.jpg"), "path,size"), out, "TAB")
+    return g.spark.read.text(out).withColumnRenamed("value", "line")
+
+
+@query("SELECT path || chr(9) || length || chr(9) || format('{:,}', allocated) AS line FROM entries")
+def write_table_file(g):
+    out = f"{scratch(g.spark)}.txt"
+    R.write_table_file(g.entries.select("path", "length", F.format_number("allocated", 0).alias("shown")), out, tab=True)
+    return g.spark.read.option("lineSep", "\r\n").text(out).withColumnRenamed("value", "line")
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events WHERE ends_with(lower(event_type), 'k')", "")
@@ -529,6 +610,53 @@ def walk_folders(g):
     return walk(g.tables, c("name").endswith(".pdf"), c("name") != "NATION_3")
 
 
+WALK = """, w AS (SELECT volume, node_id, volume || chr(92) AS path, 0 AS depth FROM folders WHERE node_id = 5
+  UNION ALL SELECT f.volume, f.node_id, w.path || f.name || chr(92), w.depth + 1 FROM folders f JOIN w ON f.volume = w.volume AND f.parent_id = w.node_id WHERE f.node_id <> 5 AND ({}))
+SELECT l.volume, l.node_id, l.link_ix, w.path || l.name AS path, CAST(w.depth + 1 AS INT) AS depth FROM links l JOIN w ON w.volume = l.volume AND w.node_id = l.parent_id WHERE l.node_id <> 5"""
+
+
+@query(WALK.format("w.depth + 1 < 2"), "links")
+def walk_by_depth(g):
+    """All links but those below the second level of folders."""
+    return walk(g.tables, F.lit(True), c("depth") < 2)
+
+
+@query(WALK.format("regexp_full_match(w.path || f.name, '.:.NATION_1[0-9]?(.Customer#0*[0-9]*[13579])?')") + " AND (l.node_id % 3 = 0 AND w.depth + 1 = 3 OR (w.path || l.name) LIKE '%.pdf')", "links")
+def walk_by_path(g):
+    """Some nations, and some customers in these, chosen by the whole path; links by depth or path."""
+    enter = c("path").rlike(r"^.:.NATION_1[0-9]?(.Customer#0*[0-9]*[13579])?$")
+    return walk(g.tables, (c("node_id") % 3 == 0) & (c("depth") == 3) | c("path").endswith(".pdf"), enter)
+
+
+@query("SELECT volume, node_id, link_ix, path FROM entries WHERE stream_name = '' AND type_id IN (0, 8) AND NOT is_dir AND regexp_full_match(lower(path), '..\\\\nation_1[^\\\\/]*\\\\([^\\\\/]+\\\\)*order_[^\\\\/]*\\.pdf')")
+def standing_by_path(g):
+    """Links arrive, some of them twice; the hits among them by path, each once, as the batch search has them."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + c("node_id") % 900)
+    rows = g.tables["links"].join(g.tables["nodes"].filter("NOT is_dir").select("volume", "node_id", "is_dir"), ["volume", "node_id"]).withColumn("seen", at)
+    again = rows.filter("node_id % 5 = 0").withColumn("seen", c("seen") + F.expr("INTERVAL 10 MINUTES"))
+    arrived = settled(rows.unionByName(again))
+    folder = arrived.inputFiles()[0].rpartition("/")[0]
+    hits = standing_paths(g.spark, folder, arrived.schema, "?:\\NATION_1*\\**\\order_*.pdf", g.folders, "seen", keys=["volume", "node_id", "link_ix"])
+    return run_available(hits, scratch(g.spark), scratch(g.spark)).select("volume", "node_id", "link_ix", "path")
+
+
+BAD = ("[", "a{2", "(x", "*z", "x)", "ok.*", "a\\\\b", "[a-z]+")
+
+
+@query("SELECT p AS pattern, p IN ('ok.*', 'a\\\\b', '[a-z]+') AS valid, count(*) FILTER (CASE p WHEN 'ok.*' THEN starts_with(lower(name), 'ok') WHEN '[a-z]+' THEN regexp_full_match(lower(name), '[a-z]+') ELSE false END) AS hits FROM links, (SELECT unnest(['[', 'a{2', '(x', '*z', 'x)', 'ok.*', 'a\\\\b', '[a-z]+']) AS p) GROUP BY p", "links")
+def invalid_pattern(g):
+    """Which patterns are refused, and the hits of the others."""
+    counts = []
+    for text in BAD:
+        try:
+            found = P.matches(c("name"), P.checked(g.spark, text), "regex")
+        except ValueError:
+            found = None
+        n = F.count_if(F.lit(False) if found is None else found)
+        counts.append(F.struct(F.lit(text).alias("pattern"), F.lit(found is not None).alias("valid"), n.alias("hits")))
+    return g.tables["links"].agg(F.array(*counts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 NAMES = {"path_parts": "basename_dirname_extension", "user_records_only": "user_records", "newest_first_ordinals": "link_ix_stream_ix", "standing": "standing_search", "walk_folders": "walk"}
 
 
@@ -539,7 +667,7 @@ def registered() -> dict[str, tuple]:
 
 
 def queries():
-    return {NAMES.get(n, n): (lambda spark, sf_dir, f=f: f(Given(spark, sf_dir))) for n, (f, _) in registered().items()}
+    return {NAMES.get(n, n): (lambda spark, sf_dir, f=f: f(Given.of(spark, sf_dir))) for n, (f, _) in registered().items()}
 
 
 def oracle_sql():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
+import uuid
 
 import pyarrow as pa
 from pyarrow import fs
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from .catalog_queries import query
 from .plans.shared import scratch
 from .sources import dump as D
+from .streaming.standing import run_available
 
 RECORD, SECTOR, FIRST = 1024, 512, 16
 
@@ -71,8 +73,8 @@ def places(g) -> DataFrame:
     return rows.join(parents, "owner", "left").select("volume", "kind", "slot", F.coalesce("parent", F.lit(5)).alias("parent"), "name", "length", "status")
 
 
-def dumps(g) -> DataFrame:
-    """The dumps written to the shared folder, one file per volume, and read back."""
+def written_dumps(g) -> str:
+    """Dumps written to the shared folder, one file per volume, as a pattern of their paths."""
     base = scratch(g.spark)
 
     def written(t: pa.Table) -> pa.Table:
@@ -81,7 +83,9 @@ def dumps(g) -> DataFrame:
         files, inner = fs.FileSystem.from_uri(base)
         files.create_dir(inner)
         path = f"{inner}/{t.column('volume')[0]}.dump"
-        with files.open_output_stream(path) as out:
+        # a task that runs twice must not leave half a dump
+        aside = f"{path}.{uuid.uuid4().hex}.part"
+        with files.open_output_stream(aside) as out:
             out.write(D.HEADER.pack(b"DUMPFILE", D.VERSION, 0, RECORD, n, n * RECORD, 0))
             for k in range(n):
                 if k == 5:
@@ -89,10 +93,16 @@ def dumps(g) -> DataFrame:
                 else:
                     r = rows.get(k)
                     out.write(record_of(r["kind"], k, r["parent"], r["name"], r["length"], r["status"]) if r else bytes(RECORD))
+        files.move(aside, path)
         return pa.table({"volume": t.column("volume")[:1]})
 
-    names = [r.volume for r in places(g).groupBy("volume").applyInArrow(written, "volume string").collect()]
-    return D.read_dump(g.spark, *(f"{base}/{v}.dump" for v in names))
+    places(g).groupBy("volume").applyInArrow(written, "volume string").write.format("noop").mode("overwrite").save()
+    return f"{base}/*.dump"
+
+
+def dumps(g) -> DataFrame:
+    """The dumps, read back."""
+    return D.read_dump(g.spark, written_dumps(g))
 
 
 PLACES = f"""WITH cu AS (SELECT 'N' || c_nationkey || '_' || (c_custkey // 1000) AS volume, c_custkey, c_name FROM customer),
@@ -109,6 +119,13 @@ def read_dump(g):
     return dumps(g).select("volume", "slot", F.length("record").alias("record_bytes"), signature.alias("has_signature"))
 
 
+@query(PLACES + f"SELECT volume, slot, {RECORD} AS record_bytes FROM (SELECT volume, unnest(generate_series(0, max(slot))) AS slot FROM r GROUP BY volume)", "")
+def stream_dumps(g):
+    """The records of dumps as they arrive, ten dumps a step."""
+    arrived = D.stream_dumps(g.spark, written_dumps(g).rpartition("/")[0], per_step=10)
+    return run_available(arrived.select("volume", "slot", F.length("record").alias("record_bytes")), scratch(g.spark), scratch(g.spark))
+
+
 @query(
     PLACES + """, live AS (SELECT * FROM r WHERE status <> 'P' UNION ALL SELECT DISTINCT volume, 0, 0, NULL, '.', 0, '', 5, 5 FROM r)
 SELECT volume, slot AS node_id, CAST(0 AS INT) AS link_ix, parent AS parent_id, name, kind = 0 AS is_dir,

@@ -122,6 +122,69 @@ def literal_head(pattern: str) -> str:
     return head if head.isascii() else ""
 
 
+def regex_literals(regex: str) -> list[str]:
+    """Runs of plain characters that every match has, outside of groups and classes; none where an unusual construct makes that unsure."""
+    out, run, i = [], "", 0
+    if re.search(r"\(\?(?!:)|\\[QExupPc0NRXkG]|&&", regex):
+        return []
+    while i < len(regex):
+        c = regex[i]
+        step = 1
+        if c == "|":
+            return []
+        if c in "([":
+            step = closed(regex, i) - i
+            if step <= 0:
+                return []
+            c = ""
+        elif c == "\\":
+            step, c = 2, regex[i + 1 : i + 2]
+            c = "" if c.isalnum() else c
+        elif c in ".^$":
+            c = ""
+        after = regex[i + step : i + step + 1]
+        if c and after and after in "?*{":
+            c = ""
+        run += c
+        if not c or after == "+":
+            out.append(run)
+            run = ""
+        i += step
+        while i < len(regex) and regex[i] in "?*+{":
+            i = regex.find("}", i) + 1 if regex[i] == "{" else i + 1
+            if i == 0:
+                return []
+    return [r for r in [*out, run] if r]
+
+
+def closed(regex: str, i: int) -> int:
+    """Where the group or class that opens at i ends; -1 if it doesn't."""
+    depth, in_class = 0, False
+    while i < len(regex):
+        c = regex[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]" or regex[i - 1] == "["
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        if not in_class and depth == 0:
+            return i + 1
+        i += 1
+    return -1
+
+
+def literals(pattern: str) -> list[str]:
+    """Texts in lower case that the path of every hit of a search pattern has; only those in ASCII."""
+    mode = pattern_mode(pattern)
+    pieces = regex_literals(mode["text"]) if mode["kind"] == "regex" else re.split(r"[*?]+", mode["text"])
+    return sorted({p.lower() for p in pieces if p and p.isascii()})
+
+
 def extension_filter(name: Column, wanted: list[str]) -> Column:
     return extension(name).isin(extension_list(wanted))
 

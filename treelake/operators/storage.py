@@ -40,8 +40,13 @@ def block_use(slots: DataFrame, block: int) -> DataFrame:
 
 def popcount(bits: Column) -> Column:
     """Bits set in a binary column."""
-    byte = lambda i: F.conv(F.hex(F.substring(bits, i, F.lit(1))), 16, 10).cast("int")
-    return F.when(F.length(bits) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(bits)), F.lit(0), lambda n, i: n + F.bit_count(byte(i))))
+    return F.bitmap_count(bits).cast("int")
+
+
+def slot_bitmaps(slots: DataFrame) -> DataFrame:
+    """(volume, bucket, bitmap): the slots in use as bitmaps of 32,768 slots each, which can be or-ed; slots count from 1 on."""
+    used = slots.filter("in_use").groupBy("volume", F.bitmap_bucket_number("slot").alias("bucket"))
+    return used.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
 
 
 def verified_extents(ranges: DataFrame, headers: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def entries(catalog: dict[str, DataFrame], folders: DataFrame | None = None) ->
     """One row per link and stream of every node that the root reaches, with path, name, depth, sizes, times and flags.
 
     Links, nodes and streams are dealt by node once; the folders' paths come to them in one join. folders: as made by
-    folder_paths, if they are there already.
+    folder_paths, if they are there already; with their intervals, ``pos`` is the beginning of the folder that a link is in.
     """
     links, streams, nodes = (catalog[t] for t in ("links", "streams", "nodes"))
     folders = folder_paths(links, nodes) if folders is None else folders
@@ -85,14 +85,14 @@ def entries(catalog: dict[str, DataFrame], folders: DataFrame | None = None) ->
     of_node = W.partitionBy("volume", "node_id")
     streams = streams.withColumn("n_streams", F.count(F.lit(1)).over(of_node).cast("int"))
     links = links.withColumn("n_links", F.count(F.lit(1)).over(of_node).cast("int"))
-    above = folders.select("volume", F.col("node_id").alias("parent_id"), F.col("path").alias("dir_path"), F.col("depth").alias("above"), F.col("ids").alias("above_ids"))
+    above = folders.select("volume", F.col("node_id").alias("parent_id"), F.col("path").alias("dir_path"), F.col("depth").alias("above"), *([F.col("lo").alias("pos")] if "lo" in folders.columns else []))
     out = links.join(nodes, ["volume", "node_id"]).join(streams, ["volume", "node_id"]).join(above, ["volume", "parent_id"])
     root = F.col("node_id") == ROOT
     base = F.when(root, F.col("dir_path")).otherwise(F.concat("dir_path", "name", F.when(F.col("is_dir"), SEPARATOR).otherwise("")))
     suffix = stream_suffix(F.col("type_id"), F.col("stream_name"))
     return out.select(
         "volume", "node_id", "link_ix", "stream_ix", "parent_id", "name", F.concat(base, suffix).alias("path"), "dir_path", F.when(root, 0).otherwise(F.col("above") + 1).alias("depth"), "is_dir", "type_id", "stream_name",
-        "length", "allocated", "bulkiness", "is_sparse", "attrs", "created_ft", "written_ft", "accessed_ft", "n_links", "n_streams", "above_ids",
+        "length", "allocated", "bulkiness", "is_sparse", "attrs", "created_ft", "written_ft", "accessed_ft", "n_links", "n_streams", *(["pos"] if "lo" in folders.columns else []),
     )
 
 
@@ -124,9 +124,9 @@ def latest(rows: DataFrame, key: str = "volume", time: str = "snapshot_ts") -> D
     return rows.join(last, [key, time], "left_semi")
 
 
-def replace_volumes(rows: DataFrame, path: str) -> None:
-    """Writes rows into a stored table by volume; volumes that aren't among the rows keep what they have."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("volume").parquet(path)
+def replace_volumes(rows: DataFrame, path: str, *more: str, **options: str) -> None:
+    """Writes rows into a stored table by volume, and by more columns below that; volumes that aren't among the rows keep what they have."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**options).partitionBy("volume", *more).parquet(path)
 
 
 def orphans(links: DataFrame, nodes: DataFrame) -> DataFrame:

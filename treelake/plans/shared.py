@@ -23,3 +23,10 @@ def settled(df: DataFrame, by: str | None = None) -> DataFrame:
     path = scratch(df.sparkSession)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a path, on any file system; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []

@@ -1,4 +1,4 @@
-"""Raw metadata dumps: a Python data source of fixed-size records, and their decoding into catalog rows.
+"""Raw metadata dumps: reading their fixed-size records, and decoding these into catalog rows.
 
 A dump is a 64-byte header (8-byte magic, then little-endian u32 version, flags, record size, u64 record count, original
 size, compressed size, 20 reserved bytes) and the records. Slot number is place in the file. Records are decoded in
@@ -6,12 +6,15 @@ Arrow batches, one tagged row per attribute; nodes, links, streams and runs are
 another version, a compressed one and one shorter than its header says are refused; an attribute that is shorter than
 its kind needs is left out.
 
-Paths with a scheme are opened by Arrow's file systems, on the driver and by each task; others are local.
+Spark lists the files, tasks read the headers and cut the dumps into pieces, and other tasks read these; the driver opens
+none. The same goes for dumps that arrive in a folder, as a stream. Paths with a scheme are opened by Arrow's file systems,
+others are local.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -20,9 +23,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 HEADER = struct.Struct("<8sIIIQQQ20x")
+HEADER_BYTES = HEADER.size
 RECORDS_PER_PART = 1 << 16
 
 
@@ -37,65 +40,65 @@ def opened(path: str):
     return files.open_input_file(inner)
 
 
-class DumpPart(InputPartition):
-    def __init__(self, path: str, record_size: int, first: int, count: int):
-        super().__init__(path)
-        self.path, self.record_size, self.first, self.count = path, record_size, first, count
-
-
-class DumpReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = [p for p in options["path"].split(",") if p]
-        self.per_part = int(options.get("recordsPerPart", RECORDS_PER_PART))
-
-    def partitions(self) -> list[DumpPart]:
-        parts = []
-        for path in self.paths:
-            with opened(path) as f:
-                head = f.read(HEADER.size)
-                if len(head) < HEADER.size:
-                    raise ValueError(f"no dump: {path} has no header")
-                _, version, flags, record_size, count, _, compressed = HEADER.unpack(head)
-                if version != VERSION or flags or compressed:
-                    raise ValueError(f"dump {path}: only plain dumps of version {VERSION} can be read")
-                if record_size < 48:
-                    raise ValueError(f"dump {path}: records of {record_size} bytes")
-                f.seek(0, os.SEEK_END)
-                if f.tell() < HEADER.size + count * record_size:
-                    raise ValueError(f"dump {path} is shorter than its header says")
-            parts += [DumpPart(path, record_size, k, min(self.per_part, count - k)) for k in range(0, count, self.per_part)]
-        return parts or [DumpPart("", 1, 0, 0)]
-
-    def read(self, part: DumpPart) -> Iterator[pa.RecordBatch]:
-        if not part.count:
-            return
-        volume = os.path.basename(part.path).split(".")[0]
-        with opened(part.path) as f:
-            f.seek(HEADER.size + part.first * part.record_size)
-            for k in range(part.first, part.first + part.count, 1024):
-                n = min(1024, part.first + part.count - k)
-                raw = f.read(n * part.record_size)
-                rows = [raw[i * part.record_size : (i + 1) * part.record_size] for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([volume] * n), pa.array(range(k, k + n), pa.int64()), pa.array(rows, pa.binary())], ["volume", "slot", "record"])
-
+def header(path: str) -> tuple[int, int]:
+    """Record size and number of records; ValueError for what isn't a whole plain dump."""
+    with opened(path) as f:
+        head = f.read(HEADER.size)
+        if len(head) < HEADER.size:
+            raise ValueError(f"no dump: {path} has no header")
+        _, version, flags, record_size, count, _, compressed = HEADER.unpack(head)
+        if version != VERSION or flags or compressed:
+            raise ValueError(f"dump {path}: only plain dumps of version {VERSION} can be read")
+        if record_size < 48:
+            raise ValueError(f"dump {path}: records of {record_size} bytes")
+        f.seek(0, os.SEEK_END)
+        if f.tell() < HEADER.size + count * record_size:
+            raise ValueError(f"dump {path} is shorter than its header says")
+    return record_size, count
 
-class DumpSource(DataSource):
-    """spark.read.format("mft_dump").load("C.dump,D.dump"): volume (file name), slot, record."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "mft_dump"
+def with_scheme(path: str) -> str:
+    """file:/x, as Spark names local files, as file:///x."""
+    return re.sub(r"^(\w+):/(?!/)", r"\1:///", path)
 
-    def schema(self) -> str:
-        return "volume string, slot bigint, record binary"
 
-    def reader(self, schema) -> DumpReader:
-        return DumpReader(self.options)
+def records(files: DataFrame, per_part: int = RECORDS_PER_PART) -> DataFrame:
+    """volume (file name), slot, record of all dumps in files (path); pieces of so many records are dealt over the tasks."""
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in map(with_scheme, batch.column(0).to_pylist()):
+                size, count = header(path)
+                rows += [(path, size, k, min(per_part, count - k)) for k in range(0, count, per_part)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, [pa.string(), *[pa.int64()] * 3], strict=True)], ["path", "size", "first", "count"])
 
-def read_dump(spark: SparkSession, *paths: str, **options) -> DataFrame:
-    spark.dataSource.register(DumpSource)
-    return spark.read.format("mft_dump").options(**options).load(",".join(paths))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size, first, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                volume = os.path.basename(path).split(".")[0]
+                with opened(path) as f:
+                    f.seek(HEADER_BYTES + first * size)
+                    for k in range(first, first + count, 1024):
+                        n = min(1024, first + count - k)
+                        raw = f.read(n * size)
+                        rows = [raw[i * size : (i + 1) * size] for i in range(n)]
+                        yield pa.RecordBatch.from_arrays([pa.array([volume] * n, pa.string()), pa.array(range(k, k + n), pa.int64()), pa.array(rows, pa.binary())], ["volume", "slot", "record"])
+
+    cut = files.select("path").mapInArrow(pieces, "path string, size bigint, first bigint, count bigint")
+    return cut.repartition("path", "first").mapInArrow(read, "volume string, slot bigint, record binary")
+
+
+def read_dump(spark: SparkSession, *paths: str, per_part: int = RECORDS_PER_PART) -> DataFrame:
+    """volume, slot, record of the dumps that the paths name: files, folders or patterns."""
+    return records(spark.read.format("binaryFile").load(list(paths)).select("path"), per_part)
+
+
+def stream_dumps(spark: SparkSession, folder: str, pattern: str = "*.dump", per_part: int = RECORDS_PER_PART, per_step: int | None = None) -> DataFrame:
+    """The same of dumps that arrive in a folder, each once; per_step: dumps that a step takes at most."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern)
+    reader = reader.option("maxFilesPerTrigger", per_step) if per_step else reader
+    return records(reader.load(folder).select("path"), per_part)
 
 
 def repaired(record: bytes, sector: int = 512) -> bytes | None:
