@@ -37,8 +37,8 @@ from .transducer import Transducer
 #: Documents of a language that a kept term has at least; ranks that are shown of terms.
 LEAST_DOCS, TOP = 30, 50
 SCALE, SMOOTH = 1_000_000_000, 5
-#: Terms of one transducer, about; counts that a task holds; cells of a dense block, about.
-SHARD_TERMS, FLUSH, CELLS = 1 << 16, 1 << 18, 1 << 20
+#: Terms of one transducer, about; counts that a task holds by term, and by ordinal; cells of a dense block, about.
+SHARD_TERMS, FLUSH, CELLS_HELD, CELLS = 1 << 16, 1 << 19, 1 << 22, 1 << 18
 GROUP = ["lang", "source"]
 
 _LETTERS = {*range(0x41, 0x5B), *range(0x61, 0x7B)}
@@ -134,7 +134,7 @@ def recounted(docs: DataFrame, dealt: DataFrame, starts: list[tuple]) -> DataFra
     """(lang, source, ordinal, n): occurrences of the kept terms, by the transducers of their ranges; settled."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, 2 * parts // max(1, len(starts)))
+    salts = max(1, parts // max(1, len(starts)))
     before = {(lang, shard): n for lang, shard, _, n in starts}
     # a shard's terms are few by construction
     heads = dealt.groupBy("shard", "lang").agg(F.array_join(F.sort_array(F.collect_list("term")), "\n").cast("binary").alias("terms"))
@@ -143,26 +143,31 @@ def recounted(docs: DataFrame, dealt: DataFrame, starts: list[tuple]) -> DataFra
     rows = rows.sortWithinPartitions("shard", "salt", "lang", F.col("source").asc_nulls_first())
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, vocabulary, offset, held = None, None, 0, Counter()
+        group, vocabulary, offset, held = None, None, 0, {}
 
-        def made() -> pa.RecordBatch:
-            columns = list(zip(*((*k, n) for k, n in held.items()), strict=True)) or [()] * 4
+        def made() -> Iterator[pa.RecordBatch]:
+            for source, sums in held.items():
+                at = sums.nonzero()[0]
+                names = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(at), np.int32))) for x in (group[2], source)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(at + offset), pa.array(sums[at])], ["lang", "source", "ordinal", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, [pa.string(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["lang", "source", "ordinal", "n"])
 
         for batch in batches:
             for shard, salt, lang, source, terms, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group != (shard, salt, lang):
+                    yield from made()
                     group, offset, vocabulary = (shard, salt, lang), before[lang, shard], Transducer(terms.split(b"\n"))
                 if counts is None:
                     continue
-                ordinal = vocabulary.ordinal
-                for term, n in zip(terms.split(b"\n"), np.frombuffer(counts, np.int64).tolist(), strict=True):
-                    if (at := ordinal(term)) >= 0:
-                        held[lang, source, offset + at] += n
-                if len(held) > FLUSH:
-                    yield made()
-        yield made()
+                if source not in held:
+                    if (len(held) + 1) * len(vocabulary) > CELLS_HELD:
+                        yield from made()
+                    held[source] = np.zeros(len(vocabulary), np.int64)
+                terms = terms.split(b"\n")
+                at = np.fromiter(map(vocabulary.ordinal, terms), np.int64, len(terms))
+                # no term comes twice
+                held[source][at[at >= 0]] += np.frombuffer(counts, np.int64)[at >= 0]
+        yield from made()
 
     counts = rows.mapInArrow(streamed, "lang string, source string, ordinal bigint, n bigint")
     return settle(counts.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")))
