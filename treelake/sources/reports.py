@@ -158,8 +158,9 @@ def extents_json(ranges: DataFrame, summary: DataFrame, per_chunk: int = 4096) -
 
 
 def write_extents_json(chunks: DataFrame, path: str) -> None:
-    """One file with a line of JSON per volume, volumes in order."""
-    texts = chunks.orderBy("volume", "chunk").select(F.concat("text", F.when(F.col("text") == "]}", "\n").otherwise("")).alias("line"))
-    one_file(texts, path, end="")
-
-
+    """One file with a JSON list of all volumes in order, a line for each chunk."""
+    first = chunks.agg(F.min("volume")).first()[0]
+    text = F.concat(F.when((F.col("chunk") < 0) & (F.col("volume") != first), ",").otherwise(""), "text")
+    end = chunks.sparkSession.createDataFrame([(None, 0, "]")], "volume string, chunk bigint, line string")
+    lines = chunks.select("volume", "chunk", text.alias("line")).unionByName(end)
+    one_file(lines.orderBy(F.col("volume").asc_nulls_last(), "chunk").select("line"), path, "[")
