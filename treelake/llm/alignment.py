@@ -39,11 +39,11 @@ from .bpe import byte_letters
 from .common import settle, table
 
 #: Classes that A's ids are dealt to; runs that are merged together; runs that stream past one copy of the counts.
-RADIX, RUNS, STREAM = 16, 64, 2048
+RADIX, RUNS, STREAM = 16, 64, 256
 #: Bytes of text that are aligned at once; links of a group beyond which it is counted by distinct ids.
 BATCH_BYTES, WIDE = 4 << 20, 1 << 16
 #: Segments of text that a Python worker remembers for B, and their length at most.
-CACHE, CACHED_CHARS = 1 << 18, 32
+CACHE, CACHED_CHARS = 1 << 19, 32
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 SPACE = "▁"
 ROW = "key bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, radix int, turn bigint, pairs binary, documents binary"
@@ -75,7 +75,7 @@ class ByteSide:
 
 
 class PieceSide:
-    """Pieces with byte fallback. Where no piece has a space behind another character, stretches that begin with spaces are encoded each on its own."""
+    """Pieces with byte fallback. Where no piece has a space behind another character, stretches that begin with spaces are encoded each on its own, once while they are remembered."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -86,19 +86,29 @@ class PieceSide:
         self.bytes_of = {i: bytes([int(m[1], 16)]) if (m := as_byte.fullmatch(p)) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)}
         self.alone = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.space = self.model.piece_to_id(SPACE)
-        self.remembered = lru_cache(CACHE)(self.encode_stretch)
         self.stretches = re.compile(" +[^ ]*").findall
-
-    def encode_stretch(self, stretch: str) -> tuple[int, ...]:
-        """Ids of spaces and what follows them; the encoder adds the first space itself."""
-        return tuple(self.model.encode(stretch[1:])) if len(stretch) > 1 else (self.space,)
-
-    def encode(self, text: str) -> list[int]:
-        if not self.alone or SPACE in text:
-            return self.model.encode(text)
-        out, plain, remembered = [], self.encode_stretch, self.remembered
-        for s in self.stretches(" " + text):
-            out += remembered(s) if len(s) <= CACHED_CHARS else plain(s)
+        self.remembered: dict[str, bytes] = {}
+
+    def given_back(self, ids: list[int], text: str) -> bytes | None:
+        """Packed ids, None where they don't give the text back behind a space."""
+        return array("H", ids).tobytes() if b"".join(map(self.bytes_of.__getitem__, ids)) == f" {text}".encode() else None
+
+    def encoded(self, texts: list[str]) -> list[bytes | None]:
+        """Packed ids of each text; None where they don't give it back."""
+        if not self.alone:
+            return [self.given_back(ids, t) for ids, t in zip(self.model.encode(texts, num_threads=1), texts, strict=True)]
+        if len(self.remembered) > CACHE:
+            self.remembered.clear()
+        cut = [self.stretches(" " + t) for t in texts]
+        # the encoder adds the first space itself, but for nothing
+        new = [s[1:] for s in set().union(*cut) - self.remembered.keys()]
+        ids = self.model.encode(new, num_threads=1) if new else []
+        now = {" " + s: self.given_back(i if s else [self.space], s) for s, i in zip(new, ids, strict=True)}
+        self.remembered |= {s: i for s, i in now.items() if len(s) <= CACHED_CHARS}
+        out, known = [], self.remembered.get
+        for stretches in cut:
+            parts = [known(s) or now.get(s) for s in stretches]
+            out.append(None if None in parts else b"".join(parts))
         return out
 
 
@@ -113,14 +123,16 @@ class Sides:
         self.written = [f"{i}{mark}" for n, marks in zip(sizes, (",|", ",;"), strict=True) for mark in marks for i in range(n)]
         self.starts = [0, sizes[0], 2 * sizes[0], 2 * sizes[0] + sizes[1]]
 
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of both sides, or none where one of them doesn't give the text back."""
-        if not text:
-            return [], []
-        whole = (" " + text).encode()
-        a, b = self.a.encode(" " + text), self.b.encode(text)
-        same = all(b"".join(map(side.bytes_of.__getitem__, ids)) == whole for side, ids in ((self.a, a), (self.b, b)))
-        return (a, b) if same else ([], [])
+    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both sides for each text, or none where one of them doesn't give the text back."""
+        none, one, two = np.zeros(0, np.int64), [], []
+        for text, packed in zip(texts, self.b.encoded(texts), strict=True):
+            a = np.array(self.a.encode(" " + text), np.int64) if text and packed else none
+            # bytes that merge: only the number of them could differ
+            same = len(a) > 0 and self.lengths[0][a].sum() == len(text.encode()) + 1
+            one.append(a if same else none)
+            two.append(np.frombuffer(packed, np.uint16).astype(np.int64) if same else none)
+        return one, two
 
 
 @lru_cache(1)
@@ -130,13 +142,9 @@ def sides(path_a: str, path_b: str) -> Sides:
 
 def aligned(both: Sides, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """Of some texts: the measures, a row for each; the digests; and the links as sorted keys (id of A, id of B, text) of 16, 16 and 32 bits with their numbers."""
-    ids, counts = (array("I"), array("I")), ([], [])
-    for text in texts:
-        for out, n, side in zip(ids, counts, both.tokens(text), strict=True):
-            out.extend(side)
-            n.append(len(side))
-    a, b = (np.frombuffer(x, np.uint32).astype(np.int64) if len(x) else np.zeros(0, np.int64) for x in ids)
-    n_a, n_b = (np.array(n, np.int64) for n in counts)
+    sides_ = both.tokens(texts)
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in sides_)
+    n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in sides_)
     doc_a, doc_b = (np.repeat(np.arange(len(texts)), n) for n in (n_a, n_b))
     # texts lie end to end and have as many bytes on both sides, so that each text's end is a common one
     ends_a, ends_b = np.cumsum(both.lengths[0][a]), np.cumsum(both.lengths[1][b])
