@@ -217,3 +217,53 @@ def test_dumps_by_pattern_and_as_they_arrive(spark, tmp_path):
     assert out() == 2505
     (tmp_path / "F.dump").write_bytes(head(3) + bytes(192))
     assert out() == 2508 and out() == 2508
+
+
+def test_refresh_equals_a_rebuild_on_random_edits(spark):
+    """Folders and files are moved, renamed, resized, added and deleted; a folder goes below another; a hard link comes and one goes."""
+    from treelake.plans import rollup as G
+    from treelake.plans.refresh import refreshed
+
+    r = random.Random(12)
+    kinds = {"nodes": "volume string, node_id bigint, is_dir boolean", "links": "volume string, node_id bigint, link_ix int, parent_id bigint, name string", "streams": "volume string, node_id bigint, stream_ix int, type_id int, stream_name string, length bigint, allocated bigint, bulkiness bigint"}
+
+    def tables(state, reserved):
+        rows = {"nodes": [("C:", k, d) for k, (d, _, _) in state.items()], "links": [("C:", k, i, p, n) for k, (_, ls, _) in state.items() for i, (p, n) in enumerate(ls)], "streams": [("C:", k, i, 0 if d else 8, f"s{i}" if i else "", x, x + 7, x // 2) for k, (d, _, xs) in state.items() for i, x in enumerate(xs)]}
+        out = {t: spark.createDataFrame(rows[t], kinds[t]) for t in kinds}
+        return {**out, "volumes": spark.createDataFrame([("C:", 4096, 1024, reserved)], "volume string, cluster_size int, record_size int, reserved_clusters bigint")}
+
+    state = {5: (True, [(5, ".")], [10])}
+    for k in range(16, 110):
+        folders = [j for j, s in state.items() if s[0]]
+        d = r.random() < 0.4
+        state[k] = d, [(r.choice(folders), f"n{k}_{i}") for i in range(1 if d else r.choice([1, 1, 2]))], [r.randrange(10**6) for _ in range(1 if d else r.randrange(1, 3))]
+    built = lambda t: {"folders": (f := J.folder_paths(t["links"], t["nodes"])), "totals": G.folder_totals(t, f), "bulk": G.bulk_and_allocated(t, f)}
+    plain = lambda t: {n: sorted(map(tuple, df.select(sorted(df.columns)).collect())) for n, df in t.items()}
+    before, reserved = tables(state, 3), 3
+    stored = built(before)
+    for _ in range(2):
+        under = lambda k: {k} | {x for j, s in state.items() if s[0] and j != 5 and s[1][0][0] == k for x in under(j)}  # noqa: E731, B023
+        for _ in range(6):
+            k = r.choice([x for x in state if x != 5])
+            d, links, sizes = state[k]
+            folders = [j for j, s in state.items() if s[0]]
+            what = r.choice(["move", "rename", "size", "add", "delete", "link"])
+            if what == "move":
+                links = [(r.choice([j for j in folders if not d or j not in under(k)]), links[0][1]), *links[1:]]
+            elif what == "rename":
+                links = [(links[0][0], links[0][1] + "x"), *links[1:]]
+            elif what == "size":
+                sizes = [s + 1000 for s in sizes]
+            elif what == "link" and not d:
+                links = links[:-1] if len(links) > 1 else [*links, (r.choice(folders), f"l{k}")]
+            elif what == "add":
+                state[max(state) + 1] = r.random() < 0.5, [(r.choice(folders), "new")], [5]
+            if what == "delete" and (not d or under(k) == {k} and not any(p == k for s in state.values() for p, _ in s[1])):
+                del state[k]
+            else:
+                state[k] = d, links, sizes
+        reserved += 1
+        after = tables(state, reserved)
+        stored = refreshed(before, after, stored)
+        assert plain(stored) == plain(built(after))
+        before = after

@@ -55,18 +55,29 @@ TEXT = {
 }
 
 
-def filled(micros: str) -> dict[str, str]:
+def edited() -> dict[str, str]:
+    """The catalog after some changes: some customers' folders hang at the root, some have another name, and some streams have grown."""
+    text = dict(TEXT)
+    for part, old, new in (
+        ("folders", "CAST(100 + c_nationkey AS BIGINT), c_name FROM", "CAST(CASE WHEN c_custkey % 40 = 0 THEN 5 ELSE 100 + c_nationkey END AS BIGINT), c_name || CASE WHEN c_custkey % 25 = 0 THEN '.old' ELSE '' END FROM"),
+        ("order_lines", "sum(CAST(floor(l_extendedprice) AS BIGINT))", "sum(CAST(floor(l_extendedprice) AS BIGINT) + CASE WHEN l_orderkey % 37 = 0 THEN 5000 ELSE 0 END)"),
+    ):
+        text[part] = text[part].replace(old, new)
+    return text
+
+
+def filled(micros: str, text: dict[str, str] = TEXT) -> dict[str, str]:
     at = {f"ft_{c}": _FT.format(micros=micros, x=f"{p}_{c}") for p, c in (("o", "orderdate"), ("l", "shipdate"))}
-    return {name: text.format(**at) for name, text in TEXT.items()}
+    return {name: t.format(**at) for name, t in text.items()}
 
 
-def prefix() -> str:
+def prefix(text: dict[str, str] = TEXT) -> str:
     """The catalog as common table expressions of the checking database, to be followed by a query."""
-    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({text})" for name, text in filled("epoch_us").items())
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({t})" for name, t in filled("epoch_us", text).items())
 
 
-def derived(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def derived(spark: SparkSession, sf_dir: str, text: dict[str, str] = TEXT) -> dict[str, DataFrame]:
     """volumes, links, streams, nodes and attributes of the derived catalog."""
-    texts = filled("unix_micros")
+    texts = filled("unix_micros", text)
     ctes = ",\n".join([*(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES), *(f"{n} AS ({x})" for n, x in texts.items())])
     return {name: spark.sql(f"WITH {ctes} SELECT * FROM {name}") for name in ("volumes", "links", "streams", "nodes", "attributes")}

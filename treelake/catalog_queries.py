@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from .operators.search import Catalog, data_streams, user_records, walk
 from .plans import paths as J
 from .plans import rollup as G
 from .plans.intervals import intervals
+from .plans.refresh import refreshed
 from .plans.shared import listed, scratch, settled
 from .sources import reports as R
 from .streaming.standing import run_available, standing_paths, standing_search
@@ -31,8 +32,8 @@ KS = ", ".join(K)
 class Base(dict):
     """The tables of the derived catalog; links, nodes and streams are written when one of them is first asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.derived = C.derived(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, text: dict[str, str] = C.TEXT):
+        self.derived = C.derived(spark, sf_dir, text)
 
     def __missing__(self, name: str) -> DataFrame:
         df = self.derived[name]
@@ -455,6 +456,25 @@ def slot_gaps(g):
     return X.block_use(g.slots, 64).select("volume", "block", "leading", "trailing")
 
 
+def refresh(g):
+    """Paths and totals after some changes, from the stored ones of before."""
+    after = Base(g.spark, g.dir, C.edited())
+    stored = {"folders": g.folders, "totals": g.totals, "bulk": settled(G.bulk_and_allocated(g.tables, g.folders))}
+    new = refreshed(g.tables, after, stored)
+    return new["folders"].select("volume", "node_id", "path").join(new["totals"], ["volume", "node_id"])
+
+
+FOUND["refresh"] = refresh, ",\n".join([C.prefix(C.edited()), ENTRIES, ROLL]) + "\nSELECT volume, node_id, path, length, allocated, treesize, files FROM dp JOIN totals USING (volume, node_id)"
+
+
+@query(f"SELECT {KS}, path FROM entries WHERE {MAIN} AND {OWN} AND (contains(lower(name), 'order_12') OR regexp_full_match(lower(path), '.*customer#0*[0-9]*7.order_[0-9]*\\.jpg') OR contains(lower(path), 'nation_3\\ln_'))")
+def indexed_search(g):
+    """Three searches on a catalog that is stored with postings of trigrams."""
+    stored = g.catalog.store(f"{scratch(g.spark)}/catalog", parts=16, grams=True, block=64)
+    hits = [stored.search(p).select(*K, "path") for p in ("order_12", ">.*customer#0*[0-9]*7.order_[0-9]*\\.jpg", "NATION_3\\ln_")]
+    return hits[0].unionByName(hits[1]).unionByName(hits[2]).distinct()
+
+
 # Order-dependent work ------------------------------------------------------------------------------------------------
 
 
@@ -482,7 +502,7 @@ def sorted_by(name: str, order: list[str], shown: str, sql: str, of: str = "entr
     def f(g: Given) -> DataFrame:
         wanted = ["attrs", "name", "path", "length", "allocated", "bulkiness", "treesize", "written_ft", "depth"]
         rows = getattr(g, of)
-        hits = settled(rows.select(*K, *(w for w in wanted if w in rows.columns)))
+        hits = rows.select(*K, *(w for w in wanted if w in rows.columns))
         return S.numbered(S.ordered(hits, *order, reverse=reverse).select(*K, shown))
 
     f.__name__ = name
@@ -590,6 +610,20 @@ def write_report_file(g):
     return g.spark.read.text(out).withColumnRenamed("value", "line")
 
 
+#: Words for separators and quotes, and what they stand for.
+WORDS = {"TAB": 9, "newline": 10, "New Line": 10, "SPACE": 32, "Return": 13, "SINGLE": 39, "double": 34, ";": 59}
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{w}' AS word, chr({n}) || path || chr({n}) || chr({n}) || length AS line FROM entries WHERE {MAIN} AND {OWN} AND ends_with(lower(name), '.mp4')" for w, n in WORDS.items())
+)
+def separator_words(g):
+    """Each word as the separator and the quote of a report's lines."""
+    report = R.select_columns(g.catalog.search("*.mp4"), "path,size")
+    parts = [R.report_lines(report, w, w).select(F.lit(w).alias("word"), "line") for w in WORDS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("SELECT path || chr(9) || length || chr(9) || format('{:,}', allocated) AS line FROM entries")
 def write_table_file(g):
     out = f"{scratch(g.spark)}.txt"

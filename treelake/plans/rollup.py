@@ -45,6 +45,13 @@ def link_shares(catalog: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("volume", "parent_id", "node_id", "link_ix").agg(part("length"), part("allocated"), part("bulkiness"), F.count(F.lit(1)).alias("treesize"))
 
 
+def direct_sums(catalog: dict[str, DataFrame], folders: DataFrame) -> DataFrame:
+    """(volume, node_id, length, allocated, treesize, files) of each folder's own streams and its files alone; folders without any are left out."""
+    own = catalog["streams"].join(folders.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("length", "allocated")), F.count(F.lit(1)).alias("treesize")).withColumn("files", F.lit(0).cast("long"))
+    files = link_shares(catalog).groupBy("volume", F.col("parent_id").alias("node_id")).agg(*(F.sum(c).alias(c) for c in ("length", "allocated", "treesize")), F.count(F.lit(1)).alias("files"))
+    return own.unionByName(files).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in SUMS))
+
+
 def folder_totals(catalog: dict[str, DataFrame], folders: DataFrame | None = None) -> DataFrame:
     """(volume, node_id, length, allocated, treesize, files) of every folder: its own streams and all that lies below.
 
@@ -53,22 +60,25 @@ def folder_totals(catalog: dict[str, DataFrame], folders: DataFrame | None = Non
     are there already.
     """
     folders = folder_paths(catalog["links"], catalog["nodes"]) if folders is None else folders
-    own = catalog["streams"].join(folders.select(*KEY), KEY).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("length", "allocated")), F.count(F.lit(1)).alias("treesize")).withColumn("files", F.lit(0).cast("long"))
-    files = link_shares(catalog).groupBy("volume", F.col("parent_id").alias("node_id")).agg(*(F.sum(c).alias(c) for c in ("length", "allocated", "treesize")), F.count(F.lit(1)).alias("files"))
-    direct = own.unionByName(files).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in SUMS))
-    sums = subtree_sums(folders.select(*KEY, "ids").join(direct, KEY, "left").fillna(0, SUMS), SUMS)
+    sums = subtree_sums(folders.select(*KEY, "ids").join(direct_sums(catalog, folders), KEY, "left").fillna(0, SUMS), SUMS)
     reserved = catalog["volumes"].select("volume", (F.col("reserved_clusters") * F.col("cluster_size")).alias("reserved"))
     sums = sums.join(reserved, "volume", "left")
     return sums.withColumn("allocated", F.col("allocated") + F.when(F.col("node_id") == ROOT, F.coalesce("reserved", F.lit(0))).otherwise(0)).drop("reserved")
 
 
 def bulkiness(catalog: dict[str, DataFrame], folders: DataFrame | None = None, running: bool = False) -> DataFrame:
-    """(volume, node_id, bulkiness) of every folder: the bulk of its children but those that hold a hundredth of them.
+    """(volume, node_id, bulkiness) of every folder, see bulk_and_allocated."""
+    return bulk_and_allocated(catalog, folders, running).drop("allocated")
+
+
+def bulk_and_allocated(catalog: dict[str, DataFrame], folders: DataFrame | None = None, running: bool = False, known: DataFrame | None = None) -> DataFrame:
+    """(volume, node_id, bulkiness, allocated) of every folder: the bulk of its children but those that hold a hundredth of them.
 
     A child counts unless its bulk reaches a hundredth of what all children of the folder have allocated. Folders are
     taken from the deepest level up. Children have their folder's level, and each step reads those of its level only:
     files, dealt by level once, and the folders of the step before. running: a folder's own bulk is the running total of
-    its streams' bulk, as some tools have it, instead of their sum.
+    its streams' bulk, as some tools have it, instead of their sum. known: (volume, parent_id, bulkiness, allocated) of
+    folders that are not among folders and are taken as they are, as children of those that are.
     """
     links, nodes = catalog["links"], catalog["nodes"]
     folders = folder_paths(links, nodes) if folders is None else folders
@@ -81,7 +91,8 @@ def bulkiness(catalog: dict[str, DataFrame], folders: DataFrame | None = None, r
     own = streams.join(folders.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.sum("allocated").alias("own_allocated"), F.sum("bulkiness").alias("own_bulk"))
     folders = settled(folders.join(own, KEY, "left").fillna(0, ["own_allocated", "own_bulk"]))
     at = folders.select("volume", F.col("node_id").alias("parent_id"), F.col("depth").alias("level")).distinct()
-    files = settled(link_shares(catalog).select("volume", "parent_id", "allocated", "bulkiness").join(at, ["volume", "parent_id"]), by="level")
+    nothing = nodes.sparkSession.createDataFrame([], "volume string, parent_id bigint, allocated bigint, bulkiness bigint")
+    files = settled(link_shares(catalog).select("volume", "parent_id", "allocated", "bulkiness").unionByName(known if known is not None else nothing).join(at, ["volume", "parent_id"]), by="level")
     deepest = folders.agg(F.max("depth")).first()[0]
     inner, done = None, []
     for depth in range(deepest if deepest is not None else -1, -1, -1):
@@ -95,6 +106,6 @@ def bulkiness(catalog: dict[str, DataFrame], folders: DataFrame | None = None, r
         sums = children.groupBy("volume", F.col("parent_id").alias("node_id")).agg(F.max("below").alias("below"), small.alias("bulk"))
         level = folders.filter(F.col("depth") == depth).join(sums, KEY, "left").fillna(0, ["below", "bulk"])
         level = settled(level.select(*KEY, "parent_id", (F.col("below") + F.col("own_allocated")).alias("allocated"), (F.col("bulk") + F.col("own_bulk")).alias("bulkiness")))
-        done.append(level.select(*KEY, "bulkiness").distinct())
+        done.append(level.select(*KEY, "bulkiness", "allocated").distinct())
         inner = level.filter(F.col("parent_id").isNotNull()).select("volume", "parent_id", "allocated", "bulkiness")
-    return reduce(DataFrame.unionByName, done) if done else folders.select(*KEY, F.lit(0).cast("long").alias("bulkiness"))
+    return reduce(DataFrame.unionByName, done) if done else folders.select(*KEY, *(F.lit(0).cast("long").alias(c) for c in ("bulkiness", "allocated")))
