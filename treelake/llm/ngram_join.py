@@ -179,9 +179,11 @@ def prefixes(common: DataFrame, sets: DataFrame) -> DataFrame:
     live = shared.join(sizes, "k1").withColumn("room", prefix - (F.col("n") - F.col("shared"))).filter((F.col("room") > 0) | F.col("mixed")).select("k1", "room", "mixed")
     own = W.partitionBy("k1").orderBy("holders", "item")
     rows = common.join(live, "k1").withColumn("rank", F.row_number().over(own))
-    behind = own.rowsBetween(1, W.unboundedFollowing)
-    cell = lambda k: F.coalesce(F.sum((F.pmod("item", F.lit(CELLS)) == k).cast("int")).over(behind), F.lit(0)).cast("int")
-    rows = rows.withColumn("tail", F.array(*(cell(k) for k in range(CELLS)))).filter((F.col("rank") <= F.col("room")) | F.col("mixed"))
+    # a running sum taken from the whole: Spark adds frames up to the end anew for each row
+    of_cell = lambda k: (F.pmod("item", F.lit(CELLS)) == k).cast("int")
+    up_to = own.rowsBetween(W.unboundedPreceding, 0)
+    tail = F.array(*((F.sum(of_cell(k)).over(W.partitionBy("k1")) - F.sum(of_cell(k)).over(up_to)).cast("int") for k in range(CELLS)))
+    rows = rows.withColumn("tail", tail).filter((F.col("rank") <= F.col("room")) | F.col("mixed"))
     rows = rows.select("k1", F.col("item").alias("key"), F.when(F.col("mixed"), 1 << 40).otherwise(F.col("rank")).alias("rank"), "tail")
     return rows.join(sets.select("k1", "node", F.col("n_shingles").alias("n")), "k1").select("key", "node", "n", "rank", "tail")
 
