@@ -183,6 +183,20 @@ def metrics(df, name: str) -> list:
     return found
 
 
+def test_a_stretch_of_a_stored_order_reads_few_rows(given, spark, tmp_path):
+    from treelake.operators import sorting as S
+
+    spark.conf.set("parquet.block.size", "20000")
+    S.store_order(given.entries.select(*Q.K, "name", "length"), str(tmp_path / "o"), "size", "name")
+    spark.conf.unset("parquet.block.size")
+    got = S.stretch(spark, str(tmp_path / "o"), 100, 50)
+    rows = got.collect()
+    want = S.ordered(given.entries, "size", "name").limit(149).collect()[99:]
+    assert [r.position for r in rows] == list(range(100, 150)) and [(r.volume, r.node_id, r.link_ix, r.stream_ix) for r in rows] == [(r.volume, r.node_id, r.link_ix, r.stream_ix) for r in want]
+    text = plan(got)
+    assert "GreaterThanOrEqual(position,100)" in text and "LessThanOrEqual(position,149)" in text
+
+
 def test_a_report_is_one_file_in_order(spark, tmp_path):
     df = spark.range(0, 5000, 1, 7).select(F.concat(F.lit("C:\\f"), "id").alias("path"), F.col("id").alias("size"))
     for _ in range(2):

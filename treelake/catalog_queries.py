@@ -532,6 +532,14 @@ def top_k(g):
     return S.top(g.sized, 100, "size").select(*K, "path", "length")
 
 
+@query(f"SELECT * FROM (SELECT {KS}, path, row_number() OVER (ORDER BY length DESC, {KS}) AS position FROM sized) WHERE position BETWEEN 1001 AND 1200", "sized")
+def stretch_of_order(g):
+    """Two hundred hits from the thousandth on, out of an order that is stored."""
+    out = scratch(g.spark)
+    S.store_order(g.sized.select(*K, "path", "length"), out, "size")
+    return S.stretch(g.spark, out, 1001, 200).select(*K, "path", "position")
+
+
 # Sources and sinks ---------------------------------------------------------------------------------------------------
 
 
@@ -597,7 +605,7 @@ def extents_json_chunks(g):
     return R.extents_json(r, X.extent_summary(r), 16)
 
 
-@query("SELECT 'C:' AS volume, CAST(1 + (o_orderkey - 1) // 32768 AS BIGINT) AS bucket, count(*) AS in_use FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL", "")
+@query("SELECT 'C:' AS volume, CAST(1 + o_orderkey // 32768 AS BIGINT) AS bucket, count(*) AS in_use FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL", "")
 def slot_bitmaps(g):
     return X.slot_bitmaps(g.slots).select("volume", "bucket", X.popcount(c("bitmap")).cast("long").alias("in_use"))
 

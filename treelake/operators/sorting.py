@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.attributes import has
@@ -60,5 +60,15 @@ def numbered(hits: DataFrame) -> DataFrame:
     return rows.join(begin, part == F.col("_part")).withColumn("position", position).drop("_at", "_part", "_start")
 
 
+def store_order(hits: DataFrame, path: str, *orders: str, reverse: bool = False) -> None:
+    """Writes the sorted hits with their positions, in their order, so that any stretch of them can be fetched without sorting again."""
+    numbered(ordered(hits, *orders, reverse=reverse)).write.mode("overwrite").parquet(path)
+
+
+def stretch(spark: SparkSession, path: str, first: int, n: int) -> DataFrame:
+    """n hits of a stored order from a position on; the files say which of them hold these."""
+    return spark.read.parquet(path).filter(F.col("position").between(first, first + n - 1)).orderBy("position")
+
+
 def top(hits: DataFrame, k: int, *orders: str, reverse: bool = False) -> DataFrame:
     return ordered(hits, *orders, reverse=reverse).limit(k)

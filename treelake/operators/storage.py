@@ -44,9 +44,9 @@ def popcount(bits: Column) -> Column:
 
 
 def slot_bitmaps(slots: DataFrame) -> DataFrame:
-    """(volume, bucket, bitmap): the slots in use as bitmaps of 32,768 slots each, which can be or-ed; slots count from 1 on."""
-    used = slots.filter("in_use").groupBy("volume", F.bitmap_bucket_number("slot").alias("bucket"))
-    return used.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    """(volume, bucket, bitmap): the slots in use as bitmaps of 32,768 slots each, which can be or-ed; slots count from 0 on, buckets from 1."""
+    used = slots.filter("in_use").groupBy("volume", F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket"))
+    return used.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bitmap"))
 
 
 def verified_extents(ranges: DataFrame, headers: DataFrame) -> DataFrame:
