@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from treelake.llm import bpe, fingerprints, license_scan, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, url_filter
+from treelake.llm import alignment, bpe, divergence, fingerprints, license_scan, mixing, near_dedup, ngram_join, quality, sharding, substring_dedup, suffix_dedup, url_filter
 
 SMALL = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -382,18 +382,39 @@ def test_columns_with_dots_and_clashing_names(spark, labels):
         assert made.count() == 12
 
 
-def test_texts_of_several_megabytes(spark, labels):
+@pytest.fixture(scope="module")
+def long_docs(spark):
     r = random.Random(8)
     long = " ".join(f"w{r.randrange(10**5)}" for _ in range(500_000))
-    docs = spark.createDataFrame([(1, long, "en", "s"), (2, long, "en", "s"), (3, "short one", "en", "s")], "doc_id bigint, text string, lang string, source string")
     assert len(long) > 3 << 20
-    got = {x.doc_id: x for x in near_dedup.grouped(docs, 5).collect()}
-    assert got[2].component_id == 1 and got[1].n_shingles > 499_000
-    assert [x.n for x in substring_dedup.cut_repeats(docs).orderBy("doc_id").select(F.length("_kept").alias("n")).collect()] == [len(long), 0, 9]
-    assert [x.n_tokens > 10**6 for x in bpe.digests(bpe.tokenised(docs)).orderBy("doc_id").collect()] == [True, True, False]
-    assert [len(x.kept) for x in suffix_dedup.without_repeats(docs).orderBy("doc_id").collect()] == [0, 0, 9]
-    assert [x.near_next for x in fingerprints.fingerprinted(docs).orderBy("doc_id").collect()][1] == 1.0
-    assert [x.n_words for x in license_scan.scanned(docs).orderBy("doc_id").collect()] == [500_000, 500_000, 2]
-    assert [x.n_words for x in quality.judged(docs, quality.fitted(docs, labels)).orderBy("doc_id").collect()] == [500_000, 500_000, 2]
-    assert [x.size for x in mixing.mix(docs).orderBy("doc_id").collect()] == [500_000, 500_000, 2]
-    assert sharding.shard(docs).count() == 3
+    return spark.createDataFrame([(1, long, "en", "s"), (2, long, "en", "s"), (3, "short one", "en", "s")], "doc_id bigint, text string, lang string, source string")
+
+
+#: What each operator makes of two equal texts of 3 MB and a short one, by doc_id.
+LONG = {
+    "near_dedup": (lambda d, _: near_dedup.grouped(d, 5), lambda r: (r.component_id, r.n_shingles > 499_000), [(1, True), (1, True), (3, False)]),
+    "ngram_join": (lambda d, _: ngram_join.joined(d, 5), lambda r: (r.component_id, r.n_shingles > 499_000), [(1, True), (1, True), (3, False)]),
+    "substring_dedup": (lambda d, _: substring_dedup.cut_repeats(d), lambda r: len(r._kept) > 3 << 20 or len(r._kept), [True, 0, 9]),
+    "bpe": (lambda d, _: bpe.digests(bpe.tokenised(d)), lambda r: r.n_tokens > 10**6, [True, True, False]),
+    "alignment": (lambda d, _: alignment.compared(d), lambda r: (r.n_a > 10**6, r.n_best > r.n_groups > 499_000), [(True, True), (True, True), (False, False)]),
+    "suffix_dedup": (lambda d, _: suffix_dedup.without_repeats(d), lambda r: len(r.kept), [0, 0, 9]),
+    "license_scan": (lambda d, _: license_scan.scanned(d), lambda r: r.n_words, [500_000, 500_000, 2]),
+    "quality": (lambda d, labels: quality.judged(d, quality.fitted(d, labels)), lambda r: r.n_words, [500_000, 500_000, 2]),
+    "mixing": (lambda d, _: mixing.mix(d), lambda r: r.size, [500_000, 500_000, 2]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_texts_of_several_megabytes(long_docs, labels, name):
+    make, seen, expected = LONG[name]
+    assert [seen(r) for r in make(long_docs, labels).orderBy("doc_id").collect()] == expected
+
+
+def test_sketches_and_shards_of_texts_of_several_megabytes(long_docs):
+    assert [x.near_next for x in fingerprints.fingerprinted(long_docs).orderBy("doc_id").collect()][1] == 1.0
+    assert sharding.shard(long_docs).count() == 3
+
+
+def test_audit_of_texts_of_several_megabytes(long_docs):
+    assert divergence.audited(long_docs, least=2).collect() == []
+    assert divergence.audited(long_docs, least=1).count() == 0
