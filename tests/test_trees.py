@@ -107,10 +107,13 @@ def test_subtree_is_a_pushed_range(given):
 
 
 def test_volumes_come_from_the_folders_names(given, spark, tmp_path):
-    stored = given.catalog.store(str(tmp_path / "c"), given.folders)
+    stored = given.catalog.store(str(tmp_path / "c"), given.folders, parts=9)
     assert stored.volumes() == ["C:", "D:", "E:", "F:", "G:"]
     one = Catalog(given.tables, given.entries.filter("volume = 'D:'").drop("part", "block"))
-    assert one.store(str(tmp_path / "c")).entries.count() == given.entries.count()
+    # another number of parts: none of the earlier ones may stay
+    again = one.store(str(tmp_path / "c"), parts=4)
+    assert again.entries.count() == given.entries.count() == again.entries.select(*Q.K).distinct().count()
+    assert again.search("*.pdf", volumes=["D"]).count() == given.catalog.search("*.pdf", volumes=["D"]).count()
 
 
 @pytest.fixture(scope="module")

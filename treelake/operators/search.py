@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from urllib.parse import unquote
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..catalog import ROOT
 from ..functions.patterns import checked, extension, extension_filter, extension_list, literal_head, literals, matches, pattern_mode, root_prefix, trailing_star, volume_names, with_own_extension
 from ..plans.paths import DATA, SEPARATOR, base_name, entries, folder_links, replace_volumes
-from ..plans.shared import listed, settled
+from ..plans.shared import listed, removed, settled
 from .trigrams import BLOCK, in_blocks, narrowed, postings
 
 
@@ -67,17 +68,25 @@ class Catalog:
     def store(self, path: str, folders: DataFrame | None = None, parts: int | None = None, names: int = 1 << 20, grams: bool = False, block: int = BLOCK) -> Catalog:
         """Replaces the volumes of this catalog in the stored tables; other volumes there stay.
 
+        Each call names its parts anew; a volume's earlier parts are deleted when the new ones are there.
         folders: paths with intervals, which ``subtree`` needs; parts: ranges of paths, otherwise as Spark deals them; names:
         different names that a file's Bloom filter is made for; grams: with postings; block: entries of one posting.
         """
         rows = with_lower_case(self.entries)
         rows = rows.repartitionByRange(parts, "volume", "path_lc") if parts else rows.repartitionByRange("volume", "path_lc")
-        rows = rows.sortWithinPartitions("volume", "path_lc").withColumns({"part": F.spark_partition_id(), "block": in_blocks(block)})
+        call = uuid.uuid4().hex[:12]
+        part = F.concat(F.lit(f"{call}-"), F.lpad(F.spark_partition_id().cast("string"), 6, "0"))
+        rows = rows.sortWithinPartitions("volume", "path_lc").withColumns({"part": part, "block": in_blocks(block)})
         bloom = {"parquet.bloom.filter.enabled#name_lc": "true", "parquet.bloom.filter.expected.ndv#name_lc": str(names)}
         replace_volumes(rows, f"{path}/entries", "part", **bloom)
         if folders is not None:
             replace_volumes(folders.select("volume", "node_id", "path", "depth", "lo", "hi").repartition("volume").sortWithinPartitions("volume", "node_id"), f"{path}/folders")
         spark = rows.sparkSession
+        for volume in listed(spark, f"{path}/entries"):
+            parts_ = listed(spark, f"{path}/entries/{volume}") if volume.startswith("volume=") else []
+            if any(p.startswith(f"part={call}-") for p in parts_):
+                for old in (p for p in parts_ if not p.startswith(f"part={call}-")):
+                    removed(spark, f"{path}/entries/{volume}/{old}")
         if grams:
             volumes = [r.volume for r in self.entries.select("volume").distinct().collect()]
             replace_volumes(postings(spark.read.parquet(f"{path}/entries").filter(F.col("volume").isin(volumes))), f"{path}/postings")

@@ -30,3 +30,9 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what lies at a path, on any file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
