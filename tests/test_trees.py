@@ -141,7 +141,7 @@ def test_postings_leave_files_out(given, posted):
 
 def test_literals_of_patterns():
     assert P.regex_literals(r"abc+def?gh") == ["abc", "de", "gh"] and P.regex_literals(r".*_[0-9]*7\.(pdf|jpg)") == ["_", "7."]
-    assert P.regex_literals(r"(?i)abc") == P.regex_literals("foo|bar") == P.regex_literals(r"\Qa.b\E") == []
+    assert P.regex_literals(r"(?i)abc") == P.regex_literals("foo|bar") == P.regex_literals(r"\Qa.b\E") == P.regex_literals("[a[bc]]def") == []
     assert P.regex_literals(r"[]a]bcd(e[)]f)ghi") == ["bcd", "ghi"] and P.regex_literals("a{2}bcd") == ["bcd"]
     assert P.literals("?:\\NATION_1*\\**\\order_*.pdf") == [".pdf", ":\\nation_1", "\\", "\\order_"] and P.literals("é*abc") == ["abc"]
     r = random.Random(3)

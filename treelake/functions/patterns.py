@@ -125,7 +125,7 @@ def literal_head(pattern: str) -> str:
 def regex_literals(regex: str) -> list[str]:
     """Runs of plain characters that every match has, outside of groups and classes; none where an unusual construct makes that unsure."""
     out, run, i = [], "", 0
-    if re.search(r"\(\?(?!:)|\\[QExupPc0NRXkG]|&&", regex):
+    if re.search(r"\(\?(?!:)|\\[QExupPc0NRXkG]|&&|\[[^\]]*\[", regex):
         return []
     while i < len(regex):
         c = regex[i]

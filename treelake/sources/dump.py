@@ -62,8 +62,10 @@ def with_scheme(path: str) -> str:
     return re.sub(r"^(\w+):/(?!/)", r"\1:///", path)
 
 
-def records(files: DataFrame, per_part: int = RECORDS_PER_PART) -> DataFrame:
-    """volume (file name), slot, record of all dumps in files (path); pieces of so many records are dealt over the tasks."""
+def records(files: DataFrame, per_part: int = RECORDS_PER_PART, tasks: int | None = None) -> DataFrame:
+    """volume (file name), slot, record of all dumps in files (path); pieces of so many records are dealt over the tasks, as many as shuffles have partitions if not told."""
+    # a number, as Spark would put the pieces, which are small rows before they are read, into one task
+    tasks = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +88,7 @@ def records(files: DataFrame, per_part: int = RECORDS_PER_PART) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([volume] * n, pa.string()), pa.array(range(k, k + n), pa.int64()), pa.array(rows, pa.binary())], ["volume", "slot", "record"])
 
     cut = files.select("path").mapInArrow(pieces, "path string, size bigint, first bigint, count bigint")
-    return cut.repartition("path", "first").mapInArrow(read, "volume string, slot bigint, record binary")
+    return cut.repartition(tasks, "path", "first").mapInArrow(read, "volume string, slot bigint, record binary")
 
 
 def read_dump(spark: SparkSession, *paths: str, per_part: int = RECORDS_PER_PART) -> DataFrame:
