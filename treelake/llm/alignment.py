@@ -39,7 +39,7 @@ from .bpe import byte_letters
 from .common import settle, table
 
 #: Classes that A's ids are dealt to; runs that are merged together; runs that stream past one copy of the counts.
-RADIX, RUNS, STREAM = 16, 64, 256
+RADIX, RUNS, STREAM = 16, 64, 64
 #: Bytes of text that are aligned at once; links of a group beyond which it is counted by distinct ids.
 BATCH_BYTES, WIDE = 4 << 20, 1 << 16
 #: Segments of text that a Python worker remembers for B, and their length at most.
