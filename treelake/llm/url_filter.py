@@ -129,18 +129,23 @@ def classified(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     if redirects is not None:
         ends = redirects.select(address(F.col("from_url")).alias("a"), "to_url")
         linked = linked.unionByName(ends.select("a", resolved(F.col("to_url"), F.col("a")).alias("b")))
-    nodes = seen.select(F.col("address").alias("a")).unionByName(linked.select(F.explode(F.array("a", "b")).alias("a")))
-    edges = linked.unionByName(nodes.select("a", normal_address(F.col("a")).alias("b")))
-    edges = edges.filter(F.col("a") != F.col("b")).distinct()
-    classes = connected_components(edges, "string")
-    # the words of all rules that hold within a class, be its addresses pages or not; one outside the classes has no aliases.
+    linked = settle(linked.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct())
+    nodes = seen.select(F.col("address").alias("node")).unionByName(linked.select(F.explode(F.array("a", "b")).alias("node")))
+    nodes = nodes.filter(F.col("node").isNotNull()).distinct().withColumn("key", normal_address(F.col("node")))
+    # an address stands in the class of its normal form by itself; what is left to connect are the ends of links, and
+    # normal forms that are addresses and have another normal form
+    forms = nodes.select(F.col("key").alias("node")).distinct().filter(normal_address(F.col("node")) != F.col("node")).join(nodes, "node", "left_semi")
+    edges = linked.select(normal_address(F.col("a")).alias("a"), normal_address(F.col("b")).alias("b")).unionByName(forms.select(F.col("node").alias("a"), normal_address(F.col("node")).alias("b")))
+    classes = connected_components(edges, "string").withColumnRenamed("node", "key")
+    # the words of all rules that hold within a class, be its addresses pages or not.
     # A normal form is judged in the spellings that lead to it, as rules may end in the slash that it lacks.
     host, path = node_host(F.col("node")), node_path(F.col("node"))
     fit = F.coalesce(fitting_rule(host, path, rules), fitting_rule(normal_host(host), without_dots(path), rules))
-    judged = nodes.filter(F.col("a").isNotNull()).select(F.col("a").alias("node")).distinct().withColumn("fit", fit).filter(F.col("fit").isNotNull()).join(classes, "node")
+    judged = nodes.withColumn("fit", fit).filter(F.col("fit").isNotNull()).join(classes, "key", "left").withColumn("component", F.coalesce("component", "key"))
     votes = judged.groupBy("component").agg(F.max(F.col("fit.verdict") == "allow").alias("any_allowed"), F.max(F.col("fit.verdict") == "block").alias("any_blocked"))
-    by_address = classes.join(votes.filter(F.col("any_blocked") & ~F.col("any_allowed")), "component").select(F.col("node").alias("address"), F.lit(True).alias("blocked"))
-    free = seen.filter(F.col("fit").isNull()).join(by_address, "address", "left")
+    blocked = votes.filter(F.col("any_blocked") & ~F.col("any_allowed")).select("component", F.lit(True).alias("blocked"))
+    free = seen.filter(F.col("fit").isNull()).withColumn("key", normal_address(F.col("address"))).join(classes, "key", "left")
+    free = free.withColumn("component", F.coalesce("component", "key")).join(blocked, "component", "left")
     out = free.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("blocked"), "block").otherwise("allow").alias("verdict"))
     return out.unionByName(seen.filter(F.col("fit").isNotNull()).select("page_id", "host", "path", "fit.rule", "fit.verdict"))
 
