@@ -75,7 +75,7 @@ def write_report(report: DataFrame, path: str, separator: str = ",", quote: str
 
 
 def one_file(lines: DataFrame, path: str, head: str | None = None, end: str = "\n") -> None:
-    """All lines, in their order, as one file on any file system, with a line in front if there is one.
+    """All lines, in their order, as one file on any file system that Arrow opens, with a line in front if there is one.
 
     Spark's tasks write the parts; one task then joins these, by pieces of CHUNK bytes, into a file beside the wanted one,
     which it renames, so that a task that fails or runs twice leaves nothing half done. Nothing passes through the driver.
@@ -101,6 +101,8 @@ def one_file(lines: DataFrame, path: str, head: str | None = None, end: str = "\
                         with files.open_input_stream(name) as part:
                             while piece := part.read(CHUNK):
                                 out.write(piece)
+                if files.get_file_info(target).type != fs.FileType.NotFound:
+                    files.delete_file(target)
                 files.move(aside, target)
             yield batch
 
