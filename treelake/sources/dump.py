@@ -7,7 +7,8 @@ another version, a compressed one and one shorter than its header says are refus
 its kind needs is left out.
 
 Spark lists the files, tasks read the headers and cut the dumps into pieces, and other tasks read these; the driver opens
-none. The same goes for dumps that arrive in a folder, as a stream. Paths with a scheme are opened by Arrow's file systems,
+none. The same goes for dumps that arrive in a folder, as a stream. Where there are many thousands of them, stored lists of
+their paths take the place of Spark's listing, which costs the driver a path and Spark a task for each file of a pattern. Paths with a scheme are opened by Arrow's file systems,
 others are local.
 """
 
@@ -103,6 +104,16 @@ def stream_dumps(spark: SparkSession, folder: str, pattern: str = "*.dump", per_
     return records(reader.load(folder).select("path"), per_part)
 
 
+def stream_listed_dumps(spark: SparkSession, folder: str, per_part: int = RECORDS_PER_PART, per_step: int | None = None) -> DataFrame:
+    """The same of dumps named by Parquet lists (path) that arrive in a folder, each list once; per_step: lists that a step takes at most.
+
+    For very many dumps: a step's work on the driver goes by lists, not by dumps. A list comes when its dumps are whole.
+    """
+    reader = spark.readStream.schema("path string")
+    reader = reader.option("maxFilesPerTrigger", per_step) if per_step else reader
+    return records(reader.parquet(folder), per_part)
+
+
 def repaired(record: bytes, sector: int = 512) -> bytes | None:
     """The record with the last two bytes of its sectors put back; None if signature or sector marks are wrong or it isn't in use."""
     if len(record) < 48 or record[:4] != b"FILE":
