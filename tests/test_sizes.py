@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import os
 
-import pytest
-from pyspark.sql import functions as F
-
 from treelake import catalog_queries as Q
 from treelake import dump_queries
+from treelake.operators import sorting as S
 from treelake.sources import dump as D
 from treelake.streaming.standing import run_available
 
@@ -39,3 +37,14 @@ def test_a_step_takes_lists_of_dumps(spark, tmp_path):
     got = run_available(arrived, f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
     assert got.count() == got.distinct().count() == 90
     assert sum(not f.startswith(".") for f in os.listdir(tmp_path / "ck" / "commits")) == 2
+
+
+def test_sort_keys_are_columns(spark):
+    """A comparison reads keys; it computes none. The order of paths is that of their components."""
+    names = ["a", "a\x00", "a\x01", "a\x01\x02", "a\x01\x01b", "a b", "", "B", "\x02"]
+    paths = [f"C:\\{x}\\{y}" for x in names for y in names] + [f"C:\\{x}" for x in names]
+    rows = spark.createDataFrame([("C:", p, "n.pdf", 0) for p in paths], "volume string, path string, name string, attrs int")
+    for order in ("path", "type"):
+        sort = next(line for line in plan_of(S.ordered(rows, order)).splitlines() if "Sort [" in line)
+        assert "split(" not in sort and "regexp" not in sort and "CASE" not in sort
+    assert [r.path for r in S.ordered(rows, "path").collect()] == sorted(paths, key=lambda p: p.split("\\"))

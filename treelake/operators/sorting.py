@@ -12,6 +12,11 @@ from ..plans.shared import settled
 TIES = ("volume", "node_id", "link_ix", "stream_ix")
 
 
+def path_key(path: Column) -> Column:
+    """A text in the order of the path's components: the separator comes before all other characters, also control characters."""
+    return F.replace(F.replace(F.replace(path, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01")), F.lit("\\"), F.lit("\x00"))
+
+
 def keys(order: str) -> list[tuple[Column, bool]]:
     """The columns of an order and whether each ascends."""
     c = F.col
@@ -20,7 +25,7 @@ def keys(order: str) -> list[tuple[Column, bool]]:
         return [(has(c("attrs"), flag), False)]
     known = {
         "name": lambda: [(c("name"), True)],
-        "path": lambda: [(c("volume"), True), (F.split("path", r"\\"), True)],
+        "path": lambda: [(c("volume"), True), (path_key(c("path")), True)],
         "type": lambda: [(file_type(c("name"), c("attrs")), True)],
         "size": lambda: [(c("length"), False)],
         "saved": lambda: [(c("length") - c("allocated"), False)],
@@ -40,9 +45,14 @@ def keys(order: str) -> list[tuple[Column, bool]]:
 
 
 def ordered(hits: DataFrame, *orders: str, reverse: bool = False) -> DataFrame:
-    """Sorted by each of the orders in turn; reverse turns the first one round. Ties stay as they are."""
+    """Sorted by each of the orders in turn; reverse turns the first one round. Ties stay as they are.
+
+    Keys are columns before the sort, which would otherwise compute them again at each comparison.
+    """
     by = [(k, up != (reverse and n == 0)) for n, o in enumerate(orders) for k, up in keys(o)]
-    return hits.orderBy(*(k.asc() if up else k.desc() for k, up in by), *(t for t in TIES if t in hits.columns))
+    rows = hits.withColumns({f"_key{i}": k for i, (k, _) in enumerate(by)})
+    keyed = [F.col(f"_key{i}").asc() if up else F.col(f"_key{i}").desc() for i, (_, up) in enumerate(by)]
+    return rows.orderBy(*keyed, *(t for t in TIES if t in hits.columns)).select(*(F.col(f"`{n}`") for n in hits.columns))
 
 
 def numbered(hits: DataFrame) -> DataFrame:
