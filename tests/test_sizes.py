@@ -7,6 +7,7 @@ import os
 from treelake import catalog_queries as Q
 from treelake import dump_queries
 from treelake.operators import sorting as S
+from treelake.plans import shared
 from treelake.sources import dump as D
 from treelake.streaming.standing import run_available
 
@@ -48,3 +49,21 @@ def test_sort_keys_are_columns(spark):
         sort = next(line for line in plan_of(S.ordered(rows, order)).splitlines() if "Sort [" in line)
         assert "split(" not in sort and "regexp" not in sort and "CASE" not in sort
     assert [r.path for r in S.ordered(rows, "path").collect()] == sorted(paths, key=lambda p: p.split("\\"))
+
+
+def test_a_lone_projection_or_search_stores_no_catalog(spark):
+    g = Q.Given(spark, SMALL)
+    for name in ("file_type", "stream_mode", "sort_type"):
+        df = Q.registered()[name][0](g)
+        assert "catalog" not in g.__dict__
+    assert df.count() == g.entries.count()
+    plan = g.entries.select("accessed_ft")._jdf.queryExecution().optimizedPlan().toString()
+    used = "".join(line for line in plan.splitlines() if "Relation [" not in line)
+    assert "written_ft" not in used and "dir_path" not in used
+
+
+def test_parts_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    g = Q.Given(spark, SMALL)
+    rows = spark.read.parquet(g.tables["streams"].inputFiles()[0].rpartition("/")[0]).count()
+    assert g.tables.parts == g.tables["links"].rdd.getNumPartitions() == -(-rows // 100) > 8

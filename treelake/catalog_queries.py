@@ -21,7 +21,7 @@ from .plans import paths as J
 from .plans import rollup as G
 from .plans.intervals import intervals
 from .plans.refresh import refreshed
-from .plans.shared import listed, scratch, settled
+from .plans.shared import listed, parts_for, scratch, settled
 from .sources import reports as R
 from .streaming.standing import run_available, standing_paths, standing_search
 
@@ -30,22 +30,34 @@ KS = ", ".join(K)
 
 
 class Base(dict):
-    """The tables of the derived catalog; links, nodes and streams are written when one of them is first asked for."""
+    """The tables of the derived catalog; links, nodes and streams are written when one of them is first asked for, and dealt by node wherever they are read.
+
+    They are dealt into as many parts as the streams need, so that a task's rows stay as few however large the catalog is:
+    left to itself Spark fills tasks by their compressed bytes, of which these rows have few.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, text: dict[str, str] = C.TEXT):
         self.derived = C.derived(spark, sf_dir, text)
 
     def __missing__(self, name: str) -> DataFrame:
         df = self.derived[name]
-        self[name] = settled(df) if name in ("links", "nodes", "streams") else df
-        return self[name]
+        if name in ("links", "nodes", "streams"):
+            df = settled(df)
+            if name == "streams":
+                # links and nodes are fewer
+                self.parts = parts_for(df)
+            elif "streams" not in self:
+                self["streams"]
+            df = df.repartition(self.parts, "volume", "node_id")
+        self[name] = df
+        return df
 
 
 class Given:
     """The derived catalog of one folder of tables, each part built when a query first asks for it.
 
     Within a session the parts stay: the tables, the folders, the stored catalog that searches read, and the totals that
-    listings show. What an operator's own query measures is computed each time.
+    listings show. Only what reads the stored catalog's own order, parts or postings has it stored. What an operator's own query measures is computed each time.
     """
 
     kept: dict[tuple[str, str], Given] = {}
@@ -89,7 +101,13 @@ class Given:
 
     @property
     def entries(self) -> DataFrame:
-        return self.catalog.entries
+        """The stored entries where a query has had them stored; otherwise the joins, of which a query carries the columns that it needs."""
+        return self.catalog.entries if "catalog" in self.__dict__ else J.entries(self.tables, self.folders)
+
+    @property
+    def searched(self) -> Catalog:
+        """The stored catalog where there is one; otherwise one over the joins, as a single search costs less than storing all columns."""
+        return self.catalog if "catalog" in self.__dict__ else Catalog(self.tables, self.entries)
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -191,7 +209,7 @@ def hits_of(name: str, where: str, **search) -> None:
     pattern = search.pop("pattern", "")
 
     def f(g: Given) -> DataFrame:
-        return g.catalog.search(pattern, **search).select(*K, "path")
+        return g.searched.search(pattern, **search).select(*K, "path")
 
     f.__name__ = name
     query(f"SELECT {KS}, path FROM entries WHERE {where}" + ("" if search.get("metadata") else f" AND {OWN}"))(f)

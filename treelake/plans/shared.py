@@ -36,3 +36,12 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes what lies at a path, on any file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of a task that joins or sorts.
+TASK_ROWS = 1 << 19
+
+
+def parts_for(stored: DataFrame) -> int:
+    """Parts to deal a stored table into: as many as shuffles have, or more, so that each has about so many rows at most. Parquet's footers tell the rows."""
+    return max(int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored.count() // TASK_ROWS))
