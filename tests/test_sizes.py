@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from treelake import catalog_queries as Q
 from treelake import dump_queries
 from treelake.operators import sorting as S
+from treelake.operators import trigrams
 from treelake.plans import shared
 from treelake.sources import dump as D
 from treelake.streaming.standing import run_available
@@ -67,3 +70,13 @@ def test_parts_grow_with_rows(spark, monkeypatch):
     g = Q.Given(spark, SMALL)
     rows = spark.read.parquet(g.tables["streams"].inputFiles()[0].rpartition("/")[0]).count()
     assert g.tables.parts == g.tables["links"].rdd.getNumPartitions() == -(-rows // 100) > 8
+
+
+def test_postings_make_the_grams_of_a_folder_once_per_block(spark):
+    """The same grams as of whole paths, from pieces of them."""
+    paths = [("C:\\", "C:\\"), ("C:\\", "C:\\a.pdf"), ("C:\\\u03a3\u03a3\\", "C:\\\u03a3\u03a3\\\u03a3x:s\u0130"), ("C:\\ab\\", "C:\\ab\\"), (None, "C:\\lost"), ("C:\\ab\\", "C:\\ab\\cd:s2")]
+    rows = spark.createDataFrame([("C:", "p", 0, d, x) for d, x in paths], "volume string, part string, block long, dir_path string, path string")
+    made = trigrams.postings(rows)
+    whole = rows.select(F.explode(trigrams.grams(trigrams.folded(F.col("path")))).alias("gram")).distinct()
+    assert sorted(r.gram for r in made.collect()) == sorted(r.gram for r in whole.collect())
+    assert "piece" in plan_of(made)

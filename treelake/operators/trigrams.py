@@ -35,7 +35,11 @@ def folded(path: Column) -> Column:
 
 def postings(entries: DataFrame) -> DataFrame:
     """(volume, gram, part, block), in the order of the grams within each volume."""
-    rows = entries.select("volume", "part", "block", F.explode(grams(folded(F.col("path")))).alias("gram")).distinct()
+    # neighbours share their folder, so its grams are made once per block; its last two characters go before the rest
+    whole = entries.select("volume", "part", "block", folded(F.col("path")).alias("text"), F.coalesce(F.length("dir_path"), F.lit(0)).alias("at"))
+    rest = F.substring("text", F.greatest(F.col("at") - 1, F.lit(1)), F.length("text"))
+    pieces = whole.select("volume", "part", "block", F.explode(F.array(F.substring("text", F.lit(1), F.col("at")), rest)).alias("piece")).distinct()
+    rows = pieces.select("volume", "part", "block", F.explode(grams(F.col("piece"))).alias("gram")).distinct()
     return rows.repartitionByRange("volume", "gram").sortWithinPartitions("volume", "gram", "block")
 
 
