@@ -80,3 +80,8 @@ def test_postings_make_the_grams_of_a_folder_once_per_block(spark):
     whole = rows.select(F.explode(trigrams.grams(trigrams.folded(F.col("path")))).alias("gram")).distinct()
     assert sorted(r.gram for r in made.collect()) == sorted(r.gram for r in whole.collect())
     assert "piece" in plan_of(made)
+
+
+def test_attributes_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    assert Q.Given(spark, SMALL).tables["attributes"].rdd.getNumPartitions() > 8

@@ -30,9 +30,9 @@ KS = ", ".join(K)
 
 
 class Base(dict):
-    """The tables of the derived catalog; links, nodes and streams are written when one of them is first asked for, and dealt by node wherever they are read.
+    """The tables of the derived catalog; all but volumes are written when first asked for, and dealt by node wherever they are read.
 
-    They are dealt into as many parts as the streams need, so that a task's rows stay as few however large the catalog is:
+    They are dealt into as many parts as the streams, or the attributes, need, so that a task's rows stay as few however large the catalog is:
     left to itself Spark fills tasks by their compressed bytes, of which these rows have few.
     """
 
@@ -41,7 +41,10 @@ class Base(dict):
 
     def __missing__(self, name: str) -> DataFrame:
         df = self.derived[name]
-        if name in ("links", "nodes", "streams"):
+        if name == "attributes":
+            df = settled(df)
+            df = df.repartition(parts_for(df), "volume", "node_id")
+        elif name in ("links", "nodes", "streams"):
             df = settled(df)
             if name == "streams":
                 # links and nodes are fewer
