@@ -10,7 +10,7 @@ from treelake import catalog_queries as Q
 from treelake import dump_queries
 from treelake.operators import sorting as S
 from treelake.operators import trigrams
-from treelake.plans import shared
+from treelake.plans import rollup, shared
 from treelake.sources import dump as D
 from treelake.streaming.standing import run_available
 
@@ -85,3 +85,46 @@ def test_postings_make_the_grams_of_a_folder_once_per_block(spark):
 def test_attributes_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(shared, "TASK_ROWS", 100)
     assert Q.Given(spark, SMALL).tables["attributes"].rdd.getNumPartitions() > 8
+
+
+def below(plan: str, line: int) -> str:
+    """What of a printed plan stands under a line."""
+    lines = plan.splitlines()
+    depth = lambda text: len(text) - len(text.lstrip(" :+-*()0123456789"))
+    end = next((n for n in range(line + 1, len(lines)) if depth(lines[n]) <= depth(lines[line])), len(lines))
+    return "\n".join(lines[line + 1 : end])
+
+
+def test_streams_are_joined_in_parts_that_grow(spark, monkeypatch):
+    """Also those of the folders themselves, of which a semi join would go below the dealing."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    g = Q.Given(spark, SMALL)
+    assert g.parts > 8
+    made = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sums = rollup.direct_sums(g.tables, g.folders)._jdf.queryExecution().sparkPlan().toString()
+        assert "LeftSemi" not in sums
+        plan = g.sized._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", made)
+    # links come to their folders before the streams come to them, so the many rows are dealt once
+    dealt = [n for n, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line and "stream_ix" in below(plan, n)]
+    assert len(dealt) == 1
+
+
+def test_lines_and_files_are_dealt_and_joined_once(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    g = Q.Given(spark, SMALL)
+    plan = g.tables.derived["streams"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in plan and "o_custkey" not in plan
+
+
+def test_a_stored_order_has_parts_that_grow(spark, tmp_path):
+    g = Q.Given(spark, SMALL)
+    hits = g.sized.select(*Q.K, "length")
+    assert S.ordered(hits, "size", parts=20).rdd.getNumPartitions() == 20
+    S.store_order(hits, f"file://{tmp_path}/o", "size", parts=20)
+    rows = spark.read.parquet(f"file://{tmp_path}/o")
+    want = [tuple(r) for r in S.ordered(g.sized.select(*Q.K, "length"), "size").collect()]
+    assert [tuple(r)[:5] for r in rows.orderBy("position").collect()] == want

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "orders", "lineitem")
+NAMES = ("volumes", "links", "streams", "nodes", "attributes")
 ROOT = 5
 
 _FT = "CAST({micros}(CAST({x} AS TIMESTAMP)) * 10 + 116444736000000000 AS BIGINT)"
@@ -76,8 +77,15 @@ def prefix(text: dict[str, str] = TEXT) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({t})" for name, t in filled("epoch_us", text).items())
 
 
-def derived(spark: SparkSession, sf_dir: str, text: dict[str, str] = TEXT) -> dict[str, DataFrame]:
-    """volumes, links, streams, nodes and attributes of the derived catalog."""
+def derived(spark: SparkSession, sf_dir: str, text: dict[str, str] = TEXT, stored: dict[str, str] | None = None, parts: int | None = None, names: tuple[str, ...] = NAMES) -> dict[str, DataFrame]:
+    """volumes, links, streams, nodes and attributes of the derived catalog, or other parts of it.
+
+    stored: paths of parts that are written already. parts: how many to deal the order lines into, by order, before they are grouped and joined by it.
+    """
     texts = filled("unix_micros", text)
-    ctes = ",\n".join([*(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES), *(f"{n} AS ({x})" for n, x in texts.items())])
-    return {name: spark.sql(f"WITH {ctes} SELECT * FROM {name}") for name in ("volumes", "links", "streams", "nodes", "attributes")}
+    given = {t: f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
+    if parts:
+        given["lineitem"] = given["lineitem"].replace("*", f"/*+ REPARTITION({parts}, l_orderkey) */ *")
+    ctes = given | texts | {name: f"SELECT * FROM parquet.`{path}`" for name, path in (stored or {}).items()}
+    ctes = ",\n".join(f"{name} AS ({t})" for name, t in ctes.items())
+    return {name: spark.sql(f"WITH {ctes} SELECT * FROM {name}") for name in names}

@@ -37,7 +37,15 @@ class Base(dict):
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, text: dict[str, str] = C.TEXT):
-        self.derived = C.derived(spark, sf_dir, text)
+        self.spark, self.dir, self.text = spark, sf_dir, text
+
+    @cached_property
+    def derived(self) -> dict[str, DataFrame]:
+        """The files are joined once and written, as three tables read them; order lines are dealt by order, which their groups and joins then share."""
+        lines = parts_for(self.spark.read.parquet(f"{self.dir}/lineitem.parquet"))
+        path = scratch(self.spark)
+        C.derived(self.spark, self.dir, self.text, names=("files",))["files"].write.parquet(path)
+        return C.derived(self.spark, self.dir, self.text, {"files": path}, lines)
 
     def __missing__(self, name: str) -> DataFrame:
         df = self.derived[name]
@@ -51,6 +59,8 @@ class Base(dict):
                 self.parts = parts_for(df)
             elif "streams" not in self:
                 self["streams"]
+            if name == "links":
+                self["undealt_links"] = df
             df = df.repartition(self.parts, "volume", "node_id")
         self[name] = df
         return df
@@ -92,6 +102,12 @@ class Given:
     def tables(self) -> dict[str, DataFrame]:
         return Base(self.spark, self.dir)
 
+    @property
+    def parts(self) -> int:
+        """Into how many parts rows of about the number of the streams are dealt."""
+        self.tables["streams"]
+        return self.tables.parts
+
     @cached_property
     def folders(self) -> DataFrame:
         """All folders with their paths and intervals."""
@@ -524,7 +540,7 @@ def sorted_by(name: str, order: list[str], shown: str, sql: str, of: str = "entr
         wanted = ["attrs", "name", "path", "length", "allocated", "bulkiness", "treesize", "written_ft", "depth"]
         rows = getattr(g, of)
         hits = rows.select(*K, *(w for w in wanted if w in rows.columns))
-        return S.numbered(S.ordered(hits, *order, reverse=reverse).select(*K, shown))
+        return S.numbered(S.ordered(hits, *order, reverse=reverse, parts=g.parts).select(*K, shown))
 
     f.__name__ = name
     query(f"SELECT {KS}, {shown}, row_number() OVER (ORDER BY {sql}, {KS}) AS position FROM {of}", of)(f)
@@ -557,7 +573,7 @@ def top_k(g):
 def stretch_of_order(g):
     """Two hundred hits from the thousandth on, out of an order that is stored."""
     out = scratch(g.spark)
-    S.store_order(g.sized.select(*K, "path", "length"), out, "size")
+    S.store_order(g.sized.select(*K, "path", "length"), out, "size", parts=g.parts)
     return S.stretch(g.spark, out, 1001, 200).select(*K, "path", "position")
 
 

@@ -44,15 +44,18 @@ def keys(order: str) -> list[tuple[Column, bool]]:
     return known[order]()
 
 
-def ordered(hits: DataFrame, *orders: str, reverse: bool = False) -> DataFrame:
+def ordered(hits: DataFrame, *orders: str, reverse: bool = False, parts: int | None = None) -> DataFrame:
     """Sorted by each of the orders in turn; reverse turns the first one round. Ties stay as they are.
 
-    Keys are columns before the sort, which would otherwise compute them again at each comparison.
+    Keys are columns before the sort, which would otherwise compute them again at each comparison. parts: into how many
+    ranges to deal the rows, where shuffles have too few for them.
     """
     by = [(k, up != (reverse and n == 0)) for n, o in enumerate(orders) for k, up in keys(o)]
     rows = hits.withColumns({f"_key{i}": k for i, (k, _) in enumerate(by)})
     keyed = [F.col(f"_key{i}").asc() if up else F.col(f"_key{i}").desc() for i, (_, up) in enumerate(by)]
-    return rows.orderBy(*keyed, *(t for t in TIES if t in hits.columns)).select(*(F.col(f"`{n}`") for n in hits.columns))
+    keyed += [F.col(t) for t in TIES if t in hits.columns]
+    rows = rows.repartitionByRange(parts, *keyed).sortWithinPartitions(*keyed) if parts else rows.orderBy(*keyed)
+    return rows.select(*(F.col(f"`{n}`") for n in hits.columns))
 
 
 def numbered(hits: DataFrame) -> DataFrame:
@@ -70,9 +73,9 @@ def numbered(hits: DataFrame) -> DataFrame:
     return rows.join(begin, part == F.col("_part")).withColumn("position", position).drop("_at", "_part", "_start")
 
 
-def store_order(hits: DataFrame, path: str, *orders: str, reverse: bool = False) -> None:
+def store_order(hits: DataFrame, path: str, *orders: str, reverse: bool = False, parts: int | None = None) -> None:
     """Writes the sorted hits with their positions, in their order, so that any stretch of them can be fetched without sorting again."""
-    numbered(ordered(hits, *orders, reverse=reverse)).write.mode("overwrite").parquet(path)
+    numbered(ordered(hits, *orders, reverse=reverse, parts=parts)).write.mode("overwrite").parquet(path)
 
 
 def stretch(spark: SparkSession, path: str, first: int, n: int) -> DataFrame:

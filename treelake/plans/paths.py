@@ -76,17 +76,20 @@ def stream_suffix(type_id: Column, stream_name: Column) -> Column:
 def entries(catalog: dict[str, DataFrame], folders: DataFrame | None = None) -> DataFrame:
     """One row per link and stream of every node that the root reaches, with path, name, depth, sizes, times and flags.
 
-    Links, nodes and streams are dealt by node once; the folders' paths come to them in one join. folders: as made by
-    folder_paths, if they are there already; with their intervals, ``pos`` is the beginning of the folder that a link is in.
+    The folders' paths come to the links in one join, and only then are these dealt by node, to which nodes and streams are
+    joined; the rows, which are many more, stay dealt so. folders: as made by folder_paths, if they are there already; with
+    their intervals, ``pos`` is the beginning of the folder that a link is in. A catalog that holds its links dealt by node
+    may have them as ``undealt_links`` too, which saves the first dealing.
     """
     links, streams, nodes = (catalog[t] for t in ("links", "streams", "nodes"))
     folders = folder_paths(links, nodes) if folders is None else folders
+    links = catalog.get("undealt_links", links)
     # a node has few links and streams
     of_node = W.partitionBy("volume", "node_id")
     streams = streams.withColumn("n_streams", F.count(F.lit(1)).over(of_node).cast("int"))
     links = links.withColumn("n_links", F.count(F.lit(1)).over(of_node).cast("int"))
     above = folders.select("volume", F.col("node_id").alias("parent_id"), F.col("path").alias("dir_path"), F.col("depth").alias("above"), *([F.col("lo").alias("pos")] if "lo" in folders.columns else []))
-    out = links.join(nodes, ["volume", "node_id"]).join(streams, ["volume", "node_id"]).join(above, ["volume", "parent_id"])
+    out = links.join(above, ["volume", "parent_id"]).join(nodes, ["volume", "node_id"]).join(streams, ["volume", "node_id"])
     root = F.col("node_id") == ROOT
     base = F.when(root, F.col("dir_path")).otherwise(F.concat("dir_path", "name", F.when(F.col("is_dir"), SEPARATOR).otherwise("")))
     suffix = stream_suffix(F.col("type_id"), F.col("stream_name"))
