@@ -55,15 +55,31 @@ def part_of(tables: Tables, folders: DataFrame) -> Tables:
     """The tables of the files in some folders, with all their links, and of these folders themselves; links count in the wanted folders only by a filter of the caller."""
     inside = tables["links"].join(folders.select("volume", F.col("node_id").alias("parent_id")), ["volume", "parent_id"], "left_semi").select(*KEY)
     wanted = settled(inside.unionByName(folders.select(*KEY)).distinct())
-    return {**tables, **{t: tables[t].join(wanted, KEY, "left_semi") for t in CONTENT}}
+    # inner joins, as semi joins would be pushed below the dealing of the tables; wanted has each key once
+    return {**tables, **{t: tables[t].join(wanted, KEY) for t in CONTENT}}
 
 
 def sums_of(tables: Tables, folders: DataFrame, wanted: DataFrame) -> DataFrame:
     """Ids and direct sums of those of the wanted folders that are among folders."""
-    sums = direct_sums(part_of(tables, wanted), wanted).join(wanted, KEY, "left_semi")
+    sums = direct_sums(part_of(tables, wanted)).join(wanted, KEY, "left_semi")
     return folders.select(*KEY, "ids").join(wanted, KEY, "left_semi").join(sums, KEY, "left").fillna(0, SUMS)
 
 
+def reserved(tables: Tables, sign: int) -> DataFrame:
+    """What the roots' totals have beyond the sums below them."""
+    kept = {"allocated": F.col("reserved_clusters") * F.col("cluster_size") * sign}
+    return tables["volumes"].select("volume", F.lit(ROOT).cast("long").alias("node_id"), *(kept.get(c, F.lit(0)).cast("long").alias(c) for c in SUMS))
+
+
+def stored_sums(tables: Tables, stored: Tables, wanted: DataFrame) -> DataFrame:
+    """The same of the stored snapshot, from its totals alone: a folder's total less those of the folders in it. No file is read."""
+    totals = stored["totals"].select(*KEY, *SUMS)
+    inner = stored["folders"].filter(F.size("ids") > 1).select(*KEY, F.element_at("ids", -2).alias("parent_id"))
+    inner = inner.join(totals, KEY).select("volume", F.col("parent_id").alias("node_id"), *((-F.col(c)).alias(c) for c in SUMS))
+    sums = _union(totals, inner, reserved(tables, -1)).join(wanted, KEY, "left_semi").groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in SUMS))
+    return stored["folders"].select(*KEY, "ids").join(wanted, KEY, "left_semi").join(sums, KEY, "left").fillna(0, SUMS)
+
+
 def refreshed(before: Tables, after: Tables, stored: Tables) -> Tables:
     """folders, totals and bulk of the new snapshot from the stored ones of the old: as of folder_paths, folder_totals and bulk_and_allocated; settled.
 
@@ -76,10 +92,9 @@ def refreshed(before: Tables, after: Tables, stored: Tables) -> Tables:
     holders = _union(*(t["links"].join(changed, KEY, "left_semi").select("volume", F.col("parent_id").alias("node_id")) for t in (before, after)))
     touched = settled(_union(holders, changed, moved).distinct())
 
-    old, new = (settled(sums_of(t, f, touched)) for t, f in ((before, stored["folders"]), (after, folders)))
+    old, new = settled(stored_sums(before, stored, touched)), settled(sums_of(after, folders, touched))
     given = lambda rows, sign: rows.select("volume", F.explode("ids").alias("node_id"), *((F.col(c) * sign).alias(c) for c in SUMS))
-    reserved = [t["volumes"].select("volume", F.lit(ROOT).cast("long").alias("node_id"), *((F.col("reserved_clusters") * F.col("cluster_size") * sign if c == "allocated" else F.lit(0)).cast("long").alias(c) for c in SUMS)) for t, sign in ((before, -1), (after, 1))]
-    deltas = _union(given(old, -1), given(new, 1), *reserved)
+    deltas = _union(given(old, -1), given(new, 1), reserved(before, -1), reserved(after, 1))
     totals = _union(stored["totals"].select(*KEY, *SUMS), deltas).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in SUMS))
     totals = settled(totals.join(folders.select(*KEY), KEY, "left_semi"))
 
