@@ -10,7 +10,7 @@ from treelake import catalog_queries as Q
 from treelake import dump_queries
 from treelake.operators import sorting as S
 from treelake.operators import trigrams
-from treelake.plans import rollup, shared
+from treelake.plans import refresh, rollup, shared
 from treelake.sources import dump as D
 from treelake.streaming.standing import run_available
 
@@ -103,8 +103,8 @@ def test_streams_are_joined_in_parts_that_grow(spark, monkeypatch):
     made = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        sums = rollup.direct_sums(g.tables, g.folders)._jdf.queryExecution().sparkPlan().toString()
-        assert "LeftSemi" not in sums
+        own = rollup.of_folders(g.tables["streams"], g.tables["nodes"])._jdf.queryExecution().executedPlan().toString()
+        assert own.count("Exchange hashpartitioning") == own.count(f", {g.parts})") == 2
         plan = g.sized._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", made)
@@ -128,3 +128,14 @@ def test_a_stored_order_has_parts_that_grow(spark, tmp_path):
     rows = spark.read.parquet(f"file://{tmp_path}/o")
     want = [tuple(r) for r in S.ordered(g.sized.select(*Q.K, "length"), "size").collect()]
     assert [tuple(r)[:5] for r in rows.orderBy("position").collect()] == want
+
+
+def test_a_refresh_reads_no_file_of_before_for_its_sums(spark):
+    """Direct sums of the stored snapshot come from its totals; parts of the new one's tables stay dealt."""
+    g = Q.Given(spark, SMALL)
+    wanted = g.folders.filter("node_id = 5 OR node_id % 3 = 0").select("volume", "node_id")
+    got = refresh.stored_sums(g.tables, {"folders": g.folders, "totals": g.totals}, wanted)
+    assert "stream_name" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted((r.volume, r.node_id, *(r[s] for s in rollup.SUMS)) for r in df.collect())
+    part = refresh.part_of(g.tables, wanted)
+    assert rows(got) == rows(refresh.sums_of(g.tables, g.folders, wanted)) and "LeftSemi" not in plan_of(part["streams"])
