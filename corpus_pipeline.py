@@ -33,8 +33,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: number of tokens, digests of the ids and of the text they decode to, and the ids themselves."""
-    # a smaller cache than alone: the workers of earlier stages are still there
-    encoded = bpe.tokenised(docs, cache=1 << 17)
+    # a smaller cache than alone, which goes with its task: the workers of all stages stay side by side
+    encoded = bpe.tokenised(docs, cache=1 << 17, keep=False)
     return bpe.digests(encoded, "ids")
 
 

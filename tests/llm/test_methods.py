@@ -419,3 +419,22 @@ def test_sketches_and_shards_of_texts_of_several_megabytes(long_docs):
 def test_audit_of_texts_of_several_megabytes(long_docs):
     assert divergence.audited(long_docs, least=2).collect() == []
     assert divergence.audited(long_docs, least=1).count() == 0
+
+
+def test_a_task_leaves_no_tokenizer_behind(spark):
+    """In the pipeline, whose workers hold what all stages leave; the results are the same."""
+    docs = spark.createDataFrame([(k, f"some words {k} and some more of them") for k in range(20)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        list(batches)
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([bpe.tokenizer.cache_info().currsize])], ["n"])
+
+    def rows(df):
+        return sorted(tuple(r) for r in bpe.digests(df).collect())
+
+    before = docs.mapInArrow(held, "n long").first().n
+    alone = rows(bpe.tokenised(docs, cache=1 << 10, keep=False))
+    assert docs.mapInArrow(held, "n long").first().n == before
+    assert alone == rows(bpe.tokenised(docs, cache=1 << 10))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import releasing, table
 
 # Fixed value: the split pattern of byte-level BPE, white space spelt out as Unicode's White_Space.
 SPACES = r"\t-\r \x85\xa0  -     　"
@@ -139,15 +139,16 @@ def tokenizer(path: str, cache: int = CACHE) -> ByteBPE:
     return ByteBPE(path, cache)
 
 
-def tokenised(docs: DataFrame, path: str | None = None, cache: int = CACHE) -> DataFrame:
+def tokenised(docs: DataFrame, path: str | None = None, cache: int = CACHE, keep: bool = True) -> DataFrame:
     """(doc_id, ids, decoded) per row of docs: ids as little-endian unsigned 32-bit integers, and the text they decode to.
 
-    cache: pieces that a Python worker remembers, about 300 bytes each.
+    cache: pieces that a Python worker remembers, about 300 bytes each. keep: whether a worker keeps the tokenizer and these
+    for its next tasks; otherwise each task reads the file, and nothing is left beside other stages.
     """
     path = path or default_path()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path, cache)
+        bpe = tokenizer(path, cache) if keep else ByteBPE(path, cache)
         for batch in batches:
             ids, packed, texts, held = [], [], [], 0
 
@@ -165,7 +166,7 @@ def tokenised(docs: DataFrame, path: str | None = None, cache: int = CACHE) -> D
                     ids, packed, texts, held = [], [], [], 0
             yield made()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id bigint, ids binary, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded if keep else releasing(encoded), "doc_id bigint, ids binary, decoded string")
 
 
 def digests(tokens: DataFrame, *more: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, quoted, settle, table
+from .common import discard, quoted, releasing, settle, table
 from .components import connected_components
 
 CHUNKS, WIDTH, PER_LONG = 10, 6, 3
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", *SIGNATURE])
 
     kinds = ", ".join(f"{c} bigint" for c in ["doc_id", "n_shingles", "k1", "k2", *SIGNATURE])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, kinds)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(made), kinds)
 
 
 def entries(sets: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], ["node", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "node bigint, packed binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(made), "node bigint, packed binary")
 
 
 def in_blocks(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             found = [(x, y) for x, y, held, q in found if any(100 * (both := len(p & q)) >= PERCENT * (len(p) + len(q) - both) for p in held)]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return settle(in_blocks(pairs, texts).mapInArrow(made, "a bigint, b bigint"))
+    return settle(in_blocks(pairs, texts).mapInArrow(releasing(made), "a bigint, b bigint"))
 
 
 def differences(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -233,7 +233,7 @@ def differences(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(hashes, pa.list_(pa.int64()))], [*names, "hashes"])
 
-    return settle(in_blocks(pairs, texts).mapInArrow(made, ", ".join(f"{c} bigint" for c in names) + ", hashes array<bigint>"))
+    return settle(in_blocks(pairs, texts).mapInArrow(releasing(made), ", ".join(f"{c} bigint" for c in names) + ", hashes array<bigint>"))
 
 
 def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import settle, table, with_columns_of, with_rest
+from .common import releasing, settle, table, with_columns_of, with_rest
 
 MIN_LINE_WORDS, MIN_SENTENCE_WORDS, MIN_CLAUSE_WORDS = 5, 6, 8
 #: Word characters of a unit with fewer words; a sentence is long beyond so many words or word characters.
@@ -110,7 +110,7 @@ def all_units(docs: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
             yield packed()
 
     kinds = "d1 bigint, d2 bigint, id bigint, h bigint, start int, end int"
-    return docs.select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(made, kinds)
+    return docs.select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(releasing(made), kinds)
 
 
 def text_hash() -> Column:
