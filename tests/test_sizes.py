@@ -139,3 +139,16 @@ def test_a_refresh_reads_no_file_of_before_for_its_sums(spark):
     rows = lambda df: sorted((r.volume, r.node_id, *(r[s] for s in rollup.SUMS)) for r in df.collect())
     part = refresh.part_of(g.tables, wanted)
     assert rows(got) == rows(refresh.sums_of(g.tables, g.folders, wanted)) and "LeftSemi" not in plan_of(part["streams"])
+
+
+def test_a_lone_search_numbers_no_folders(spark):
+    """Intervals are for totals and subtrees; a search's streams are joined without a sort."""
+    g = Q.Given(spark, SMALL)
+    hits = Q.registered()["stream_mode"][0](g)
+    assert "folders" not in g.__dict__
+    made = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "ShuffledHashJoin" in plan_of(hits.select(*Q.K, "path"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", made)

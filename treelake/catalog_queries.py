@@ -90,7 +90,7 @@ class Given:
         return cls.kept[key]
 
     def there(self) -> bool:
-        held = [df for df in (*self.tables.values(), *(self.__dict__[n] for n in ("folders", "totals") if n in self.__dict__))]
+        held = [df for df in (*self.tables.values(), *(self.__dict__[n] for n in ("paths", "folders", "totals") if n in self.__dict__))]
         made = {f.rpartition("/")[0] for df in held for f in df.inputFiles() if "/treelake-" in f}
         made |= {self.catalog.path} if "catalog" in self.__dict__ else set()
         return all(listed(self.spark, path) for path in made)
@@ -108,11 +108,15 @@ class Given:
         self.tables["streams"]
         return self.tables.parts
 
+    @cached_property
+    def paths(self) -> DataFrame:
+        """All folders with their paths."""
+        return J.folder_paths(self.tables["links"], self.tables["nodes"])
+
     @cached_property
     def folders(self) -> DataFrame:
         """All folders with their paths and intervals."""
-        paths = J.folder_paths(self.tables["links"], self.tables["nodes"])
-        return settled(paths.join(intervals(paths), ["volume", "node_id"]))
+        return settled(self.paths.join(intervals(self.paths), ["volume", "node_id"]))
 
     @cached_property
     def catalog(self) -> Catalog:
@@ -121,7 +125,7 @@ class Given:
     @property
     def entries(self) -> DataFrame:
         """The stored entries where a query has had them stored; otherwise the joins, of which a query carries the columns that it needs."""
-        return self.catalog.entries if "catalog" in self.__dict__ else J.entries(self.tables, self.folders)
+        return self.catalog.entries if "catalog" in self.__dict__ else J.entries(self.tables, self.folders if "folders" in self.__dict__ else self.paths)
 
     @property
     def searched(self) -> Catalog:

@@ -89,7 +89,11 @@ def entries(catalog: dict[str, DataFrame], folders: DataFrame | None = None) ->
     streams = streams.withColumn("n_streams", F.count(F.lit(1)).over(of_node).cast("int"))
     links = links.withColumn("n_links", F.count(F.lit(1)).over(of_node).cast("int"))
     above = folders.select("volume", F.col("node_id").alias("parent_id"), F.col("path").alias("dir_path"), F.col("depth").alias("above"), *([F.col("lo").alias("pos")] if "lo" in folders.columns else []))
-    out = links.join(above, ["volume", "parent_id"]).join(nodes, ["volume", "node_id"]).join(streams, ["volume", "node_id"])
+    linked = links.join(above, ["volume", "parent_id"]).join(nodes, ["volume", "node_id"])
+    if "undealt_links" in catalog:
+        # parts of a bounded size: a hash can hold a part's links, and its streams, which are more, need no sort
+        linked = linked.hint("shuffle_hash")
+    out = linked.join(streams, ["volume", "node_id"])
     root = F.col("node_id") == ROOT
     base = F.when(root, F.col("dir_path")).otherwise(F.concat("dir_path", "name", F.when(F.col("is_dir"), SEPARATOR).otherwise("")))
     suffix = stream_suffix(F.col("type_id"), F.col("stream_name"))
