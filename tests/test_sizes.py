@@ -152,3 +152,16 @@ def test_a_lone_search_numbers_no_folders(spark):
         assert "ShuffledHashJoin" in plan_of(hits.select(*Q.K, "path"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", made)
+
+
+def test_a_stored_order_has_keys_alone(spark, monkeypatch):
+    """Paths come to the two hundred hits of the stretch, not to all that is sorted."""
+    stored = []
+    monkeypatch.setattr(S, "store_order", lambda hits, *a, put=S.store_order, **b: (stored.append(hits), put(hits, *a, **b)))
+    g = Q.Given(spark, SMALL)
+    got = Q.registered()["stretch_of_order"][0](g)
+    assert stored[0].columns == [*Q.K, "length"]
+    rows = got.collect()
+    assert [r.position for r in rows] == list(range(1001, 1201))
+    want = S.ordered(g.sized.select(*Q.K, "path", "length"), "size").limit(1200).collect()[1000:]
+    assert [tuple(r)[:5] for r in rows] == [tuple(r)[:5] for r in want]

@@ -103,6 +103,12 @@ def entries(catalog: dict[str, DataFrame], folders: DataFrame | None = None) ->
     )
 
 
+def of_nodes(catalog: dict[str, DataFrame], hits: DataFrame) -> dict[str, DataFrame]:
+    """The links, streams and nodes of the nodes of a few hits, which are sent to all tasks: what ``entries`` joins for these."""
+    of = F.broadcast(hits.select("volume", "node_id").distinct())
+    return {t: catalog[t].join(of, ["volume", "node_id"], "left_semi") for t in ("links", "streams", "nodes")}
+
+
 def base_name(name: Column, type_id: Column, stream_name: Column) -> Column:
     """The last component with its stream."""
     return F.concat(name, stream_suffix(type_id, stream_name))
