@@ -11,7 +11,8 @@ import duckdb
 import pytest
 
 from treelake import llm
-from treelake.llm import alignment, divergence, ngram_join
+from treelake.llm import alignment, common, divergence, near_dedup, ngram_join
+from treelake.llm import components as components_
 from treelake.llm.transducer import Transducer
 
 from .test_methods import components, shingles
@@ -91,6 +92,25 @@ def test_join_of_large_families(spark):
     assert 120 < len(set(got.values())) < 360
 
 
+@pytest.mark.parametrize("joined", [ngram_join.joined, near_dedup.grouped])
+def test_no_table_goes_through_the_driver(spark, monkeypatch, joined):
+    """No step broadcasts a side that grows with the documents, however small it is here."""
+    r = random.Random(7)
+    base = [f"w{r.randrange(4000)}" for _ in range(120)]
+    texts = [" ".join([*base[: 119 - i % 50], f"x{i}", *base[120 - i % 50 :]]) for i in range(80)]
+    plans = []
+
+    def settled(df, settle=common.settle):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    for module in (ngram_join, near_dedup, components_):
+        monkeypatch.setattr(module, "settle", settled)
+    out = joined(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
 def test_hashes_tell_short_texts_from_shingles():
     h = lambda t: set(ngram_join.ngram_hashes(t.encode(), 5).tolist())
     assert len(h("a b c d e f")) == 2 and not h("a b c d") & h("a b c d e") and h("A b\tc") == h("a  b c") and h(" \n") == set()

@@ -90,6 +90,11 @@ def discard(df: DataFrame) -> None:
             delete(df.sparkSession, name)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is never broadcast, as that takes it whole through the driver, several times its stored size."""
+    return df.hint("merge")
+
+
 def quoted(columns: list[str]) -> list[Column]:
     """Columns by name, also where a name has a dot."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, quoted, releasing, settle, table
+from .common import discard, grown, quoted, releasing, settle, table
 from .components import connected_components
 
 CHUNKS, WIDTH, PER_LONG = 10, 6, 3
@@ -53,6 +53,8 @@ CENTRES = 4
 CROWD = 32
 #: Pairs of one node that share a copy of its text.
 BLOCK_PAIRS = 256
+#: Tasks, about, that the members of one centre are dealt to.
+SHARES = 64
 #: Shingles whose hashes are held against all symbols at once.
 STEP = 4096
 
@@ -130,17 +132,20 @@ def prefix_pairs(apart: DataFrame, parts: DataFrame) -> DataFrame:
 
     apart: as made by ``differences``; parts: (node, component) of all its nodes.
     """
-    rows = apart.join(parts, "node")
+    rows = apart.join(grown(parts), "node")
     mixed = rows.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("centre")
-    rows = settle(rows.join(mixed, "centre").select("centre", "node", "set", "n", "component", F.size("hashes").cast("long").alias("s"), F.explode("hashes").alias("h")))
+    # most rows may be of one centre, so its members are joined in SHARES shares
+    share = F.pmod(F.xxhash64("node"), F.lit(SHARES))
+    mixed = mixed.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))).alias("share"))
+    rows = settle(rows.withColumn("share", share).join(grown(mixed), ["centre", "share"]).select("centre", "node", "set", "n", "component", F.size("hashes").cast("long").alias("s"), F.explode("hashes").alias("h")))
     holders = rows.groupBy("centre", "h").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     # the differences of one set from its centre
     own = W.partitionBy("centre", "node", "set")
-    ranked = rows.join(holders, ["centre", "h"]).withColumns({"rank": F.row_number().over(own.orderBy("holders", "h")), "common": F.count(F.lit(1)).over(own)})
+    ranked = rows.join(grown(holders), ["centre", "h"]).withColumns({"rank": F.row_number().over(own.orderBy("holders", "h")), "common": F.count(F.lit(1)).over(own)})
     ranked = settle(ranked.withColumn("position", F.col("s") - F.col("common") + F.col("rank")))
     held = ranked.groupBy("centre", "h", "component").agg(F.count(F.lit(1)).alias("k"))
     most = held.groupBy("centre", "h").agg(F.max_by("component", "k").alias("major"), F.count(F.lit(1)).alias("components")).filter("components > 1")
-    ranked = ranked.join(most, ["centre", "h"]).withColumn("minor", F.col("component") != F.col("major"))
+    ranked = ranked.join(grown(most), ["centre", "h"]).withColumn("minor", F.col("component") != F.col("major"))
     one, two = (ranked.select("centre", "h", *(F.col(c).alias(f"{e}_{c}") for c in ["node", "n", "s", "position", "rank", "component", "minor"])) for e in "ab")
     # 18 times the differences that the pair must share; what comes before this one in both, itself included, and after it in both
     needed = 9 * (F.col("a_s") + F.col("b_s")) - (F.col("a_n") + F.col("b_n"))
@@ -148,7 +153,7 @@ def prefix_pairs(apart: DataFrame, parts: DataFrame) -> DataFrame:
     among_first = lambda e: 18 * (F.col(f"{e}_s") + 1 - F.col(f"{e}_position")) >= needed
     fits = (F.col("a_component") != F.col("b_component")) & alike_in_size("a_n", "b_n") & among_first("a") & among_first("b") & (18 * room >= needed)
     # with the major ones each minor one meets once, with other minor ones too
-    pairs = one.filter("a_minor").join(two.filter("NOT b_minor"), ["centre", "h"]).filter(fits).unionByName(one.filter("a_minor").join(two.filter("b_minor"), ["centre", "h"]).filter(fits & (F.col("a_node") < F.col("b_node"))))
+    pairs = one.filter("a_minor").join(grown(two.filter("NOT b_minor")), ["centre", "h"]).filter(fits).unionByName(one.filter("a_minor").join(grown(two.filter("b_minor")), ["centre", "h"]).filter(fits & (F.col("a_node") < F.col("b_node"))))
     return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
@@ -174,9 +179,9 @@ def in_blocks(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     comes before the texts of its partners, which can be read one after the other.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PAIRS).alias("blocks"))
-    dealt = pairs.select("a", "b").join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
-    heads = dealt.select("a", "block").distinct().join(texts.select(F.col("node").alias("a"), "packed"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "packed")
-    partners = dealt.join(texts.select(F.col("node").alias("b"), "packed"), "b").select("a", "block", "b", "packed")
+    dealt = pairs.select("a", "b").join(grown(sizes), "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
+    heads = dealt.select("a", "block").distinct().join(grown(texts.select(F.col("node").alias("a"), "packed")), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "packed")
+    partners = dealt.join(grown(texts.select(F.col("node").alias("b"), "packed")), "b").select("a", "block", "b", "packed")
     return heads.unionByName(partners).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
 
@@ -240,13 +245,13 @@ def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components, with these as ca and cb."""
     one = parts.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     two = parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    p = pairs.join(one, "a", "left").join(two, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+    p = pairs.join(grown(one), "a", "left").join(grown(two), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
     return p.filter(F.col("ca") != F.col("cb"))
 
 
 def with_component(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     """nodes with their component; a node without links is one of its own."""
-    return nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return nodes.join(grown(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def release() -> None:
@@ -263,23 +268,23 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
     keys = entries(sets)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # only entries that share their bucket matter from here on
-    shared = settle(keys.join(sizes, "key"))
+    shared = settle(keys.join(grown(sizes), "key"))
     # how many others a node meets in all its entries, with a few bits of hash against ties
     reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
-    ranked = shared.join(reach, "node").select("key", "node", (F.shiftleft("reach", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("reach"))
+    ranked = shared.join(grown(reach), "node").select("key", "node", (F.shiftleft("reach", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("reach"))
     centres = settle(ranked.groupBy("key").agg(F.max_by("node", "reach").alias("centre"), F.max("reach").alias("reach")))
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("node").alias(e), F.col("n_shingles").alias(f"{e}_n"), *(F.col(s).alias(f"{e}_{s}") for s in SIGNATURE)) for e in "ab")
-        both = pairs.join(one, "a").join(two, "b").filter(alike_in_size("a_n", "b_n"))
+        both = pairs.join(grown(one), "a").join(grown(two), "b").filter(alike_in_size("a_n", "b_n"))
         return both.select("a", "b", distance("a_", "b_").alias("distance")).filter(F.col("distance") <= MAX_DISTANCE)
 
-    met = shared.join(centres, "key").filter("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    met = shared.join(grown(centres), "key").filter("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     # a node has at most as many rows here as it has entries
     often = F.row_number().over(W.partitionBy("b").orderBy(F.col("times").desc(), "a"))
     stars = settle(with_signatures(met.withColumn("nth", often).filter(F.col("nth") <= CENTRES).select("a", "b")))
     members = shared.select(F.col("node")).distinct()
-    texts = settle(packed_texts(docs).join(members, "node", "left_semi"))
+    texts = settle(packed_texts(docs).join(grown(members), "node", "left_semi"))
     release()
 
     # the best link of each node first; then the best between two components; then whatever is left between components
@@ -299,18 +304,18 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
     # pairs of one bucket in different components
     placed = with_component(shared, parts)
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    placed = settle(placed.join(mixed, "key", "left_semi"))
+    placed = settle(placed.join(grown(mixed), "key", "left_semi"))
     few = placed.filter(F.col("size") <= CROWD)
     one, two = (few.select("key", *(F.col(c).alias(f"{e}_{c}") for c in ("node", "n", "component"))) for e in "ab")
-    pairs = one.join(two, "key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & alike_in_size("a_n", "b_n"))
+    pairs = one.join(grown(two), "key").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & alike_in_size("a_n", "b_n"))
     pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     crowd = placed.filter(F.col("size") > CROWD)
     if not crowd.isEmpty():
         # any set may stand in for a centre: the centre of longest reach in its component does, so that a group has one
         of_centre = with_component(centres.groupBy("centre").agg(F.max("reach").alias("reach")).withColumnRenamed("centre", "node"), parts)
         hubs = of_centre.groupBy("component").agg(F.max_by("node", "reach").alias("hub"))
-        hubs = of_centre.join(hubs, "component").select(F.col("node").alias("centre"), "hub")
-        of_hub = crowd.join(centres.join(hubs, "centre").select("key", "hub"), "key").filter("node != hub")
+        hubs = of_centre.join(grown(hubs), "component").select(F.col("node").alias("centre"), "hub")
+        of_hub = crowd.join(grown(centres.join(grown(hubs), "centre").select("key", "hub")), "key").filter("node != hub")
         apart = differences(settle(of_hub.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), texts, n)
         # members that are alike to a centre which they weren't tried against
         near = across(apart.filter(9 * F.size("hashes") <= F.col("n") + F.col("n_centre")).select("a", F.col("node").alias("b")).distinct(), parts)
@@ -325,8 +330,8 @@ def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
         discard(used_up)
     release()
 
-    by_set = sets.select("k1", "k2", "node").join(parts, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
-    ids = measured.join(by_set, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    by_set = sets.select("k1", "k2", "node").join(grown(parts), "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    ids = measured.join(grown(by_set), ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return ids.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -337,4 +342,4 @@ def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
     """The rows of docs but those of documents with a near copy of smaller id; an id is dropped with all its rows."""
     gone = grouped(docs.select("doc_id", "text"), n).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))
+    return docs.join(grown(gone), "doc_id", "left_anti").select(*quoted(docs.columns))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, settle, table
+from .common import discard, grown, settle, table
 from .components import connected_components
 from .near_dedup import CENTRES, CROWD, across, alike_in_size, confirmed, differences, packed_texts, prefix_pairs, release, with_component
 
@@ -176,16 +176,16 @@ def prefixes(common: DataFrame, sets: DataFrame) -> DataFrame:
     shared = common.groupBy("k1").agg(F.count(F.lit(1)).alias("shared"))
     # n - ceil(0.8 n) + 1
     prefix = F.col("n") - F.call_function("div", 4 * F.col("n") + 4, F.lit(5)) + 1
-    live = shared.join(sizes, "k1").withColumn("room", prefix - (F.col("n") - F.col("shared"))).filter((F.col("room") > 0) | F.col("mixed")).select("k1", "room", "mixed")
+    live = shared.join(grown(sizes), "k1").withColumn("room", prefix - (F.col("n") - F.col("shared"))).filter((F.col("room") > 0) | F.col("mixed")).select("k1", "room", "mixed")
     own = W.partitionBy("k1").orderBy("holders", "item")
-    rows = common.join(live, "k1").withColumn("rank", F.row_number().over(own))
+    rows = common.join(grown(live), "k1").withColumn("rank", F.row_number().over(own))
     # a running sum taken from the whole: Spark adds frames up to the end anew for each row
     of_cell = lambda k: (F.pmod("item", F.lit(CELLS)) == k).cast("int")
     up_to = own.rowsBetween(W.unboundedPreceding, 0)
     tail = F.array(*((F.sum(of_cell(k)).over(W.partitionBy("k1")) - F.sum(of_cell(k)).over(up_to)).cast("int") for k in range(CELLS)))
     rows = rows.withColumn("tail", tail).filter((F.col("rank") <= F.col("room")) | F.col("mixed"))
     rows = rows.select("k1", F.col("item").alias("key"), F.when(F.col("mixed"), 1 << 40).otherwise(F.col("rank")).alias("rank"), "tail")
-    return rows.join(sets.select("k1", "node", F.col("n_shingles").alias("n")), "k1").select("key", "node", "n", "rank", "tail")
+    return rows.join(grown(sets.select("k1", "node", F.col("n_shingles").alias("n"))), "k1").select("key", "node", "n", "rank", "tail")
 
 
 def fits(a: str, b: str) -> Column:
@@ -214,18 +214,18 @@ def joined(docs: DataFrame, n: int = 5) -> DataFrame:
     common = common_items(docs, n, total, hot)
     entries = settle(prefixes(common, sets))
     met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = settle(entries.join(met, "key"))
+    shared = settle(entries.join(grown(met), "key"))
     # how many others a set meets in all its entries, with a few bits of hash against ties
     reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
-    ranked = shared.join(reach, "node").withColumn("reach", F.shiftleft("reach", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20)))
+    ranked = shared.join(grown(reach), "node").withColumn("reach", F.shiftleft("reach", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20)))
     centres = settle(ranked.groupBy("key").agg(F.max_by(F.struct(*ENTRY), "reach").alias("c"), F.max("reach").alias("reach")))
-    stars = shared.select("key", F.struct(*ENTRY).alias("e")).join(centres, "key").filter((F.col("e.node") != F.col("c.node")) & fits("e", "c"))
+    stars = shared.select("key", F.struct(*ENTRY).alias("e")).join(grown(centres), "key").filter((F.col("e.node") != F.col("c.node")) & fits("e", "c"))
     stars = stars.groupBy(F.col("c.node").alias("a"), F.col("e.node").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     # a set has at most as many rows here as it has entries
     often = F.row_number().over(W.partitionBy("b").orderBy(F.col("times").desc(), "a"))
     stars = settle(stars.withColumn("nth", often).filter(F.col("nth") <= CENTRES).drop("nth"))
     members = shared.select("node").distinct()
-    texts = settle(packed_texts(docs).join(members, "node", "left_semi"))
+    texts = settle(packed_texts(docs).join(grown(members), "node", "left_semi"))
     release()
 
     links, tried = [], []
@@ -236,7 +236,7 @@ def joined(docs: DataFrame, n: int = 5) -> DataFrame:
         nonlocal parts
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried:
-            pairs = pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
+            pairs = pairs.join(grown(reduce(DataFrame.unionByName, tried)), ["a", "b"], "left_anti")
         pairs = settle(pairs)
         if parts is not None and pairs.isEmpty():
             return
@@ -254,19 +254,19 @@ def joined(docs: DataFrame, n: int = 5) -> DataFrame:
     # pairs of one entry in different components
     placed = with_component(shared, parts)
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    placed = settle(placed.join(mixed, "key", "left_semi"))
+    placed = settle(placed.join(grown(mixed), "key", "left_semi"))
     few = placed.filter(F.col("size") <= CROWD)
     one, two = (few.select("key", F.struct("component", *ENTRY).alias(e)) for e in "ab")
-    pairs = one.join(two, "key").filter((F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & fits("a", "b"))
+    pairs = one.join(grown(two), "key").filter((F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & fits("a", "b"))
     pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     crowd = placed.filter(F.col("size") > CROWD)
     if not crowd.isEmpty():
         # any set may stand in for a centre: that of longest reach in its component does, so that a group has one
         of_centre = with_component(centres.groupBy(F.col("c.node").alias("node")).agg(F.max("reach").alias("reach")), parts)
         hubs = of_centre.groupBy("component").agg(F.max_by("node", "reach").alias("hub"))
-        hubs = of_centre.join(hubs, "component").select(F.col("node").alias("centre"), "hub")
-        of_key = centres.select("key", F.col("c.node").alias("centre")).join(hubs, "centre").select("key", "hub")
-        of_hub = crowd.join(of_key, "key").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        hubs = of_centre.join(grown(hubs), "component").select(F.col("node").alias("centre"), "hub")
+        of_key = centres.select("key", F.col("c.node").alias("centre")).join(grown(hubs), "centre").select("key", "hub")
+        of_hub = crowd.join(grown(of_key), "key").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         apart = differences(settle(of_hub), texts, n)
         # members that are alike to a centre which they weren't tried against
         near = apart.filter(9 * F.size("hashes") <= F.col("n") + F.col("n_centre")).select("a", F.col("node").alias("b")).distinct()
@@ -277,8 +277,8 @@ def joined(docs: DataFrame, n: int = 5) -> DataFrame:
         discard(used_up)
     release()
 
-    by_set = sets.select("k1", "k2", "node").join(parts, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
-    ids = sizes.join(by_set, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    by_set = sets.select("k1", "k2", "node").join(grown(parts), "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
+    ids = sizes.join(grown(by_set), ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return ids.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
