@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from treelake import catalog_queries as Q
 from treelake import dump_queries
 from treelake.operators import sorting as S
 from treelake.operators import trigrams
+from treelake.operators.search import Catalog
 from treelake.plans import refresh, rollup, shared
 from treelake.sources import dump as D
 from treelake.streaming.standing import run_available
@@ -82,6 +85,39 @@ def test_postings_make_the_grams_of_a_folder_once_per_block(spark):
     assert "piece" in plan_of(made)
 
 
+def test_postings_are_lists_made_where_a_part_is_read(monkeypatch):
+    """Whatever a task holds at a time, and whatever letters there are, each trigram has the blocks of all texts that have it."""
+    r = random.Random(4)
+    rows = []
+    for part in ("a", "b"):
+        for block in range(6):
+            folder = "".join(r.choice("ab\u03c3\\x" if block % 2 else "ab\\") for _ in range(r.randrange(0, 5)))
+            rows += [("C:" if block < 3 else "D:", part, block, None if r.random() < 0.1 else folder, "".join(r.choice("abc\U0001f642.0") for _ in range(r.randrange(0, 6)))) for _ in range(9)]
+    want = {(v, t[k : k + 3], p, b) for v, p, b, *texts in rows for t in texts if t for k in range(len(t) - 2)}
+    for marks, listed, stretch, batch in [(1 << 25, 1 << 22, 1 << 20, 1000), (0, 5, 30, 7), (1 << 25, 1, 1, 1000)]:
+        for name, value in (("MARKS", marks), ("LISTED", listed), ("STRETCH", stretch)):
+            monkeypatch.setattr(trigrams, name, value)
+        table = pa.table(list(zip(*rows, strict=True)), schema=pa.schema([("volume", pa.string()), ("part", pa.string()), ("block", pa.int64()), ("folder_piece", pa.string()), ("piece", pa.string())]))
+        got = pa.Table.from_batches(trigrams.listed_grams(iter(table.to_batches(max_chunksize=batch)))).to_pylist()
+        assert {(x["volume"], x["gram"], x["part"], b) for x in got for b in x["blocks"]} == want
+        assert all(x["blocks"] == sorted(set(x["blocks"])) for x in got)
+
+
+def test_an_index_has_parts_that_grow_and_the_columns_it_reads(spark, monkeypatch):
+    """And a row per trigram and part, not per trigram and block."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 200)
+    stored = []
+    monkeypatch.setattr(Catalog, "store", lambda self, *a, put=Catalog.store, **b: stored.append((self.entries, put(self, *a, **b))) or stored[-1][1])
+    g = Q.Given(spark, SMALL)
+    assert Q.registered()["indexed_search"][0](g).count() > 0
+    rows, made = stored[0]
+    assert g.parts > 16 and made.entries.select("part").distinct().count() > 16
+    assert "accessed_ft" not in rows.columns and len(made.entries.columns) < 20
+    posted = made.tables["postings"]
+    assert posted.count() == posted.select("volume", "gram", "part").distinct().count() < posted.selectExpr("sum(size(blocks))").first()[0]
+    assert made.entries.count() == g.entries.count()
+
+
 def test_attributes_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(shared, "TASK_ROWS", 100)
     assert Q.Given(spark, SMALL).tables["attributes"].rdd.getNumPartitions() > 8

@@ -510,8 +510,13 @@ FOUND["refresh"] = refresh, ",\n".join([C.prefix(C.edited()), ENTRIES, ROLL]) +
 
 @query(f"SELECT {KS}, path FROM entries WHERE {MAIN} AND {OWN} AND (contains(lower(name), 'order_12') OR regexp_full_match(lower(path), '.*customer#0*[0-9]*7.order_[0-9]*\\.jpg') OR contains(lower(path), 'nation_3\\ln_'))")
 def indexed_search(g):
-    """Three searches on a catalog that is stored with postings of trigrams."""
-    stored = g.searched.store(f"{scratch(g.spark)}/catalog", parts=16, grams=True, block=64)
+    """Three searches on a catalog that is stored with postings of trigrams.
+
+    It has the columns that these searches and their postings read. Its parts grow with the rows.
+    """
+    # a sort by ranges reads its rows twice
+    rows = settled(g.searched.entries.select(*K, "name", "path", "dir_path", "is_dir", "type_id", "stream_name"))
+    stored = Catalog(g.tables, rows).store(f"{scratch(g.spark)}/catalog", parts=max(16, g.parts), grams=True, block=64)
     hits = [stored.search(p).select(*K, "path") for p in ("order_12", ">.*customer#0*[0-9]*7.order_[0-9]*\\.jpg", "NATION_3\\ln_")]
     return hits[0].unionByName(hits[1]).unionByName(hits[2]).distinct()
 

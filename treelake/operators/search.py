@@ -72,11 +72,12 @@ class Catalog:
         folders: paths with intervals, which ``subtree`` needs; parts: ranges of paths, otherwise as Spark deals them; names:
         different names that a file's Bloom filter is made for; grams: with postings; block: entries of one posting.
         """
-        rows = with_lower_case(self.entries)
-        rows = rows.repartitionByRange(parts, "volume", "path_lc") if parts else rows.repartitionByRange("volume", "path_lc")
+        # what a range sort shuffles is as narrow as can be, and in the order of the folders that are written, so it is sorted once
+        by = "volume", F.lower("path")
+        rows = self.entries.repartitionByRange(parts, *by) if parts else self.entries.repartitionByRange(*by)
         call = uuid.uuid4().hex[:12]
         part = F.concat(F.lit(f"{call}-"), F.lpad(F.spark_partition_id().cast("string"), 6, "0"))
-        rows = rows.sortWithinPartitions("volume", "path_lc").withColumns({"part": part, "block": in_blocks(block)})
+        rows = with_lower_case(rows).withColumn("part", part).sortWithinPartitions("volume", "part", "path_lc").withColumn("block", in_blocks(block))
         bloom = {"parquet.bloom.filter.enabled#name_lc": "true", "parquet.bloom.filter.expected.ndv#name_lc": str(names)}
         replace_volumes(rows, f"{path}/entries", "part", **bloom)
         if folders is not None:
