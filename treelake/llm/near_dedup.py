@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -255,8 +255,10 @@ def with_component(nodes: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Lets Python drop the plans of finished steps, so that Spark's cleaner may delete their shuffle files."""
+    """Lets Python and the driver drop the plans of finished steps, so that Spark's cleaner may delete their shuffle files and the driver's heap doesn't grow to its limit."""
     gc.collect()
+    if spark := SparkSession.getActiveSession():
+        spark._jvm.System.gc()
 
 
 def grouped(docs: DataFrame, n: int = 5) -> DataFrame:
